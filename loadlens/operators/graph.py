@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, StorageLevel, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, functions as F
 
 from loadlens.functions.lineage import cut
 
@@ -16,7 +17,7 @@ def pagerank(
     damping: float = DAMPING,
     partitions: int | None = None,
     block: int = BLOCK,
-    cut_every: int = 5,
+    cut_every: int = 1,
     vertices: DataFrame | None = None,
 ) -> DataFrame:
     """Rank of each page: ``(1 - d) / N + d * sum(rank(src) / links(src))``.
@@ -25,7 +26,7 @@ def pagerank(
     it is left out, those that link somewhere; rank sent to other pages is lost,
     and so is the rank of pages without links.
 
-    The links are placed once by (page, block) and stay there.  A page with more
+    The links are placed and sorted once by (page, block) and stay there.  A page with more
     than ``block`` links is cut into blocks, so a hub is spread over many tasks.  A
     step moves one row per page to the links and, after map-side combine, one row
     per target back.
@@ -37,7 +38,8 @@ def pagerank(
     pages = degree.select(F.col("src").alias("id"), "links", "blocks")
     if vertices is not None:
         pages = vertices.select("id").distinct().join(pages, "id", "left")
-    pages = cut(pages.fillna({"links": 0, "blocks": 0})).repartition(parts, "id")
+    pages = cut(pages.fillna({"links": 0, "blocks": 0}))
+    pages = pages.repartition(parts, "id").sortWithinPartitions("id")
     pages = pages.persist(StorageLevel.MEMORY_AND_DISK)
     total = pages.count()
 
@@ -45,6 +47,7 @@ def pagerank(
         edges.join(degree.select("src", "blocks"), "src")
         .select("src", F.pmod(F.hash("dst"), F.col("blocks")).alias("block"), "dst")
         .repartition(parts, "src", "block")
+        .sortWithinPartitions("src", "block")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     base = F.lit((1 - damping) / total) if total else F.lit(0.0)

@@ -32,11 +32,9 @@ def _run_us() -> Column:
     return F.max(_end_us()) - F.min("start_us")
 
 
-def latency_summary(requests: DataFrame) -> DataFrame:
-    """Per label and in total: counts, latency, errors, throughput and sizes."""
-    run = F.col("run_us")
-    report = requests.rollup("label").agg(
-        F.grouping("label").alias("is_total"),
+def summary_aggregates() -> list[Column]:
+    """Aggregates behind a latency summary; all of them merge part by part."""
+    return [
         F.count(F.lit(1)).alias("samples"),
         _mean_ms().alias("avg_ms"),
         (F.min("dur_us") / 1000).alias("min_ms"),
@@ -45,9 +43,14 @@ def latency_summary(requests: DataFrame) -> DataFrame:
         (F.count_if(~F.col("success")) * 100 / F.count(F.lit(1))).alias("error_pct"),
         F.sum("bytes").alias("bytes"),
         _run_us().alias("run_us"),
-    )
+    ]
+
+
+def summary_figures(report: DataFrame, label: Column) -> DataFrame:
+    """The figures of a latency summary from its aggregates."""
+    run = F.col("run_us")
     return report.select(
-        F.when(F.col("is_total") == 1, "TOTAL").otherwise(F.col("label")).alias("label"),
+        label.alias("label"),
         "samples",
         "avg_ms",
         "min_ms",
@@ -60,6 +63,14 @@ def latency_summary(requests: DataFrame) -> DataFrame:
     )
 
 
+def latency_summary(requests: DataFrame) -> DataFrame:
+    """Per label and in total: counts, latency, errors, throughput and sizes."""
+    report = requests.rollup("label").agg(
+        F.grouping("label").alias("is_total"), *summary_aggregates()
+    )
+    return summary_figures(report, F.when(F.col("is_total") == 1, "TOTAL").otherwise(F.col("label")))
+
+
 def op_summary(ops: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Per operation: counts, latency with 95th and 99th percentile, overall rate."""
     counts = ops.groupBy("op").agg(

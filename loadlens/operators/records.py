@@ -79,16 +79,21 @@ def last_writes(ops: DataFrame) -> DataFrame:
     )
 
 
-def final_state(ops: DataFrame, records: DataFrame) -> DataFrame:
-    """Records after replay: last write wins, unwritten keys keep the loaded value."""
+def apply_writes(written: DataFrame, records: DataFrame) -> DataFrame:
+    """Loaded records after the last writes; unwritten keys keep the loaded value."""
     loaded = records.select("key", F.struct(F.col("value").alias("value")).alias("loaded"))
-    return last_writes(ops).join(loaded, "key", "full").select(
+    return written.join(loaded, "key", "full").select(
         "key",
         F.coalesce("written", "loaded")["value"].alias("value"),
         F.coalesce("writes", F.lit(0)).alias("writes"),
     )
 
 
+def final_state(ops: DataFrame, records: DataFrame) -> DataFrame:
+    """Records after replay of a whole log: last write wins."""
+    return apply_writes(last_writes(ops), records)
+
+
 def key_popularity(ops: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Operations per key, rank by popularity and cumulative share of all operations."""
     counts = ops.groupBy("key").agg(F.count(F.lit(1)).alias("ops"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loadlens.plans import compute, latency, records, relational, search  # noqa: F401
+from loadlens.plans import compute, latency, records, relational, search, streams  # noqa: F401
 from loadlens.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

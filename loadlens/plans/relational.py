@@ -14,6 +14,14 @@ from loadlens.sources import files, runs
 READY = r"Server started in 1[0-9]{2,}|Server started in [2-9][0-9]{2,}"
 
 
+def ready_lines(log):
+    """Node logs: each request as one line of its node."""
+    started = F.concat(F.lit("Server started in "), F.floor("elapsed_ms").cast("string"))
+    handled = F.concat(F.lit("handled "), F.col("label"))
+    line = F.when(F.col("label") == "signup", started).otherwise(handled)
+    return log.select(F.col("flow").alias("node"), "ts", line.alias("line"))
+
+
 @query(
     "nodes_not_ready",
     with_views(
@@ -26,17 +34,8 @@ READY = r"Server started in 1[0-9]{2,}|Server started in [2-9][0-9]{2,}"
 )
 def nodes_not_ready(spark, sf_dir):
     log = requests(spark, sf_dir)
-    lines = log.select(
-        F.col("flow").alias("node"),
-        F.when(
-            F.col("label") == "signup",
-            F.concat(F.lit("Server started in "), F.floor("elapsed_ms").cast("string")),
-        )
-        .otherwise(F.concat(F.lit("handled "), F.col("label")))
-        .alias("line"),
-    )
     nodes = log.select(F.col("flow").alias("node")).distinct()
-    return relational.not_ready(nodes, lines, READY)
+    return relational.not_ready(nodes, ready_lines(log), READY)
 
 
 @query(
