@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from loadlens.plans import compute, latency, records, relational, search, streams  # noqa: F401
+from loadlens.plans import (  # noqa: F401
+    compute,
+    files,
+    latency,
+    records,
+    relational,
+    reports,
+    search,
+    streams,
+)
 from loadlens.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -65,10 +65,9 @@ def read_wiki_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_query_list(spark: SparkSession, path: str) -> DataFrame:
-    """Request paths, one per line, numbered in file order."""
-    return number_lines(read_lines(spark, path)).select(
-        (F.col("line_no") - 1).alias("query_id"), F.col("line").alias("path")
-    )
+    """Request paths, one per line, numbered from 0 in order of files and lines."""
+    lines = running(read_lines(spark, path), [], ["file", "place"], sums={"turn": F.lit(1)})
+    return lines.select((F.col("turn") - 1).alias("query_id"), F.col("line").alias("path"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
