@@ -1,0 +1,15 @@
+"""How rows are spread over tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for costly work on a scan with fewer partitions than cores.
+
+    A small file is read by one task.  Large inputs have more partitions than
+    cores and are left as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

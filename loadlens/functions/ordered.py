@@ -9,6 +9,8 @@ measures the largest group first and takes one of two plans with equal results:
   group into many slices; windows run inside the slices, and each slice gets the
   value carried in from the slices before it.  Only the first group of a slice
   can have rows before it, so there are fewer carried rows than slices.
+
+``group_limit`` is the session's ``spark.loadlens.groupLimit``, or GROUP_LIMIT.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loadlens.functions.lineage import cut
 
 GROUP_LIMIT = 4_000_000
+LIMIT_SETTING = "spark.loadlens.groupLimit"
 
 _SLICE, _POS = "_slice", "_pos"
 
@@ -47,13 +50,16 @@ def running(
     maxes: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     before: bool = False,
-    group_limit: int = GROUP_LIMIT,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
     """Add running aggregates over the rows of a group up to the current row.
 
     ``sums`` (0 when empty), ``maxes`` and ``lasts`` (last value that is not NULL)
     map new column names to expressions.  ``before=True`` leaves the current row
     out.  ``order`` must be total inside a group for the result to be unique.
+
+    ``measure`` is a frame with the same keys and at least as many rows in every
+    group that costs less to count than ``df``.
     """
     sums, maxes, lasts = dict(sums or {}), dict(maxes or {}), dict(lasts or {})
     keys, order = list(keys), list(order)
@@ -66,7 +72,8 @@ def running(
         added |= {c: F.last(x, ignorenulls=True).over(span) for c, x in lasts.items()}
         return frame.withColumns(added)
 
-    if largest_group(df, keys) <= group_limit:
+    limit = int(df.sparkSession.conf.get(LIMIT_SETTING, str(GROUP_LIMIT)))
+    if largest_group(df if measure is None else measure, keys) <= limit:
         return windowed(df, keys)
 
     # Slice numbers come from sampled range bounds.  The cut makes them a stored

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadlens.functions.ordered import GROUP_LIMIT, running, same_keys
+from loadlens.functions.ordered import running, same_keys
 
 
 def quantiles(
@@ -16,7 +16,6 @@ def quantiles(
     wanted: Mapping[str, float],
     *,
     exact: bool = True,
-    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Per group: ``n`` values that are not NULL and one column per wanted quantile.
 
@@ -31,7 +30,7 @@ def quantiles(
         return present.groupBy(*by).agg(F.count(value).alias("n"), *sketch)
 
     counted = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_rows"))
-    ranked = running(counted, by, [value], sums={"_upto": F.col("_rows")}, group_limit=group_limit)
+    ranked = running(counted, by, [value], sums={"_upto": F.col("_rows")}, measure=present)
     if by:
         totals = counted.groupBy(*by).agg(F.sum("_rows").alias("n"))
         joined = ranked.join(totals, same_keys(ranked, totals, by)).drop(*[totals[k] for k in by])

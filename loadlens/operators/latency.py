@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loadlens.functions.lineage import cut
 from loadlens.functions.measures import bucket_ms, mib_per_s, per_second, size_class
-from loadlens.functions.ordered import GROUP_LIMIT, running, same_keys
+from loadlens.functions.ordered import running, same_keys
 from loadlens.functions.quantiles import quantiles
 
 # The steps of a percentile report, from the top.
@@ -71,7 +72,7 @@ def latency_summary(requests: DataFrame) -> DataFrame:
     return summary_figures(report, F.when(F.col("is_total") == 1, "TOTAL").otherwise(F.col("label")))
 
 
-def op_summary(ops: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def op_summary(ops: DataFrame) -> DataFrame:
     """Per operation: counts, latency with 95th and 99th percentile, overall rate."""
     counts = ops.groupBy("op").agg(
         F.count(F.lit(1)).alias("ops"),
@@ -81,7 +82,7 @@ def op_summary(ops: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
         F.count_if(F.col("status") == "OK").alias("ok"),
         F.count_if(F.col("status") != "OK").alias("errors"),
     )
-    tails = quantiles(ops, ["op"], "dur_us", {"p95": 0.95, "p99": 0.99}, group_limit=group_limit)
+    tails = quantiles(ops, ["op"], "dur_us", {"p95": 0.95, "p99": 0.99})
     overall = ops.agg(per_second(F.count(F.lit(1)), _run_us()).alias("rate"))
     return (
         counts.join(tails, same_keys(counts, tails, ["op"]), "left")
@@ -102,14 +103,14 @@ def latency_timeseries(ops: DataFrame, granularity_ms: int = 100) -> DataFrame:
 
 
 def progress_report(
-    ops: DataFrame, interval_ms: int = 30_000, group_limit: int = GROUP_LIMIT
+    ops: DataFrame, interval_ms: int = 30_000
 ) -> DataFrame:
     """Per interval: operations in it, operations so far, rate."""
     buckets = ops.groupBy(bucket_ms(F.col("start_us"), interval_ms).alias("bucket_ms")).agg(
         F.count(F.lit(1)).alias("ops")
     )
     so_far = running(
-        buckets, [], ["bucket_ms"], sums={"total_ops": F.col("ops")}, group_limit=group_limit
+        buckets, [], ["bucket_ms"], sums={"total_ops": F.col("ops")}, measure=ops
     )
     return so_far.withColumn("ops_per_s", F.col("ops") * 1000 / F.lit(interval_ms))
 
@@ -119,12 +120,11 @@ def percentile_table(
     value: str,
     by: Sequence[str] = (),
     exact: bool = True,
-    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Long table of MAX, the report's percentiles and MIN for each group."""
     wanted = {f"p{i}": p / 100 for i, p in enumerate(PERCENTILES)}
     wide = quantiles(
-        df, by, value, {"top": 1.0, **wanted, "low": 0.0}, exact=exact, group_limit=group_limit
+        df, by, value, {"top": 1.0, **wanted, "low": 0.0}, exact=exact
     )
     steps = [("MAX", "top")]
     steps += [(f"{p:.2f}", f"p{i}") for i, p in enumerate(PERCENTILES)]
@@ -173,12 +173,10 @@ def out_of_order(
     flow: Sequence[str],
     order: Sequence[str],
     seq: str,
-    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Arrivals whose sequence number is below one seen before in the same flow."""
     seen = running(
-        arrivals, flow, order, maxes={"highest_before": F.col(seq)}, before=True,
-        group_limit=group_limit,
+        arrivals, flow, order, maxes={"highest_before": F.col(seq)}, before=True
     )
     return seen.where(F.col(seq) < F.col("highest_before"))
 
@@ -188,7 +186,6 @@ def message_quality(
     flow: Sequence[str],
     order: Sequence[str],
     seq: str,
-    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Per flow: messages dropped, duplicated and out of order."""
     flow = list(flow)
@@ -199,7 +196,7 @@ def message_quality(
         (F.max(seq) - F.min(seq) + 1 - F.count(F.lit(1))).alias("dropped"),
         (F.sum("copies") - F.count(F.lit(1))).alias("duplicated"),
     )
-    late = out_of_order(arrivals, flow, order, seq, group_limit)
+    late = out_of_order(arrivals, flow, order, seq)
     late = late.groupBy(*flow).agg(F.count(F.lit(1)).alias("late"))
     return counts.join(late, same_keys(counts, late, flow), "left").select(
         counts["*"], F.coalesce(late.late, F.lit(0)).alias("out_of_order")
@@ -242,17 +239,17 @@ def peak_rate(sweep: DataFrame) -> DataFrame:
 
 
 def min_max_typical(
-    df: DataFrame, value: str, by: Sequence[str], group_limit: int = GROUP_LIMIT
+    df: DataFrame, value: str, by: Sequence[str]
 ) -> DataFrame:
     """Per group: iterations, minimum, maximum and typical (median) value."""
     wanted = {"t_min": 0.0, "t_max": 1.0, "t_typical": 0.5}
-    return quantiles(df, by, value, wanted, group_limit=group_limit).withColumnRenamed(
+    return quantiles(df, by, value, wanted).withColumnRenamed(
         "n", "iterations"
     )
 
 
 def compare_modes(
-    requests: DataFrame, mode: Column, left: str, right: str, group_limit: int = GROUP_LIMIT
+    requests: DataFrame, mode: Column, left: str, right: str
 ) -> DataFrame:
     """Each figure of two modes side by side, with the ratio right / left."""
     marked = requests.withColumn("mode", mode)
@@ -262,8 +259,7 @@ def compare_modes(
         F.stddev_pop(F.col("dur_us") / 1000).alias("stddev_ms"),
     )
     tails = quantiles(
-        marked, ["mode"], "dur_us", {"low": 0.0, "p50": 0.5, "p99": 0.99, "top": 1.0},
-        group_limit=group_limit,
+        marked, ["mode"], "dur_us", {"low": 0.0, "p50": 0.5, "p99": 0.99, "top": 1.0}
     )
     both = basics.join(tails, same_keys(basics, tails, ["mode"])).drop(tails["mode"])
     figures = F.array(
@@ -295,29 +291,28 @@ def all_ok(checks: DataFrame, by: Sequence[str], good: str) -> DataFrame:
     )
 
 
-def fanout_latency(leaf_times: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def fanout_latency(leaf_times: DataFrame) -> DataFrame:
     """A request ends with its slowest leaf: latency of requests and leaves by fan-out."""
     per_request = leaf_times.groupBy("request").agg(
         F.count(F.lit(1)).alias("fanout"), F.max("t").alias("t_request")
     )
-    leaves = leaf_times.join(per_request.select("request", "fanout"), "request")
+    # Kept, since the percentiles below read it more than once.
+    leaves = cut(leaf_times.join(per_request, "request").select("fanout", "t"))
     means = per_request.groupBy("fanout").agg(
         F.count(F.lit(1)).alias("requests"),
         (F.sum(F.col("t_request").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias(
             "mean_request"
         ),
     )
-    slow = quantiles(per_request, ["fanout"], "t_request", {"p99": 0.99}, group_limit=group_limit)
-    leaf = quantiles(leaves, ["fanout"], "t", {"p99_leaf": 0.99}, group_limit=group_limit)
+    slow = quantiles(per_request, ["fanout"], "t_request", {"p99": 0.99})
+    leaf = quantiles(leaves, ["fanout"], "t", {"p99_leaf": 0.99})
     return (
         means.join(slow.select("fanout", F.col("p99").alias("p99_request")), "fanout")
         .join(leaf.select("fanout", "p99_leaf"), "fanout")
     )
 
 
-def concurrency_profile(
-    requests: DataFrame, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
+def concurrency_profile(requests: DataFrame) -> DataFrame:
     """Per label: highest and mean number of requests in flight.
 
     A request counts from its start up to, and without, its end.  Starts and ends
@@ -334,7 +329,7 @@ def concurrency_profile(
     )
     steps = moves.groupBy("label", "t").agg(F.sum("delta").alias("delta"))
     level = running(
-        steps, ["label"], ["t"], sums={"in_flight": F.col("delta")}, group_limit=group_limit
+        steps, ["label"], ["t"], sums={"in_flight": F.col("delta")}, measure=moves
     )
     peaks = level.groupBy("label").agg(F.max("in_flight").alias("peak"))
     means = requests.groupBy("label").agg(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadlens.functions.ordered import GROUP_LIMIT, running
+from loadlens.functions.ordered import running
 
 # Operations that change a record, and the size of a record.
 WRITES = ("UPDATE", "INSERT")
@@ -48,7 +48,7 @@ def point_reads(reads: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def reads_as_of(ops: DataFrame, records: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def reads_as_of(ops: DataFrame, records: DataFrame) -> DataFrame:
     """Value each read sees: the last write before it, else the loaded value.
 
     The written value travels in a struct, so a write of NULL counts as a write.
@@ -56,8 +56,7 @@ def reads_as_of(ops: DataFrame, records: DataFrame, group_limit: int = GROUP_LIM
     written = F.when(_is_write(), F.struct(F.col("value").alias("value")))
     log = ops.select("key", "ts", "seq", "op", "value")
     seen = running(
-        log, ["key"], ["ts", "seq"], lasts={"written": written}, before=True,
-        group_limit=group_limit,
+        log, ["key"], ["ts", "seq"], lasts={"written": written}, before=True
     ).where(F.col("op") == "READ")
     loaded = records.select("key", F.struct(F.col("value").alias("value")).alias("loaded"))
     return seen.join(loaded, "key", "left").select(
@@ -94,12 +93,12 @@ def final_state(ops: DataFrame, records: DataFrame) -> DataFrame:
     return apply_writes(last_writes(ops), records)
 
 
-def key_popularity(ops: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def key_popularity(ops: DataFrame) -> DataFrame:
     """Operations per key, rank by popularity and cumulative share of all operations."""
     counts = ops.groupBy("key").agg(F.count(F.lit(1)).alias("ops"))
     ranked = running(
         counts, [], [F.col("ops").desc(), F.col("key")],
-        sums={"rank": F.lit(1), "ops_so_far": F.col("ops")}, group_limit=group_limit,
+        sums={"rank": F.lit(1), "ops_so_far": F.col("ops")}, measure=ops,
     )
     total = ops.select(F.count(F.lit(1))).scalar()
     return ranked.select(

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loadlens.functions.ordered import GROUP_LIMIT, running
+from loadlens.functions.ordered import running
 
 
 def not_ready(nodes: DataFrame, logs: DataFrame, pattern: str) -> DataFrame:
@@ -44,7 +44,7 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], k: in
 
 
 def group_members(
-    df: DataFrame, group: str, member: str, per_row: int = 1000, group_limit: int = GROUP_LIMIT
+    df: DataFrame, group: str, member: str, per_row: int = 1000
 ) -> DataFrame:
     """Ordered members of each group, at most ``per_row`` of them in one row.
 
@@ -52,7 +52,7 @@ def group_members(
     2, ..., so no row and no task has to hold a whole group.
     """
     members = df.select(group, member).distinct()
-    numbered = running(members, [group], [member], sums={"n": F.lit(1)}, group_limit=group_limit)
+    numbered = running(members, [group], [member], sums={"n": F.lit(1)}, measure=df)
     part = F.floor((F.col("n") - 1) / per_row).alias("part")
     return numbered.groupBy(group, part).agg(
         F.array_sort(F.collect_list(member)).alias("members")

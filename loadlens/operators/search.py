@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadlens.functions.ordered import GROUP_LIMIT, running
+from loadlens.functions.ordered import running
 from loadlens.functions.text import is_redirect, links_of, shard_of, tokens_of
 from loadlens.operators.relational import top_k
 
@@ -33,33 +33,38 @@ def page_links(pages: DataFrame, page: str, html: str) -> DataFrame:
 def tokenize(docs: DataFrame) -> DataFrame:
     """One row per word of ``(doc_id, text)``: term, position and document length."""
     words = docs.select("doc_id", tokens_of(F.col("text")).alias("words"))
-    return words.select(
-        "doc_id", F.size("words").alias("doc_len"), F.posexplode("words").alias("pos", "term")
-    )
+    sized = words.select("doc_id", F.size("words").alias("doc_len"), "words")
+    return sized.select("doc_id", "doc_len", F.posexplode("words").alias("pos", "term"))
 
 
-def build_index(docs: DataFrame) -> DataFrame:
+def build_index(docs: DataFrame, positions: bool = True) -> DataFrame:
     """Inverted index: one row per term and document.
 
-    A group holds the positions of one term in one document, so a common term is
-    spread over its documents.
+    A group is one term in one document, so a common term is spread over its
+    documents.  Ranked search needs no ``positions``; without them the whole
+    aggregation runs on fixed-size buffers.
     """
-    return (
-        tokenize(docs)
-        .groupBy("term", "doc_id")
-        .agg(
-            F.count(F.lit(1)).alias("tf"),
-            F.array_sort(F.collect_list("pos")).alias("positions"),
-            F.first("doc_len").alias("doc_len"),
-        )
-    )
+    figures = [
+        F.count(F.lit(1)).alias("tf"),
+        F.min("pos").alias("first_pos"),
+        F.max("doc_len").alias("doc_len"),
+    ]
+    if positions:
+        figures.append(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return tokenize(docs).groupBy("term", "doc_id").agg(*figures)
+
 
+def store_index(index: DataFrame, path: str, shards: int) -> DataFrame:
+    """Write an index in shard folders, each file in order of terms, and read it back.
 
-def write_index(index: DataFrame, path: str, shards: int) -> None:
-    """Store an index in shard folders; each shard may use many tasks and files."""
-    index.withColumn("shard", shard_of(F.col("doc_id"), shards)).write.mode("overwrite").partitionBy(
+    A shard is written by many tasks.  The order lets a reader skip the parts of a
+    file whose terms are not asked for.
+    """
+    placed = index.withColumn("shard", shard_of(F.col("doc_id"), shards))
+    placed.sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy(
         "shard"
     ).parquet(path)
+    return index.sparkSession.read.parquet(path)
 
 
 def idf(total: Column, df: Column) -> Column:
@@ -78,7 +83,7 @@ def term_stats(index: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("df"),
             F.sum("tf").alias("cf"),
-            F.min(F.col("positions")[0]).alias("first_pos"),
+            F.min("first_pos").alias("first_pos"),
         )
         .withColumn("idf", idf(_document_count(index), F.col("df")))
     )
@@ -103,17 +108,18 @@ def matches(index: DataFrame, queries: DataFrame, shards: int | None = None) ->
     terms = asked.select("term").distinct()
     postings = index.select("term", "doc_id", "tf", "doc_len").join(terms, "term", "left_semi")
     if shards is None:
+        key = ["term"]
         stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         stats = stats.withColumn("idf", idf(_document_count(index), F.col("df")))
-        weighted = postings.join(stats.select("term", "idf"), "term")
     else:
+        key = ["term", "shard"]
         shard = shard_of(F.col("doc_id"), shards).alias("shard")
         sizes = index.select("doc_id").distinct().groupBy(shard).agg(F.count(F.lit(1)).alias("docs"))
         postings = postings.select("*", shard)
         stats = postings.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("df"))
         stats = stats.join(sizes, "shard").withColumn("idf", idf(F.col("docs"), F.col("df")))
-        weighted = postings.join(stats.select("shard", "term", "idf"), ["shard", "term"])
-    hits = weighted.join(asked, "term").select(
+    weights = asked.join(stats.select(*key, "idf"), "term")
+    hits = postings.join(weights, key).select(
         "query_id",
         "doc_id",
         "asked",
@@ -151,7 +157,6 @@ def replay_queries(
     slots: DataFrame,
     slot: str,
     k: int = 10,
-    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Run a query list over and over, slot by slot, and report hits per query.
 
@@ -159,8 +164,7 @@ def replay_queries(
     the part of all slots whose query finds nothing.
     """
     listed = running(
-        queries.select("query_id"), [], ["query_id"], sums={"turn": F.lit(1)},
-        group_limit=group_limit,
+        queries.select("query_id"), [], ["query_id"], sums={"turn": F.lit(1)}
     ).select("query_id", (F.col("turn") - 1).alias("turn"))
     size = queries.select(F.count(F.lit(1))).scalar()
     runs = slots.groupBy(F.pmod(F.col(slot), size).alias("turn")).agg(

@@ -103,7 +103,9 @@ def query_list(spark, sf_dir):
 def node_logs(spark, sf_dir):
     folder = scratch_folder(spark, "logs")
     lines = ready_lines(requests(spark, sf_dir)).select("node", "line")
-    lines.write.partitionBy("node").text(folder)
+    # Lines of a node meet before the write, so a node folder has few files.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartition(parts, "node").write.partitionBy("node").text(folder)
     logs = files.read_node_logs(spark, f"{folder}/*/*.txt")
     return logs.groupBy("node").agg(
         F.count(F.lit(1)).alias("lines"),
@@ -188,9 +190,9 @@ def kv_table(spark, sf_dir):
 )
 def stored_index(spark, sf_dir):
     folder = scratch_folder(spark, "index")
-    search.write_index(search.build_index(documents(spark, sf_dir)), folder, SHARDS)
+    index = search.build_index(documents(spark, sf_dir))
     return (
-        spark.read.parquet(folder)
+        search.store_index(index, folder, SHARDS)
         .groupBy(F.col("shard").cast("bigint").alias("shard"))
         .agg(
             F.count(F.lit(1)).alias("postings"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loadlens.functions.layout import spread
 from loadlens.plans.registry import query
 from loadlens.plans.views import requests, table, with_views
 from loadlens.sources import reports
@@ -151,4 +152,4 @@ def _expected() -> str:
     ),
 )
 def perf_report_rows(spark, sf_dir):
-    return reports.report_rows(report_lines(requests(spark, sf_dir)))
+    return reports.report_rows(report_lines(spread(requests(spark, sf_dir))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loadlens.functions.lineage import scratch_folder
 from loadlens.operators import search
 from loadlens.plans.registry import query, rounded
 from loadlens.plans.views import documents, search_queries, table, with_views
@@ -14,6 +15,12 @@ MARK = "^The .*"
 MARK_SQL = r"^The [^\n\r\x{85}\x{2028}\x{2029}]*"
 
 
+def stored_words(spark, sf_dir):
+    """Index without positions, written once and read by the steps of a search."""
+    index = search.build_index(documents(spark, sf_dir), positions=False)
+    return search.store_index(index, scratch_folder(spark, "index"), SHARDS)
+
+
 @query(
     "filter_redirects",
     f"SELECT doc_id, lang FROM documents WHERE NOT regexp_matches(text, '{MARK_SQL}')",
@@ -68,7 +75,7 @@ def shard_sizes(spark, sf_dir):
     ),
 )
 def inverted_index(spark, sf_dir):
-    index = search.build_index(documents(spark, sf_dir))
+    index = search.build_index(documents(spark, sf_dir)).drop("first_pos")
     return index.withColumns(
         {
             "doc_len": F.col("doc_len").cast("bigint"),
@@ -89,7 +96,7 @@ def inverted_index(spark, sf_dir):
     ),
 )
 def term_stats(spark, sf_dir):
-    stats = search.term_stats(search.build_index(documents(spark, sf_dir)))
+    stats = search.term_stats(stored_words(spark, sf_dir))
     return rounded(stats.withColumn("first_pos", F.col("first_pos").cast("bigint")), 9)
 
 
@@ -125,13 +132,13 @@ def _found(df):
 
 @query("search_topk", TOP_K)
 def search_topk(spark, sf_dir):
-    index = search.build_index(documents(spark, sf_dir))
+    index = stored_words(spark, sf_dir)
     return _found(search.search(index, search_queries(spark, sf_dir)))
 
 
 @query("search_topk_sharded", TOP_K)
 def search_topk_sharded(spark, sf_dir):
-    index = search.build_index(documents(spark, sf_dir))
+    index = stored_words(spark, sf_dir)
     return _found(search.search_sharded(index, search_queries(spark, sf_dir), SHARDS))
 
 
@@ -165,7 +172,7 @@ def search_topk_sharded(spark, sf_dir):
     ),
 )
 def search_topk_shard_stats(spark, sf_dir):
-    index = search.build_index(documents(spark, sf_dir))
+    index = stored_words(spark, sf_dir)
     queries = search_queries(spark, sf_dir)
     return _found(search.search_sharded(index, queries, SHARDS, shard_stats=True))
 
@@ -191,7 +198,7 @@ def search_topk_shard_stats(spark, sf_dir):
     ),
 )
 def query_replay(spark, sf_dir):
-    index = search.build_index(documents(spark, sf_dir))
+    index = stored_words(spark, sf_dir)
     slots = table(spark, sf_dir, "events").select("event_id")
     return rounded(
         search.replay_queries(index, search_queries(spark, sf_dir), slots, "event_id")

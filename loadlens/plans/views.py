@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loadlens.functions.layout import spread
 from loadlens.functions.text import tokens_of
 
 
@@ -91,7 +92,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loadlens.functions.ordered import GROUP_LIMIT, running
+from loadlens.functions.ordered import running
 from loadlens.sources.files import number_lines, read_lines
 
 # Forms of the lines of a report.  Each form has the text its table
@@ -138,11 +138,11 @@ def with_titles(lines: DataFrame) -> DataFrame:
 
 
 def fill_sections(
-    lines: DataFrame, title: str = "title", group_limit: int = GROUP_LIMIT
+    lines: DataFrame, title: str = "title"
 ) -> DataFrame:
     """Give each line the last title at or above it in its file, as ``section``."""
     return running(
-        lines, ["file"], ["line_no"], lasts={"section": F.col(title)}, group_limit=group_limit
+        lines, ["file"], ["line_no"], lasts={"section": F.col(title)}
     )
 
 
@@ -169,7 +169,7 @@ def _figures(header: str | None, pattern: str, key: int | str, figures: list) ->
     return F.when(fits, rows)
 
 
-def report_rows(lines: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def report_rows(lines: DataFrame) -> DataFrame:
     """Figures of numbered report lines, one row each.
 
     ``table_no`` counts the table headers of a file: a section that prints one
@@ -183,7 +183,7 @@ def report_rows(lines: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
         ["line_no"],
         sums={"table_no": is_header.cast("bigint")},
         lasts={"section": F.col("title"), "header": header},
-        group_limit=group_limit,
+        measure=lines,
     )
     found = reduce(lambda a, b: F.coalesce(a, b), [_figures(*form) for form in FORMS])
     return placed.select("file", "section", "line_no", "table_no", F.inline(found))
