@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loadlens.functions.lineage import cut
 
@@ -28,6 +28,11 @@ LIMIT_SETTING = "spark.loadlens.groupLimit"
 _SLICE, _POS = "_slice", "_pos"
 
 
+def group_limit(spark: SparkSession) -> int:
+    """Rows a group may have before it is split."""
+    return int(spark.conf.get(LIMIT_SETTING, str(GROUP_LIMIT)))
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows in the largest group (map-side combined; one number comes back)."""
     if not keys:
@@ -72,8 +77,8 @@ def running(
         added |= {c: F.last(x, ignorenulls=True).over(span) for c, x in lasts.items()}
         return frame.withColumns(added)
 
-    limit = int(df.sparkSession.conf.get(LIMIT_SETTING, str(GROUP_LIMIT)))
-    if largest_group(df if measure is None else measure, keys) <= limit:
+    largest = largest_group(df if measure is None else measure, keys)
+    if largest <= group_limit(df.sparkSession):
         return windowed(df, keys)
 
     # Slice numbers come from sampled range bounds.  The cut makes them a stored

@@ -8,6 +8,7 @@ from pyspark.sql.types import DataType
 # Patterns and formats of the input files.
 WORD = r"[\p{L}\p{N}]+"
 HREF = r'href="([^"]+)"'
+ARTICLE_LINK = r"<target>([^<]+)</target>"
 REDIRECT = r"^#REDIRECT .*"
 ISO_INSTANT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 RUN_LABEL = "yyyy-MM-dd-HH-mm-ss"
@@ -18,9 +19,9 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def links_of(html: Column) -> Column:
+def links_of(body: Column, pattern: str = HREF) -> Column:
     """Targets of all links of a page body, in order and with repeats."""
-    return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    return F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
 
 
 def is_redirect(text: Column, pattern: str = REDIRECT, strict: bool = False) -> Column:

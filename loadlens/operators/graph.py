@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
+from loadlens.functions.joins import split_join
 from loadlens.functions.lineage import cut
+from loadlens.functions.text import ARTICLE_LINK
+from loadlens.operators.search import page_links
 
 DAMPING = 0.85
 BLOCK = 1_000_000
@@ -43,8 +46,9 @@ def pagerank(
     pages = pages.persist(StorageLevel.MEMORY_AND_DISK)
     total = pages.count()
 
+    sizes = degree.select("src", F.col("links").alias("rows"))
     placed = (
-        edges.join(degree.select("src", "blocks"), "src")
+        split_join(edges, degree.select("src", "blocks"), ["src"], sizes)
         .select("src", F.pmod(F.hash("dst"), F.col("blocks")).alias("block"), "dst")
         .repartition(parts, "src", "block")
         .sortWithinPartitions("src", "block")
@@ -75,6 +79,20 @@ def pagerank(
     return ranks.select("id", "rank")
 
 
+def rank_articles(
+    articles: DataFrame, threshold: float, partitions: int | None = None, iterations: int = 10
+) -> DataFrame:
+    """Whole job on an article dump ``(title, body)``: articles with at least a rank.
+
+    Articles are the pages; links to titles that are not in the dump are dropped.
+    """
+    links = page_links(articles, "title", "body", ARTICLE_LINK)
+    titles = articles.select(F.col("title").alias("id"))
+    return rank_threshold(
+        pagerank(links, iterations, partitions=partitions, vertices=titles), threshold
+    )
+
+
 def rank_threshold(ranks: DataFrame, threshold: float) -> DataFrame:
     """Pages with at least the given rank, best first."""
     return ranks.where(F.col("rank") >= threshold).orderBy(F.col("rank").desc(), "id")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loadlens.functions.joins import split_join
 from loadlens.functions.lineage import cut
 from loadlens.functions.measures import bucket_ms, mib_per_s, per_second, size_class
 from loadlens.functions.ordered import running, same_keys
@@ -296,8 +297,10 @@ def fanout_latency(leaf_times: DataFrame) -> DataFrame:
     per_request = leaf_times.groupBy("request").agg(
         F.count(F.lit(1)).alias("fanout"), F.max("t").alias("t_request")
     )
+    sizes = per_request.select("request", F.col("fanout").alias("rows"))
+    leaves = split_join(leaf_times, per_request, ["request"], sizes)
     # Kept, since the percentiles below read it more than once.
-    leaves = cut(leaf_times.join(per_request, "request").select("fanout", "t"))
+    leaves = cut(leaves.select("fanout", "t"))
     means = per_request.groupBy("fanout").agg(
         F.count(F.lit(1)).alias("requests"),
         (F.sum(F.col("t_request").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias(

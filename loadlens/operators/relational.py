@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loadlens.functions.ordered import running
 
 
+# Largest k for which Spark limits groups before the shuffle (its default).
+PUSHED_LIMIT = 1000
+
+
 def not_ready(nodes: DataFrame, logs: DataFrame, pattern: str) -> DataFrame:
     """Nodes whose log has no line that matches the ready pattern."""
     ready = logs.where(F.col("line").rlike(pattern)).select("node").distinct()
@@ -36,11 +40,13 @@ def enrich(rows: DataFrame, names: DataFrame, key: str, default: str | None = No
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], k: int) -> DataFrame:
     """First ``k`` rows of each group, numbered from 1.
 
-    Spark keeps at most ``k`` rows per group and input partition before the
-    shuffle, so a large group does not reach one task whole.
+    For a small ``k`` Spark keeps at most ``k`` rows per group and input partition
+    before the shuffle, so a large group does not reach one task whole.
     """
+    if k > PUSHED_LIMIT:
+        return running(df, by, order, sums={"place": F.lit(1)}).where(F.col("place") <= k)
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("place", place).where(F.col("place") <= k)
+    return df.withColumn("place", place.cast("bigint")).where(F.col("place") <= k)
 
 
 def group_members(

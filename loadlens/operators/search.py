@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlens.functions.ordered import running
-from loadlens.functions.text import is_redirect, links_of, shard_of, tokens_of
+from loadlens.functions.joins import checked_join
+from loadlens.functions.lineage import cut
+from loadlens.functions.text import HREF, is_redirect, links_of, shard_of, tokens_of
 from loadlens.operators.relational import top_k
 
 PLACES = 9
@@ -25,9 +27,10 @@ def drop_redirects(
     return docs.where(~F.coalesce(is_redirect(F.col(text), strict=strict, **mark), F.lit(False)))
 
 
-def page_links(pages: DataFrame, page: str, html: str) -> DataFrame:
+def page_links(pages: DataFrame, page: str, body: str, pattern: str = HREF) -> DataFrame:
     """One row per link of each page body."""
-    return pages.select(F.col(page).alias("src"), F.explode(links_of(F.col(html))).alias("dst"))
+    links = F.explode(links_of(F.col(body), pattern))
+    return pages.select(F.col(page).alias("src"), links.alias("dst"))
 
 
 def tokenize(docs: DataFrame) -> DataFrame:
@@ -101,25 +104,27 @@ def _asked(queries: DataFrame) -> DataFrame:
 def matches(index: DataFrame, queries: DataFrame, shards: int | None = None) -> DataFrame:
     """Score of every document that contains an asked term.
 
-    Only asked terms of the index are kept, counted and scored.  ``shards`` takes
-    document counts from the document's own shard instead of the whole index.
+    ``shards`` takes document counts from the document's own shard instead of the
+    whole index.  The weights have one row per query and asked term (and shard):
+    a short list is broadcast, and with a long one the most common terms are cut
+    into blocks, so no task gets all documents of a term.
     """
     asked = _asked(queries)
-    terms = asked.select("term").distinct()
-    postings = index.select("term", "doc_id", "tf", "doc_len").join(terms, "term", "left_semi")
+    postings = index.select("term", "doc_id", "tf", "doc_len")
     if shards is None:
         key = ["term"]
-        stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        stats = stats.withColumn("idf", idf(_document_count(index), F.col("df")))
+        stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+        stats = stats.withColumn("idf", idf(_document_count(index), F.col("rows")))
     else:
         key = ["term", "shard"]
-        shard = shard_of(F.col("doc_id"), shards).alias("shard")
-        sizes = index.select("doc_id").distinct().groupBy(shard).agg(F.count(F.lit(1)).alias("docs"))
-        postings = postings.select("*", shard)
-        stats = postings.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("df"))
-        stats = stats.join(sizes, "shard").withColumn("idf", idf(F.col("docs"), F.col("df")))
-    weights = asked.join(stats.select(*key, "idf"), "term")
-    hits = postings.join(weights, key).select(
+        postings = postings.withColumn("shard", shard_of(F.col("doc_id"), shards))
+        sizes = postings.select("shard", "doc_id").distinct()
+        sizes = sizes.groupBy("shard").agg(F.count(F.lit(1)).alias("docs"))
+        stats = postings.groupBy("term", "shard").agg(F.count(F.lit(1)).alias("rows"))
+        stats = stats.join(sizes, "shard").withColumn("idf", idf(F.col("docs"), F.col("rows")))
+    weights = cut(asked.join(stats, "term"))
+    sizes = weights.select(*key, "rows").distinct()
+    hits = checked_join(postings, weights.drop("rows"), key, sizes).select(
         "query_id",
         "doc_id",
         "asked",

@@ -89,9 +89,7 @@ def topk_per_group(spark, sf_dir):
         "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice"
     )
     order = [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber"]
-    return relational.top_k(items, ["l_suppkey"], order, 10).withColumn(
-        "place", F.col("place").cast("bigint")
-    )
+    return relational.top_k(items, ["l_suppkey"], order, 10)
 
 
 @query(

@@ -127,7 +127,7 @@ TOP_K = with_views(
 
 
 def _found(df):
-    return df.select("query_id", "doc_id", "score", F.col("place").cast("bigint").alias("place"))
+    return df.select("query_id", "doc_id", "score", "place")
 
 
 @query("search_topk", TOP_K)

@@ -126,10 +126,13 @@ def write_results_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue='""')
 
 
-def read_results_csv(spark: SparkSession, path: str, schema: str = RESULT_SCHEMA) -> DataFrame:
+def read_results_csv(
+    spark: SparkSession, path: str, schema: str = RESULT_SCHEMA, line_breaks: bool = True
+) -> DataFrame:
     """Result rows written by ``write_results_csv`` or by a load test.
 
-    Quoted fields may hold line breaks, so a file is read by one task; results are
-    written as many files.
+    Quoted fields may hold line breaks, and then a file cannot be cut: each is read
+    by one task.  ``line_breaks=False`` says that there are none and lets many
+    tasks read a large file.
     """
-    return spark.read.csv(path, schema=schema, header=True, escape='"', multiLine=True)
+    return spark.read.csv(path, schema=schema, header=True, escape='"', multiLine=line_breaks)
