@@ -133,6 +133,9 @@ def read_results_csv(
 
     Quoted fields may hold line breaks, and then a file cannot be cut: each is read
     by one task.  ``line_breaks=False`` says that there are none and lets many
-    tasks read a large file.
+    tasks read a large file.  An empty field is NULL and a quoted empty one a text;
+    the marker for NULL only has to be something that no field holds.
     """
-    return spark.read.csv(path, schema=schema, header=True, escape='"', multiLine=line_breaks)
+    return spark.read.csv(
+        path, schema=schema, header=True, escape='"', nullValue="\u0000", multiLine=line_breaks
+    )
