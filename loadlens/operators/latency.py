@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from loadlens.functions.joins import split_join
 from loadlens.functions.lineage import cut
@@ -21,6 +21,11 @@ from loadlens.functions.quantiles import quantiles
 PERCENTILES = (99.99, 99.9, 99.5, 99.0, 95.0, 90.0, 75.0, 50.0, 25.0)
 
 
+def _every_row() -> WindowSpec:
+    """All rows at once: only for tables with one row per operation or stream."""
+    return Window.partitionBy()
+
+
 def _end_us() -> Column:
     return F.col("start_us") + F.col("dur_us")
 
@@ -82,17 +87,16 @@ def op_summary(ops: DataFrame) -> DataFrame:
         (F.max("dur_us") / 1000).alias("max_ms"),
         F.count_if(F.col("status") == "OK").alias("ok"),
         F.count_if(F.col("status") != "OK").alias("errors"),
+        F.min("start_us").alias("first_us"),
+        F.max(_end_us()).alias("last_us"),
     )
+    # The whole run from one row per operation, without reading the log again.
+    run_us = F.max("last_us").over(_every_row()) - F.min("first_us").over(_every_row())
+    overall = per_second(F.sum("ops").over(_every_row()), run_us)
+    counts = counts.withColumn("overall_ops_per_s", overall).drop("first_us", "last_us")
     tails = quantiles(ops, ["op"], "dur_us", {"p95": 0.95, "p99": 0.99})
-    overall = ops.agg(per_second(F.count(F.lit(1)), _run_us()).alias("rate"))
-    return (
-        counts.join(tails, same_keys(counts, tails, ["op"]), "left")
-        .select(
-            counts["*"],
-            (tails.p95 / 1000).alias("p95_ms"),
-            (tails.p99 / 1000).alias("p99_ms"),
-        )
-        .withColumn("overall_ops_per_s", overall.scalar())
+    return counts.join(tails, same_keys(counts, tails, ["op"]), "left").select(
+        counts["*"], (tails.p95 / 1000).alias("p95_ms"), (tails.p99 / 1000).alias("p99_ms")
     )
 
 
@@ -144,11 +148,11 @@ def valid_window(requests: DataFrame, head_us: int, tail_us: int) -> DataFrame:
 
     Sent counts requests that start in the run, received those that succeed.
     """
-    span = requests.agg(F.min("start_us").alias("lo"), F.max("start_us").alias("hi"))
-    lo = span.select(F.col("lo") + head_us).scalar()
-    hi = span.select(F.col("hi") - tail_us).scalar()
-    marked = requests.withColumns({"from_us": lo, "to_us": hi})
-    inside = F.col("start_us").between(F.col("from_us"), F.col("to_us"))
+    valid = F.struct(
+        (F.min("start_us") + head_us).alias("from_us"), (F.max("start_us") - tail_us).alias("to_us")
+    )
+    marked = requests.withColumn("valid", requests.select(valid).scalar())
+    inside = F.col("start_us").between(F.col("valid.from_us"), F.col("valid.to_us"))
 
     def figures(phase: str, keep: Column, run_us: Column) -> Column:
         dur = F.when(keep, F.col("dur_us"))
@@ -164,7 +168,7 @@ def valid_window(requests: DataFrame, head_us: int, tail_us: int) -> DataFrame:
     total_us = F.max("start_us") - F.min("start_us")
     phases = F.array(
         figures("total", F.lit(True), total_us),
-        figures("valid", inside, F.max("to_us") - F.min("from_us")),
+        figures("valid", inside, F.max("valid.to_us") - F.min("valid.from_us")),
     )
     return marked.agg(phases.alias("phases")).select(F.inline("phases"))
 
@@ -206,16 +210,21 @@ def message_quality(
 
 def stream_bandwidth(requests: DataFrame, stream: Column) -> DataFrame:
     """Bytes and rate of each parallel stream, and a SUM row over all of them."""
-    run = requests.agg(_run_us().alias("run_us"))
     rows = (
-        requests.select(stream.cast("string").alias("stream"), "bytes")
+        requests.withColumn("stream", stream.cast("string"))
         .rollup("stream")
-        .agg(F.grouping("stream").alias("is_sum"), F.sum("bytes").alias("bytes"))
+        .agg(
+            F.grouping("stream").alias("is_sum"),
+            F.sum("bytes").alias("bytes"),
+            _run_us().alias("run_us"),
+        )
     )
+    # All rates are over the whole run, which is that of the SUM row.
+    whole_run = F.max("run_us").over(_every_row())
     return rows.select(
         F.when(F.col("is_sum") == 1, "SUM").otherwise(F.col("stream")).alias("stream"),
         "bytes",
-        per_second(F.col("bytes") * 8, run.scalar()).alias("bits_per_s"),
+        per_second(F.col("bytes") * 8, whole_run).alias("bits_per_s"),
     )
 
 
@@ -294,12 +303,14 @@ def all_ok(checks: DataFrame, by: Sequence[str], good: str) -> DataFrame:
 
 def fanout_latency(leaf_times: DataFrame) -> DataFrame:
     """A request ends with its slowest leaf: latency of requests and leaves by fan-out."""
-    per_request = leaf_times.groupBy("request").agg(
-        F.count(F.lit(1)).alias("fanout"), F.max("t").alias("t_request")
+    # Both tables are kept, since the figures below read them more than once.
+    per_request = cut(
+        leaf_times.groupBy("request").agg(
+            F.count(F.lit(1)).alias("fanout"), F.max("t").alias("t_request")
+        )
     )
     sizes = per_request.select("request", F.col("fanout").alias("rows"))
     leaves = split_join(leaf_times, per_request, ["request"], sizes)
-    # Kept, since the percentiles below read it more than once.
     leaves = cut(leaves.select("fanout", "t"))
     means = per_request.groupBy("fanout").agg(
         F.count(F.lit(1)).alias("requests"),

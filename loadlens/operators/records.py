@@ -6,7 +6,7 @@ and inserts are writes.  Order is (``ts``, ``seq``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadlens.functions.ordered import running
 
@@ -108,12 +108,10 @@ def key_popularity(ops: DataFrame) -> DataFrame:
 
 def op_mix(ops: DataFrame) -> DataFrame:
     """Share of each operation."""
-    total = ops.select(F.count(F.lit(1))).scalar()
-    return (
-        ops.groupBy("op")
-        .agg(F.count(F.lit(1)).alias("ops"))
-        .withColumn("share", F.col("ops") / total)
-    )
+    counts = ops.groupBy("op").agg(F.count(F.lit(1)).alias("ops"))
+    # One row per operation is left.
+    total = F.sum("ops").over(Window.partitionBy())
+    return counts.withColumn("share", F.col("ops") / total)
 
 
 def new_keys(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

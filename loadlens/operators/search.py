@@ -8,7 +8,7 @@ Ranks go by the score rounded to 9 places, then by document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadlens.functions.ordered import running
 from loadlens.functions.joins import checked_join
@@ -176,15 +176,11 @@ def replay_queries(
         F.count(F.lit(1)).alias("runs")
     )
     found = matches(index, queries).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
-    report = (
+    hits = F.coalesce("hits", F.lit(0))
+    report = cut(
         listed.join(runs, "turn")
         .join(found, "query_id", "left")
-        .select(
-            "query_id",
-            "runs",
-            F.coalesce("hits", F.lit(0)).alias("hits"),
-            F.least(F.coalesce("hits", F.lit(0)), F.lit(k)).alias("returned"),
-        )
+        .select("query_id", "runs", hits.alias("hits"), F.least(hits, F.lit(k)).alias("returned"))
     )
     empty = report.select(
         F.sum(F.when(F.col("hits") == 0, F.col("runs")).otherwise(0)) / F.sum("runs")
@@ -197,5 +193,6 @@ def shard_sizes(docs: DataFrame, shards: int) -> DataFrame:
     sizes = docs.groupBy(shard_of(F.col("doc_id"), shards).alias("shard")).agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).alias("bytes")
     )
-    total = docs.select(F.sum(F.octet_length("text"))).scalar()
+    # One row per shard is left, so the texts need not be read again for the total.
+    total = F.sum("bytes").over(Window.partitionBy())
     return sizes.withColumn("share", F.col("bytes") / total)

@@ -56,14 +56,17 @@ def rank_threshold(spark, sf_dir):
     return graph.rank_threshold(ranks, 1.0 / ranks.count())
 
 
+X, Y = estimate.PRIME_X, estimate.PRIME_Y
+
+
 @query(
     "monte_carlo_pi",
-    """
+    f"""
     SELECT count(*) AS points, count(*) FILTER (x * x + y * y <= 1) AS inside,
            round(count(*) FILTER (x * x + y * y <= 1) * 4 / count(*), 9) AS pi
-    FROM (SELECT (a - floor(a)) * 2 - 1 AS x, (b - floor(b)) * 2 - 1 AS y
-          FROM (SELECT o_orderkey::DOUBLE * 0.7548776662466927::DOUBLE AS a,
-                       o_orderkey::DOUBLE * 0.5698402909980532::DOUBLE AS b FROM orders))""",
+    FROM (SELECT o_orderkey % {X} * {estimate.STEP_X} % {X} / {X} * 2 - 1 AS x,
+                 o_orderkey % {Y} * {estimate.STEP_Y} % {Y} / {Y} * 2 - 1 AS y
+          FROM orders)""",
 )
 def monte_carlo_pi(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey")

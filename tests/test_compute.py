@@ -82,6 +82,9 @@ def test_pi(spark):
     assert estimate.monte_carlo_pi(spark, 200_000, slices=3).first() == row
     inside = 0
     for i in range(1, 2001):
-        x, y = (i * estimate.STEP_X % 1 * 2 - 1), (i * estimate.STEP_Y % 1 * 2 - 1)
+        x = i * estimate.STEP_X % estimate.PRIME_X / estimate.PRIME_X * 2 - 1
+        y = i * estimate.STEP_Y % estimate.PRIME_Y / estimate.PRIME_Y * 2 - 1
         inside += x * x + y * y <= 1
     assert estimate.monte_carlo_pi(spark, 2000).first().inside == inside
+    far = spark.range(10**15, 10**15 + 100_000)
+    assert estimate.estimate_pi(far, "id").first().pi == pytest.approx(math.pi, abs=0.01)
