@@ -33,28 +33,43 @@ def page_links(pages: DataFrame, page: str, body: str, pattern: str = HREF) -> D
     return pages.select(F.col(page).alias("src"), links.alias("dst"))
 
 
-def tokenize(docs: DataFrame) -> DataFrame:
-    """One row per word of ``(doc_id, text)``: term, position and document length."""
-    words = docs.select("doc_id", tokens_of(F.col("text")).alias("words"))
-    sized = words.select("doc_id", F.size("words").alias("doc_len"), "words")
-    return sized.select("doc_id", "doc_len", F.posexplode("words").alias("pos", "term"))
-
-
 def build_index(docs: DataFrame, positions: bool = True) -> DataFrame:
-    """Inverted index: one row per term and document.
+    """Inverted index of ``(doc_id, text)``: one row per document and term in it.
 
-    A group is one term in one document, so a common term is spread over its
-    documents.  Ranked search needs no ``positions``; without them the whole
-    aggregation runs on fixed-size buffers.
+    ``doc_id`` is unique, so all words of a group are in one input row and no
+    shuffle is needed: the words of a text are sorted with their positions, and
+    each run of equal words becomes a row.  ``positions=False`` leaves out the
+    lists, which ranked search does not read.
     """
-    figures = [
-        F.count(F.lit(1)).alias("tf"),
-        F.min("pos").alias("first_pos"),
-        F.max("doc_len").alias("doc_len"),
+    words = docs.select("doc_id", tokens_of(F.col("text")).alias("words"))
+    pairs = F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
+    placed = words.select("doc_id", F.sort_array(pairs).alias("placed"))
+    in_order = placed.select(
+        "doc_id",
+        F.size("placed").alias("doc_len"),
+        F.col("placed.term").alias("terms"),
+        F.col("placed.pos").alias("places"),
+    )
+    # A run starts where a word differs from the one before it.  The list of words
+    # before is longer by one, so the end of the last run is marked as well.
+    before = F.concat(F.array(F.lit(None).cast("string")), "terms")
+    differs = F.zip_with("terms", before, lambda word, last: ~word.eqNullSafe(last))
+    marks = F.transform(differs, lambda new, i: F.when(new, i))
+    marked = in_order.withColumn("bounds", F.array_compact(marks))
+    ends = F.slice("bounds", F.lit(2), F.size("bounds"))
+    runs = F.zip_with("bounds", ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    start, tf = F.col("run.start"), F.col("run.end") - F.col("run.start")
+    columns = [
+        F.get("terms", start).alias("term"),
+        F.col("doc_id"),
+        tf.cast("bigint").alias("tf"),
+        F.get("places", start).alias("first_pos"),
+        F.col("doc_len"),
     ]
     if positions:
-        figures.append(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return tokenize(docs).groupBy("term", "doc_id").agg(*figures)
+        columns.append(F.slice("places", start + 1, tf).alias("positions"))
+    exploded = marked.select("doc_id", "doc_len", "terms", "places", F.explode(runs).alias("run"))
+    return exploded.where("run.end IS NOT NULL").select(*columns)
 
 
 def store_index(index: DataFrame, path: str, shards: int) -> DataFrame:
@@ -74,9 +89,9 @@ def idf(total: Column, df: Column) -> Column:
     return 1 + F.ln(total / (df + 1))
 
 
-def _document_count(index: DataFrame) -> Column:
-    """Number of indexed documents (those with at least one word)."""
-    return index.select(F.count_distinct("doc_id")).scalar()
+def _documents() -> Column:
+    """Number of indexed documents: each has one term at its first position."""
+    return F.count_if(F.col("first_pos") == 0)
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -88,7 +103,7 @@ def term_stats(index: DataFrame) -> DataFrame:
             F.sum("tf").alias("cf"),
             F.min("first_pos").alias("first_pos"),
         )
-        .withColumn("idf", idf(_document_count(index), F.col("df")))
+        .withColumn("idf", idf(index.select(_documents()).scalar(), F.col("df")))
     )
 
 
@@ -110,16 +125,16 @@ def matches(index: DataFrame, queries: DataFrame, shards: int | None = None) ->
     into blocks, so no task gets all documents of a term.
     """
     asked = _asked(queries)
-    postings = index.select("term", "doc_id", "tf", "doc_len")
+    postings = index.select("term", "doc_id", "tf", "first_pos", "doc_len")
     if shards is None:
         key = ["term"]
         stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
-        stats = stats.withColumn("idf", idf(_document_count(index), F.col("rows")))
+        total = index.select(_documents()).scalar()
+        stats = stats.withColumn("idf", idf(total, F.col("rows")))
     else:
         key = ["term", "shard"]
         postings = postings.withColumn("shard", shard_of(F.col("doc_id"), shards))
-        sizes = postings.select("shard", "doc_id").distinct()
-        sizes = sizes.groupBy("shard").agg(F.count(F.lit(1)).alias("docs"))
+        sizes = postings.groupBy("shard").agg(_documents().alias("docs"))
         stats = postings.groupBy("term", "shard").agg(F.count(F.lit(1)).alias("rows"))
         stats = stats.join(sizes, "shard").withColumn("idf", idf(F.col("docs"), F.col("rows")))
     weights = cut(asked.join(stats, "term"))
