@@ -37,11 +37,12 @@ def pagerank(
     spark = edges.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("links"))
-    degree = degree.withColumn("blocks", F.ceil(F.col("links") / block).cast("int"))
+    # One row per page, read several times below; the links are read twice in all.
+    degree = cut(degree.withColumn("blocks", F.ceil(F.col("links") / block).cast("int")))
     pages = degree.select(F.col("src").alias("id"), "links", "blocks")
     if vertices is not None:
         pages = vertices.select("id").distinct().join(pages, "id", "left")
-    pages = cut(pages.fillna({"links": 0, "blocks": 0}))
+    pages = pages.fillna({"links": 0, "blocks": 0})
     pages = pages.repartition(parts, "id").sortWithinPartitions("id")
     pages = pages.persist(StorageLevel.MEMORY_AND_DISK)
     total = pages.count()

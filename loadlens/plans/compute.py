@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loadlens.functions.lineage import cut
 from loadlens.operators import estimate, graph
 from loadlens.plans.registry import query, rounded
 from loadlens.plans.views import edges, table, with_views
@@ -31,12 +32,17 @@ RANKS = f"""
     {_rank_steps()}"""
 
 
+def stored_edges(spark, sf_dir):
+    """The links come from a join, so they are made once and kept."""
+    return cut(edges(spark, sf_dir))
+
+
 @query(
     "pagerank",
     with_views("edges", RANKS + f" SELECT id, round(rank, 9) AS rank FROM r{ITERATIONS}"),
 )
 def pagerank(spark, sf_dir):
-    return rounded(graph.pagerank(edges(spark, sf_dir), ITERATIONS), 9)
+    return rounded(graph.pagerank(stored_edges(spark, sf_dir), ITERATIONS), 9)
 
 
 @query(
@@ -51,8 +57,7 @@ def pagerank(spark, sf_dir):
 )
 def rank_threshold(spark, sf_dir):
     # Above average: a rank of at least 1 / N.
-    links = edges(spark, sf_dir)
-    ranks = rounded(graph.pagerank(links, ITERATIONS), 9)
+    ranks = rounded(graph.pagerank(stored_edges(spark, sf_dir), ITERATIONS), 9)
     return graph.rank_threshold(ranks, 1.0 / ranks.count())
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loadlens.functions import text
+from loadlens.functions.layout import spread
 from loadlens.functions.lineage import scratch_folder
 from loadlens.operators import records, search
 from loadlens.plans.registry import query, rounded
@@ -222,6 +223,6 @@ def stored_report(spark, sf_dir):
         "o_custkey",
         "o_orderkey",
     )
-    table(spark, sf_dir, "orders").select(line).write.text(folder)
+    spread(table(spark, sf_dir, "orders")).select(line).write.text(folder)
     rows = reports.parse_perf_report(spark, folder)
     return rounded(rows.select("section", "metric", "key", "value", "unit"))

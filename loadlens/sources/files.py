@@ -22,6 +22,9 @@ RESULT_SCHEMA = (
 )
 MAP_SCHEMA = "host string, ip string"
 
+# Columns that order the lines of a file.
+PLACE = ("block", "row")
+
 
 def read_articles_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated article dump: title and body of each line.
@@ -66,7 +69,7 @@ def read_wiki_xml(spark: SparkSession, path: str) -> DataFrame:
 
 def read_query_list(spark: SparkSession, path: str) -> DataFrame:
     """Request paths, one per line, numbered from 0 in order of files and lines."""
-    lines = running(read_lines(spark, path), [], ["file", "place"], sums={"turn": F.lit(1)})
+    lines = running(read_lines(spark, path), [], ["file", *PLACE], sums={"turn": F.lit(1)})
     return lines.select((F.col("turn") - 1).alias("query_id"), F.col("line").alias("path"))
 
 
@@ -78,17 +81,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("place"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
         F.col("value").alias("line"),
     )
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
     """Number the lines of each file from 1."""
-    numbered = running(lines, ["file"], ["place"], sums={"line_no": F.lit(1)})
+    numbered = running(lines, ["file"], PLACE, sums={"line_no": F.lit(1)})
     return numbered.select("file", "line_no", "line")
 
 
@@ -118,7 +119,7 @@ def json_map(lines: DataFrame) -> DataFrame:
 def read_json_map(spark: SparkSession, path: str) -> DataFrame:
     """``json_map`` of one text file."""
     lines = read_lines(spark, path)
-    return json_map(lines.select(F.col("place").alias("line_no"), "line"))
+    return json_map(lines.select(F.struct(*PLACE).alias("line_no"), "line"))
 
 
 def write_results_csv(df: DataFrame, path: str) -> None:

@@ -16,7 +16,8 @@ from loadlens.functions.ordered import running
 from loadlens.sources.files import number_lines, read_lines
 
 # Forms of the lines of a report.  Each form has the text its table
-# header must contain (or None), a pattern, the key (a group of the pattern or a
+# header must contain (or None), a text the line must contain (looked for first, as
+# it costs less than the pattern), a pattern, the key (a group of the pattern or a
 # text) and, per figure, its name, group and unit (a text or a group).
 RULE_WIDTH = 47
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
@@ -25,6 +26,7 @@ TABLE_HEADER = r"^\s*#bytes"
 FORMS = [
     (
         "t_min",
+        "",
         r"^\s*" + GAP.join([NUMBER] * 5) + r"\s*$",
         1,
         [
@@ -36,6 +38,7 @@ FORMS = [
     ),
     (
         "BW peak",
+        "",
         r"^\s*" + GAP.join([NUMBER] * 5) + r"\s*$",
         1,
         [
@@ -47,24 +50,28 @@ FORMS = [
     ),
     (
         "#repetitions",
+        "",
         r"^\s*" + GAP.join([NUMBER] * 4) + r"\s*$",
         1,
         [("repetitions", 2, "count"), ("time", 3, "usec"), ("rate", 4, "Mbytes/sec")],
     ),
     (
         None,
+        " bytes in ",
         NUMBER + r" bytes in " + NUMBER + r" seconds = " + NUMBER + r" Mbit/sec",
         1,
         [("seconds", 2, "sec"), ("pingpong_rate", 3, "Mbit/sec")],
     ),
     (
         None,
+        " iters in ",
         NUMBER + r" iters in " + NUMBER + r" seconds = " + NUMBER + r" usec/iter",
         1,
         [("seconds", 2, "sec"), ("pingpong_time", 3, "usec/iter")],
     ),
     (
         None,
+        " sec ",
         r"\[\s*([0-9]+|SUM)\]\s+[0-9.]+-\s*[0-9.]+ sec\s+" + NUMBER + r" ([KMGT]?Bytes)\s+"
         + NUMBER + r" ([KMGT]?bits/sec)",
         1,
@@ -72,6 +79,7 @@ FORMS = [
     ),
     (
         None,
+        "RunTime=",
         r"\[(Total Run|Valid Duration)\] RunTime=" + NUMBER + r" sec; SentMessages=" + NUMBER
         + r"; ReceivedMessages=" + NUMBER,
         1,
@@ -79,12 +87,14 @@ FORMS = [
     ),
     (
         None,
+        "avg-lat=",
         r"avg-lat=\s*" + NUMBER + r" \(std-dev=" + NUMBER + r"\)",
         "valid",
         [("latency_average", 1, "usec"), ("latency_stddev", 2, "usec")],
     ),
     (
         None,
+        " dropped messages ",
         r"# dropped messages = " + NUMBER + r"; # duplicated messages = " + NUMBER
         + r"; # out-of-order messages = " + NUMBER,
         "valid",
@@ -92,12 +102,13 @@ FORMS = [
     ),
     (
         None,
+        " observations",
         r"Total " + NUMBER + r" observations.*each percentile contains " + NUMBER,
         "valid",
         [("observations", 1, "count"), ("per_percentile", 2, "count")],
     ),
-    (None, r"percentile\s+" + NUMBER + r" =\s*" + NUMBER, 1, [("percentile", 2, "usec")]),
-    (None, r"<(MAX|MIN)> observation =\s*" + NUMBER, 1, [("percentile", 2, "usec")]),
+    (None, "percentile ", r"percentile\s+" + NUMBER + r" =\s*" + NUMBER, 1, [("percentile", 2, "usec")]),
+    (None, "> observation", r"<(MAX|MIN)> observation =\s*" + NUMBER, 1, [("percentile", 2, "usec")]),
 ]
 
 
@@ -146,7 +157,9 @@ def fill_sections(
     )
 
 
-def _figures(header: str | None, pattern: str, key: int | str, figures: list) -> Column:
+def _figures(
+    header: str | None, text: str, pattern: str, key: int | str, figures: list
+) -> Column:
     """The figures of a line of one form, NULL on other lines."""
 
     def group(i: int) -> Column:
@@ -163,7 +176,7 @@ def _figures(header: str | None, pattern: str, key: int | str, figures: list) ->
             for metric, value, unit in figures
         ]
     )
-    fits = F.col("line").rlike(pattern)
+    fits = F.contains("line", F.lit(text)) & F.col("line").rlike(pattern)
     if header is not None:
         fits = F.contains("header", F.lit(header)) & fits
     return F.when(fits, rows)
