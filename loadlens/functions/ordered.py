@@ -55,7 +55,7 @@ def running(
     maxes: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     before: bool = False,
-    measure: DataFrame | None = None,
+    measure: DataFrame | int | None = None,
 ) -> DataFrame:
     """Add running aggregates over the rows of a group up to the current row.
 
@@ -64,7 +64,7 @@ def running(
     out.  ``order`` must be total inside a group for the result to be unique.
 
     ``measure`` is a frame with the same keys and at least as many rows in every
-    group that costs less to count than ``df``.
+    group that costs less to count than ``df``, or the size of the largest group.
     """
     sums, maxes, lasts = dict(sums or {}), dict(maxes or {}), dict(lasts or {})
     keys, order = list(keys), list(order)
@@ -77,8 +77,9 @@ def running(
         added |= {c: F.last(x, ignorenulls=True).over(span) for c, x in lasts.items()}
         return frame.withColumns(added)
 
-    largest = largest_group(df if measure is None else measure, keys)
-    if largest <= group_limit(df.sparkSession):
+    if not isinstance(measure, int):
+        measure = largest_group(df if measure is None else measure, keys)
+    if measure <= group_limit(df.sparkSession):
         return windowed(df, keys)
 
     # Slice numbers come from sampled range bounds.  The cut makes them a stored

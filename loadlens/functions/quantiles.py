@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from loadlens.functions.ordered import running, same_keys
+from loadlens.functions.joins import checked_join
+from loadlens.functions.lineage import cut
+from loadlens.functions.ordered import running
 
 
 def quantiles(
@@ -29,27 +31,24 @@ def quantiles(
         sketch = [F.percentile_approx(value, F.lit(p), F.lit(10_000)).alias(c) for c, p in wanted.items()]
         return present.groupBy(*by).agg(F.count(value).alias("n"), *sketch)
 
+    # One row per group.  A struct of the keys also matches groups with NULL keys.
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    totals = cut(present.groupBy(group.alias("_group")).agg(F.count(F.lit(1)).alias("n")))
+    largest = totals.agg(F.max("n")).first()[0] or 0
+
     counted = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_rows"))
-    ranked = running(counted, by, [value], sums={"_upto": F.col("_rows")}, measure=present)
-    if by:
-        totals = counted.groupBy(*by).agg(F.sum("_rows").alias("n"))
-        joined = ranked.join(totals, same_keys(ranked, totals, by)).drop(*[totals[k] for k in by])
-    else:
-        joined = ranked.withColumn("n", counted.select(F.sum("_rows")).scalar())
-
-    def at(rank: Column) -> Column:
-        inside = (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_rows"))
-        return F.max(F.when(inside, F.col(value)))
-
-    picks = []
+    ranked = running(counted, by, [value], sums={"_upto": F.col("_rows")}, measure=largest)
+    ranked = ranked.withColumn("_group", group)
+    distinct = ranked.groupBy("_group").agg(F.count(F.lit(1)).alias("rows"))
+    joined = checked_join(ranked, totals, ["_group"], distinct)
+
+    picks, results = [], []
     for c, p in wanted.items():
-        place = F.lit(p) * (F.col("n") - 1)
-        picks += [at(F.floor(place)).alias(f"_lo_{c}"), at(F.ceil(place)).alias(f"_hi_{c}")]
+        place = f"({p!r}D * (n - 1))"
+        for end, rank in (("lo", f"floor({place})"), ("hi", f"ceil({place})")):
+            inside = f"{rank} < _upto AND {rank} >= _upto - _rows"
+            picks.append(F.expr(f"max(CASE WHEN {inside} THEN `{value}` END) AS `_{end}_{c}`"))
+        rest = f"({place} - floor({place}))"
+        results.append(F.expr(f"`_lo_{c}` + (`_hi_{c}` - `_lo_{c}`) * {rest} AS `{c}`"))
     picked = joined.groupBy(*by).agg(F.max("n").alias("n"), *picks)
-
-    def between(c: str, p: float) -> Column:
-        place = F.lit(p) * (F.col("n") - 1)
-        low, high = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        return (low + (high - low) * (place - F.floor(place))).alias(c)
-
-    return picked.select(*by, "n", *[between(c, p) for c, p in wanted.items()])
+    return picked.select(*by, "n", *results)
