@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadlens.llm import decontaminate, exact_dedup, langid, mixing, simhash, token_planes
+from loadlens.llm import (
+    decontaminate,
+    exact_dedup,
+    langid,
+    mixing,
+    pii,
+    sharding,
+    simhash,
+    token_counts,
+    token_planes,
+    toxicity,
+)
 from loadlens.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +27,13 @@ CHECKS: dict[str, str] = {}
 TOKENIZER = "byte_bpe_50k.json"
 #: Share of documents, as a remainder of crc32, kept out of language training.
 LANGUAGE_FOLDS = 5
+#: Documents with this remainder are kept out of toxicity training.
+TOXICITY_FOLDS, HELD_OUT = 4, 2
+#: A document counts as toxic from this score on.
+TOXIC_FROM = 0.3
+VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Bytes of a shard: small, so that the check tables have many.
+SHARD_LIMIT = 1 << 20
 
 
 def query(name: str, sql: str | None = None):
@@ -35,6 +53,29 @@ def language_model(documents: DataFrame) -> langid.LanguageModel:
     return langid.fit(documents.where(fold("doc_id", LANGUAGE_FOLDS) != 0))
 
 
+@query("op1_extendible_shards", sharding.SQL.format(limit=SHARD_LIMIT))
+def op1_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), limit=SHARD_LIMIT)
+
+
+@query("op2_trie_token_counts")
+def op2_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = public_tokenizers.path(VOCABULARY)
+    counted = token_counts.count_tokens(docs, vocabulary, public_tokenizers.PATTERN)
+    return counted.select("doc_id", "_tokens.n_pretokens", "_tokens.n_tokens")
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold("doc_id", TOXICITY_FOLDS) == HELD_OUT
+    model = toxicity.fit(docs, labels.where(~held_out))
+    score = toxicity.toxicity_of(model, F.col("text"))
+    scored = docs.select("doc_id", held_out.alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
 @query("op4_language_id")
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -54,6 +95,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_table(pii.sanitised(table(spark, sf_dir, "documents")))
+
+
 @query("op8_exact_dedup", exact_dedup.SQL)
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
