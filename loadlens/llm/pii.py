@@ -193,10 +193,12 @@ def _occurrences(found: DataFrame) -> DataFrame:
             w["start"].alias("start"), w["stop"].alias("stop"),
         ))))
 
-    names = F.array_distinct(F.concat(*[
-        F.transform(F.col(f"_pii.{k}"), lambda s, k=k: F.struct(F.lit(k).alias("kind"), F.lower(s["value"]).alias("entity")))
-        for k in PATTERNS
-    ]))
+    def named(kind: str) -> Column:
+        return F.transform(
+            F.col(f"_pii.{kind}"), lambda s: F.struct(F.lit(kind).alias("kind"), F.lower(s["value"]).alias("entity"))
+        )
+
+    names = F.array_distinct(F.concat(*map(named, PATTERNS)))
     places = F.struct(*[
         F.transform(F.col(f"_pii.{k}"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias(k)
         for k in PATTERNS
@@ -247,10 +249,13 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     removed terms nothing.  Overlapping spans are replaced once, by the first of them.
     """
     found = sanitised(docs, doc_id, text)
-    marks = F.concat(*[
-        F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(f"<{k}>").alias("mark")))
-        for k in PATTERNS
-    ], F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.when(s["removed"], "").alias("mark"))))
+
+    def masks(kind: str) -> Column:
+        return F.transform(
+            kind, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(f"<{kind}>").alias("mark"))
+        )
+
+    marks = F.concat(*map(masks, PATTERNS), F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.when(s["removed"], "").alias("mark"))))
     marked = found.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), F.sort_array(marks).alias("_marks")).dropDuplicates(["_id", "_h"])
     body = F.coalesce(F.col(text), F.lit(""))
     joined = docs.join(marked, docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_h")), "left")

@@ -51,7 +51,7 @@ ROUNDS = 3
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _EDGES = ".,;:!?\"'()[]{}<>|/%$#&*+-=_~"
-_SPACED = re.compile(r"(?<!\S)(?:\S\s){3,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\w\s){3,}\w(?!\w)")
 
 
 def sentences(text: str | None) -> list[list[str]]:

@@ -1,0 +1,143 @@
+"""Language ID and toxicity: counts and kernels against plain Python, and held-out accuracy."""
+
+import itertools
+import math
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loadlens.llm import langid, toxicity
+from loadlens.llm.queries import op3_toxicity, op4_language_id
+
+SF = "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string, lang string, score string, lang_pred string"
+ROWS = [
+    (1, "the cat and the dog", "en", "x", "y"),
+    (2, "le chat et le chien", "fr", None, None),
+    (3, "the hat and the bat", "en", "x", "y"),
+    (3, "the hat and the bat", "en", "x", "y"),
+    (4, None, "en", None, None),
+    (5, "", None, None, None),
+    (6, "123 !!", "fr", None, None),
+    (None, "le chien et le chat", None, None, None),
+    (7, "the " * 200_000, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DOCS)
+
+
+def test_grams_against_plain_python():
+    grams = langid.Grams(3, 16)
+    spaced = " the cat "
+    ours = langid.hashed_grams("--The, 42 CAT?!", grams)
+    assert len(ours) == sum(len(spaced) - n + 1 for n in (1, 2, 3))
+    # Equal grams fall into equal buckets and orders have buckets of their own.
+    plain = [spaced[i : i + n] for n in (1, 2, 3) for i in range(len(spaced) - n + 1)]
+    bucket = {}
+    for gram, at in zip(plain, ours.tolist()):
+        assert at // (1 << 16) == len(gram) - 1
+        assert bucket.setdefault(gram, at) == at
+    assert len(set(bucket.values())) == len(bucket)
+
+
+def test_posterior_against_plain_naive_bayes(spark, docs):
+    grams = langid.Grams(2, 12)
+    model = langid.fit(docs, grams=grams, smoothing=0.5)
+    assert model.languages == ("en", "fr")
+    known = [(t, g) for _, t, g, *_ in ROWS if t is not None and g]
+    text = "le chat"
+    logs = []
+    for lang in model.languages:
+        mine = [t for t, g in known if g == lang]
+        total = math.log((len(mine) + 1) / (len(known) + 2))
+        for order in (0, 1):
+            part = range(order << 12, (order + 1) << 12)
+            counts = np.zeros(grams.width)
+            for t in mine:
+                np.add.at(counts, langid.hashed_grams(t, grams), 1)
+            mass = counts[part.start : part.stop].sum() + 0.5 * len(part)
+            for b in langid.hashed_grams(text, grams):
+                if b in part:
+                    total += math.log((counts[b] + 0.5) / mass)
+        logs.append(total)
+    row = spark.createDataFrame([(text,)], "text string").select(langid.language_of(model, F.col("text")).alias("p")).first()[0]
+    assert row.lang_pred == model.languages[int(np.argmax(logs))]
+    assert row.score == pytest.approx(1 / sum(math.exp(x - max(logs)) for x in logs), rel=1e-3)
+
+
+def test_language_edges(spark, docs):
+    model = langid.fit(docs)
+    found = langid.identify(docs, model)
+    assert found.columns == [*docs.columns, "_language"]
+    got = [(r.doc_id, r._language.lang_pred) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(
+        [(1, "en"), (2, "fr"), (3, "en"), (3, "en"), (4, "und"), (5, "und"), (6, "und"), (None, "fr"), (7, "en")], key=str
+    )
+    kept = langid.keep_identified(docs, model)
+    assert kept.columns == docs.columns and kept.count() == 6
+    empty = langid.fit(docs.limit(0))
+    assert {r._language.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
+    assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_language_held_out(spark):
+    got = op4_language_id(spark, SF).toPandas()
+    lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas()
+    both = got.merge(lang)
+    assert len(both) == len(lang)
+    assert (both.held_out == [zlib.crc32(str(d).encode()) % 5 == 0 for d in both.doc_id]).all()
+    assert (both.lang_pred == both.lang)[both.held_out].mean() > 0.98
+
+
+def plain_kernel(a, b):
+    """Sum over common letter triples of the decayed spans in both words."""
+    def triples(w):
+        return [(w[i] + w[j] + w[k], k - i + 1) for i, j, k in itertools.combinations(range(len(w)), 3) if (w[i] + w[j] + w[k]).isalpha()]
+    return sum(toxicity.DECAY ** (m + n) for x, m in triples(a) for y, n in triples(b) if x == y)
+
+
+def test_kernel_against_plain_python():
+    words, marks = ["idiot", "i.d.i.o.t", "aaaa", "x", "42", "idxiot", "thethethe"], ["idiot", "the", "banana"]
+    got = toxicity.kernel_with(words, toxicity.landmark_matrix(marks))
+    for w, z in itertools.product(words, marks):
+        own = plain_kernel(w, w)
+        want = (plain_kernel(w, z) / math.sqrt(own * plain_kernel(z, z))) ** toxicity.POWER if own else 0
+        assert got[words.index(w), marks.index(z)] == pytest.approx(want, abs=1e-5)
+
+
+def test_inserted_and_gapped_insults_score_high():
+    clean = [f"the quiet {w} walks along the {v} river. then it rests." for w in ("cat", "dog", "hen", "fox") for v in ("old", "long", "cold")]
+    toxic = [f"the quiet {w} walks. you {a} idiot! then it rests." for w in ("cat", "dog", "hen", "fox") for a in ("old", "big", "poor")]
+    model = toxicity.train(toxic, clean, hard=4)
+    known = toxicity.WordScores(model)
+    texts = ["he is an idiot.", "he is an i.d.i.o.t.", "he is an i d i o t.", "he is an idxiot.", "the cat rests.", "", None]
+    score = toxicity.score_texts(texts, model, known)
+    assert min(score[:3]) > 0.5 and score[3] > score[4] and max(score[4:]) < 0.3
+    assert ((score >= 0) & (score <= 1)).all()
+
+
+def test_toxicity_without_a_class_and_with_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "fine words here.", 5), (1, "fine words here.", 5), (None, None, 1), (2, "a" * 300_000, 0)], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(1, 0), (None, 1), (9, 1), (2, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.landmarks == ()
+    scores = docs.select(toxicity.toxicity_of(model, F.col("text")).alias("s")).collect()
+    assert [r.s for r in scores] == [0.0] * 4
+    assert toxicity.fit(docs.limit(0), labels.limit(0)).landmarks == ()
+
+
+def test_toxicity_held_out(spark):
+    large = "/root/testdata/sf0.1"
+    got = op3_toxicity(spark, large).toPandas()
+    assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.3)).all()
+    assert (got.held_out == [zlib.crc32(str(d).encode()) % 4 == 2 for d in got.doc_id]).all()
+    labels = spark.read.parquet(f"{large}/labels.parquet").toPandas()
+    held = got[got.held_out].merge(labels)
+    good, bad = held[held.toxic == 0].score, held[held.toxic == 1].score
+    wins = np.mean([(b > good).mean() + 0.5 * (b == good).mean() for b in bad])
+    assert len(got) == 10_000 and wins > 0.95
