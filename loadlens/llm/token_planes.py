@@ -40,14 +40,17 @@ LEVEL = 3
 END_ID = 2
 #: Bytes that a reader hands on together.
 READ_BYTES = 8 << 20
-#: Ids of so many pieces of text are kept by a Python worker.
+#: Ids of so many pieces of text are kept by a Python worker, in each of two generations.
 PIECES = 400_000
 
 # White space as the tokenizer's pattern has it.  Between another character and white
-# space that pattern always ends a piece, so the parts found here are encoded alike
-# alone and inside their text.
+# space, and between a letter or digit and a full stop or comma that ends a word, that
+# pattern always ends a piece, so the parts found here are encoded alike alone and
+# inside their text.
 _SPACE = "\t-\r \x85\xa0  -     　"
-_PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_PIECE = re.compile(f"[{_SPACE}]*+[^\\W_]++(?=[.,](?:[{_SPACE}]|\\Z))|[{_SPACE}]*+[^{_SPACE}]++|[{_SPACE}]++")
+#: New pieces that are encoded together.
+TOGETHER = 1024
 
 
 class Encoder:
@@ -58,21 +61,40 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Two generations: pieces in use move to the younger one, the elder is dropped whole.
         self.known: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
         self.most = most
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.mark = special[0] if special else None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, pieces: list[str]) -> None:
+        """Encode new pieces; a special token between them keeps them apart in one text."""
+        if self.mark is None or any(self.mark[1] in p for p in pieces):
+            self.known.update((p, ids.tobytes()) for p, ids in zip(pieces, self._ids(pieces)))
+            return
+        ids = self._ids([self.mark[1].join(pieces)])[0]
+        cut = np.flatnonzero(ids == self.mark[0])
+        starts, ends = np.concatenate(([0], cut + 1)) * 4, np.append(cut, len(ids)) * 4
+        raw = ids.tobytes()
+        self.known.update((p, raw[a:b]) for p, a, b in zip(pieces, starts.tolist(), ends.tolist()))
 
     def learn(self, pieces: list[str]) -> None:
-        fresh = list(set(pieces).difference(self.known))
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
+        if len(self.known) > self.most:
+            self.known, self.elder = {}, self.known
+        fresh = set(pieces).difference(self.known)
+        again = fresh.intersection(self.elder)
+        self.known.update((p, self.elder[p]) for p in again)
+        new = list(fresh - again)
+        for at in range(0, len(new), TOGETHER):
+            self._encode(new[at : at + TOGETHER])
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for start, end in slices(texts):
             pieces = [_PIECE.findall(t) if t else [] for t in texts[start:end]]
-            if len(self.known) > self.most:
-                self.known.clear()
             self.learn([p for each in pieces for p in each])
             for each in pieces:
                 yield b"".join(map(self.known.__getitem__, each))
