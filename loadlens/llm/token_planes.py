@@ -47,7 +47,7 @@ PIECES = 400_000
 # space, and between a letter or digit and a full stop or comma that ends a word, that
 # pattern always ends a piece, so the parts found here are encoded alike alone and
 # inside their text.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(f"[{_SPACE}]*+[^\\W_]++(?=[.,](?:[{_SPACE}]|\\Z))|[{_SPACE}]*+[^{_SPACE}]++|[{_SPACE}]++")
 #: New pieces that are encoded together.
 TOGETHER = 1024
