@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from loadlens.functions.lineage import cut
-from loadlens.functions.ordered import group_limit, same_keys
+from loadlens.functions.ordered import group_limit, row_bytes, same_keys
 
-BROADCAST_ROWS = 200_000
+#: A side may be broadcast up to this many measured bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def split_join(
@@ -50,7 +51,7 @@ def split_join(
 def checked_join(
     rows: DataFrame, other: DataFrame, keys: Sequence[str], sizes: DataFrame, how: str = "inner"
 ) -> DataFrame:
-    """Broadcast ``other`` if its counted rows are few, else ``split_join``."""
-    if other.count() <= BROADCAST_ROWS:
+    """Broadcast ``other`` if its measured bytes are few, else ``split_join``."""
+    if (other.agg(F.sum(row_bytes(other))).first()[0] or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(other), list(keys), how)
     return split_join(rows, other, keys, sizes, how)

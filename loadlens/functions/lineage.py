@@ -38,3 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the shared folder, for one run of one job."""
     return f"{checkpoint_root(spark)}/loadlens/{name}-{uuid.uuid4().hex}"
+
+
+def stored_rows(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut`` for a table of any size: written as Parquet, read back column by column."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -35,8 +35,3 @@ def size_class(size: Column) -> Column:
     return F.when(whole > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), bits)).otherwise(
         F.lit(0).cast("bigint")
     )
-
-
-def exact_sum(value: Column) -> Column:
-    """Sum of a number with two decimals that does not depend on row order."""
-    return F.sum(value.cast("decimal(18,2)")).cast("double")

@@ -4,13 +4,14 @@ A window function puts a whole group into one task.  That is fine while groups
 are small and fails when one group holds a third of a large table.  ``running``
 measures the largest group first and takes one of two plans with equal results:
 
-* every group within ``group_limit`` rows: one window per group;
+* every group within ``group_limit`` rows and ``group_bytes`` bytes: one window per group;
 * otherwise the rows are range partitioned by (group, order), which cuts a large
   group into many slices; windows run inside the slices, and each slice gets the
   value carried in from the slices before it.  Only the first group of a slice
   can have rows before it, so there are fewer carried rows than slices.
 
-``group_limit`` is the session's ``spark.loadlens.groupLimit``, or GROUP_LIMIT.
+``group_limit`` is the session's ``spark.loadlens.groupLimit``, or GROUP_LIMIT; a group
+of wide rows is split from ``spark.loadlens.groupBytes``, or GROUP_BYTES, on.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ from loadlens.functions.lineage import cut
 
 GROUP_LIMIT = 4_000_000
 LIMIT_SETTING = "spark.loadlens.groupLimit"
+GROUP_BYTES = 512 << 20
+BYTES_SETTING = "spark.loadlens.groupBytes"
 
+# Bounds of range partitions are kept on the driver.
+MOST_SLICES = 100_000
 _SLICE, _POS = "_slice", "_pos"
 
 
@@ -33,12 +38,32 @@ def group_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(LIMIT_SETTING, str(GROUP_LIMIT)))
 
 
+def group_bytes(spark: SparkSession) -> int:
+    """Bytes a group may have before it is split."""
+    return int(spark.conf.get(BYTES_SETTING, str(GROUP_BYTES)))
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: eight a column, and the contents of texts and lists of fixed-size values."""
+    total = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith("array"):
+            total = total + 8 * F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0))
+    return total.cast("bigint")
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int, int, int]:
+    """Rows and bytes of the largest groups, and of all rows (map-side combined; one row comes back)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("b"))
+    return tuple(x or 0 for x in sizes.agg(F.max("n"), F.max("b"), F.sum("n"), F.sum("b")).first())
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group (map-side combined; one number comes back)."""
-    if not keys:
-        return df.count()
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+    """Rows in the largest group."""
+    return group_sizes(df, keys)[0]
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -77,14 +102,19 @@ def running(
         added |= {c: F.last(x, ignorenulls=True).over(span) for c, x in lasts.items()}
         return frame.withColumns(added)
 
-    if not isinstance(measure, int):
-        measure = largest_group(df if measure is None else measure, keys)
-    if measure <= group_limit(df.sparkSession):
+    most_rows, most_bytes = group_limit(df.sparkSession), group_bytes(df.sparkSession)
+    if isinstance(measure, int):
+        rows, size, all_rows, all_bytes = measure, 0, measure, 0
+    else:
+        rows, size, all_rows, all_bytes = group_sizes(df if measure is None else measure, keys)
+    if rows <= most_rows and size <= most_bytes:
         return windowed(df, keys)
 
     # Slice numbers come from sampled range bounds.  The cut makes them a stored
     # fact, equal in both branches below and after the loss of an executor.
+    # As many slices as the measured rows and bytes ask for.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(MOST_SLICES, max(parts, -(-all_rows // most_rows), -(-all_bytes // most_bytes)))
     ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
     sliced = cut(ranged.withColumn(_SLICE, F.spark_partition_id()))
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loadlens.functions.ordered import running
 
 
-# Largest k for which Spark limits groups before the shuffle (its default).
-PUSHED_LIMIT = 1000
+# The largest k for which Spark limits groups before the shuffle.
+PUSHED_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def not_ready(nodes: DataFrame, logs: DataFrame, pattern: str) -> DataFrame:
@@ -43,7 +43,7 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], k: in
     For a small ``k`` Spark keeps at most ``k`` rows per group and input partition
     before the shuffle, so a large group does not reach one task whole.
     """
-    if k > PUSHED_LIMIT:
+    if k > int(df.sparkSession.conf.get(PUSHED_SETTING, "1000")):
         return running(df, by, order, sums={"place": F.lit(1)}).where(F.col("place") <= k)
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("place", place.cast("bigint")).where(F.col("place") <= k)

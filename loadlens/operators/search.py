@@ -8,11 +8,11 @@ Ranks go by the score rounded to 9 places, then by document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from loadlens.functions.ordered import running
-from loadlens.functions.joins import checked_join
-from loadlens.functions.lineage import cut
+from loadlens.functions.joins import BROADCAST_BYTES, checked_join
+from loadlens.functions.lineage import cut, stored_rows
+from loadlens.functions.ordered import row_bytes, running
 from loadlens.functions.text import HREF, is_redirect, links_of, shard_of, tokens_of
 from loadlens.operators.relational import top_k
 
@@ -38,51 +38,76 @@ def build_index(docs: DataFrame, positions: bool = True) -> DataFrame:
 
     ``doc_id`` is unique, so all words of a group are in one input row and no
     shuffle is needed: the words of a text are sorted with their positions, and
-    each run of equal words becomes a row.  ``positions=False`` leaves out the
+    each run of equal words becomes a row that carries its own run only, so the cost
+    grows with the length of a text.  ``positions=False`` leaves out the
     lists, which ranked search does not read.
     """
-    words = docs.select("doc_id", tokens_of(F.col("text")).alias("words"))
-    pairs = F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
-    placed = words.select("doc_id", F.sort_array(pairs).alias("placed"))
-    in_order = placed.select(
-        "doc_id",
-        F.size("placed").alias("doc_len"),
-        F.col("placed.term").alias("terms"),
-        F.col("placed.pos").alias("places"),
+    pairs = F.transform(tokens_of(F.col("text")), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
+    runs = _let(F.sort_array(pairs), lambda placed: _runs(placed, positions))
+    found = docs.select("doc_id", F.explode(runs).alias("run"))
+    return found.select("run.term", "doc_id", *[f"run.{c}" for c in _run_columns(positions) if c != "term"])
+
+
+def _run_columns(positions: bool) -> list[str]:
+    return ["term", "tf", "first_pos", "doc_len", *(["positions"] if positions else [])]
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _runs(placed: Column, positions: bool) -> Column:
+    """Runs of equal words of sorted (term, pos) pairs; each run holds its own positions only."""
+    new = F.transform(
+        placed, lambda x, i: F.when((i == 0) | (x["term"] != F.get(placed, i - 1)["term"]), i)
     )
-    # A run starts where a word differs from the one before it.  The list of words
-    # before is longer by one, so the end of the last run is marked as well.
-    before = F.concat(F.array(F.lit(None).cast("string")), "terms")
-    differs = F.zip_with("terms", before, lambda word, last: ~word.eqNullSafe(last))
-    marks = F.transform(differs, lambda new, i: F.when(new, i))
-    marked = in_order.withColumn("bounds", F.array_compact(marks))
-    ends = F.slice("bounds", F.lit(2), F.size("bounds"))
-    runs = F.zip_with("bounds", ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-    start, tf = F.col("run.start"), F.col("run.end") - F.col("run.start")
-    columns = [
-        F.get("terms", start).alias("term"),
-        F.col("doc_id"),
-        tf.cast("bigint").alias("tf"),
-        F.get("places", start).alias("first_pos"),
-        F.col("doc_len"),
-    ]
-    if positions:
-        columns.append(F.slice("places", start + 1, tf).alias("positions"))
-    exploded = marked.select("doc_id", "doc_len", "terms", "places", F.explode(runs).alias("run"))
-    return exploded.where("run.end IS NOT NULL").select(*columns)
+
+    def cut_at(starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(F.size(placed)))
+
+        def run(start: Column, end: Column) -> Column:
+            first = F.get(placed, start)
+            columns = [
+                first["term"].alias("term"), (end - start).cast("bigint").alias("tf"),
+                first["pos"].alias("first_pos"), F.size(placed).alias("doc_len"),
+            ]
+            if positions:
+                own = F.slice(placed, start + 1, end - start)
+                columns.append(F.transform(own, lambda x: x["pos"]).alias("positions"))
+            return F.struct(*columns)
+
+        whole = F.when(F.size(starts) > 0, ends).otherwise(F.array().cast("array<int>"))
+        return F.zip_with(starts, whole, run)
+
+    return _let(F.array_compact(new), cut_at)
 
 
 def store_index(index: DataFrame, path: str, shards: int) -> DataFrame:
-    """Write an index in shard folders, each file in order of terms, and read it back.
+    """Write an index in folders by a hash of the term, and read it back.
 
-    A shard is written by many tasks.  The order lets a reader skip the parts of a
-    file whose terms are not asked for.
+    A folder is written by many tasks, each file in order of terms: a reader that
+    asks for few terms opens their folders only, and skips the parts of a file whose
+    terms are not asked for.  ``shard`` is the document's shard; the documents of each
+    shard are counted once, into a small table next to the index (``index_sizes``).
     """
-    placed = index.withColumn("shard", shard_of(F.col("doc_id"), shards))
-    placed.sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy(
-        "shard"
-    ).parquet(path)
-    return index.sparkSession.read.parquet(path)
+    placed = index.withColumns({"shard": shard_of(F.col("doc_id"), shards), BUCKET: term_bucket(F.col("term"))})
+    placed.sortWithinPartitions(BUCKET, "term").write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/terms")
+    stored = index.sparkSession.read.schema(placed.schema).parquet(f"{path}/terms")
+    stored.groupBy("shard").agg(_documents().alias("docs")).write.mode("overwrite").parquet(f"{path}/sizes")
+    return stored
+
+
+def index_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of each shard of a stored index."""
+    return spark.read.schema("shard bigint, docs bigint").parquet(f"{path}/sizes")
+
+
+BUCKET, BUCKETS = "term_bucket", 32
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def idf(total: Column, df: Column) -> Column:
@@ -94,8 +119,9 @@ def _documents() -> Column:
     return F.count_if(F.col("first_pos") == 0)
 
 
-def term_stats(index: DataFrame) -> DataFrame:
+def term_stats(index: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Per term: documents, occurrences, earliest position and idf."""
+    total = index.select(_documents()) if sizes is None else sizes.select(F.sum("docs"))
     return (
         index.groupBy("term")
         .agg(
@@ -103,7 +129,7 @@ def term_stats(index: DataFrame) -> DataFrame:
             F.sum("tf").alias("cf"),
             F.min("first_pos").alias("first_pos"),
         )
-        .withColumn("idf", idf(index.select(_documents()).scalar(), F.col("df")))
+        .withColumn("idf", idf(total.scalar(), F.col("df")))
     )
 
 
@@ -116,30 +142,44 @@ def _asked(queries: DataFrame) -> DataFrame:
     )
 
 
-def matches(index: DataFrame, queries: DataFrame, shards: int | None = None) -> DataFrame:
+def matches(
+    index: DataFrame, queries: DataFrame, shards: int | None = None, sizes: DataFrame | None = None
+) -> DataFrame:
     """Score of every document that contains an asked term.
 
-    ``shards`` takes document counts from the document's own shard instead of the
-    whole index.  The weights have one row per query and asked term (and shard):
+    The postings of the asked terms are read once, before anything is counted or
+    shuffled, and kept: statistics and scores come from them.  ``sizes`` has the number
+    of documents per shard (``index_sizes``); without it they are counted from the
+    index.  ``shards`` takes document counts from the document's own shard instead
+    of the whole index.  The weights have one row per query and asked term (and shard):
     a short list is broadcast, and with a long one the most common terms are cut
     into blocks, so no task gets all documents of a term.
     """
-    asked = _asked(queries)
-    postings = index.select("term", "doc_id", "tf", "first_pos", "doc_len")
+    asked = cut(_asked(queries))
+    terms = asked.select("term").distinct()
+    on = ["term"]
+    if BUCKET in index.columns:
+        terms, on = terms.withColumn(BUCKET, term_bucket(F.col("term"))), [BUCKET, "term"]
+    if (terms.agg(F.sum(row_bytes(terms))).first()[0] or 0) <= BROADCAST_BYTES:
+        terms = F.broadcast(terms)
+    wanted = index.join(terms, on, "left_semi").select("term", "doc_id", "tf", "doc_len")
+    postings = stored_rows(wanted, "postings")
     if shards is None:
         key = ["term"]
         stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
-        total = index.select(_documents()).scalar()
-        stats = stats.withColumn("idf", idf(total, F.col("rows")))
+        total = index.select(_documents()) if sizes is None else sizes.select(F.sum("docs"))
+        stats = stats.withColumn("idf", idf(total.scalar(), F.col("rows")))
     else:
         key = ["term", "shard"]
         postings = postings.withColumn("shard", shard_of(F.col("doc_id"), shards))
-        sizes = postings.groupBy("shard").agg(_documents().alias("docs"))
+        if sizes is None:
+            own = index.withColumn("shard", shard_of(F.col("doc_id"), shards))
+            sizes = own.groupBy("shard").agg(_documents().alias("docs"))
         stats = postings.groupBy("term", "shard").agg(F.count(F.lit(1)).alias("rows"))
         stats = stats.join(sizes, "shard").withColumn("idf", idf(F.col("docs"), F.col("rows")))
     weights = cut(asked.join(stats, "term"))
-    sizes = weights.select(*key, "rows").distinct()
-    hits = checked_join(postings, weights.drop("rows"), key, sizes).select(
+    counts = weights.select(*key, "rows").distinct()
+    hits = checked_join(postings, weights.drop("rows"), key, counts).select(
         "query_id",
         "doc_id",
         "asked",
@@ -156,16 +196,23 @@ def _best() -> list[Column]:
     return [F.col("score").desc(), F.col("doc_id")]
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def search(
+    index: DataFrame, queries: DataFrame, k: int = 10, sizes: DataFrame | None = None
+) -> DataFrame:
     """Best ``k`` documents of each query."""
-    return top_k(matches(index, queries), ["query_id"], _best(), k)
+    return top_k(matches(index, queries, sizes=sizes), ["query_id"], _best(), k)
 
 
 def search_sharded(
-    index: DataFrame, queries: DataFrame, shards: int, k: int = 10, shard_stats: bool = False
+    index: DataFrame,
+    queries: DataFrame,
+    shards: int,
+    k: int = 10,
+    shard_stats: bool = False,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Scatter and gather: best ``k`` of each shard, then the best ``k`` of those."""
-    scored = matches(index, queries, shards if shard_stats else None)
+    scored = matches(index, queries, shards if shard_stats else None, sizes)
     scored = scored.withColumn("shard", shard_of(F.col("doc_id"), shards))
     local = top_k(scored, ["query_id", "shard"], _best(), k).drop("place")
     return top_k(local, ["query_id"], _best(), k)
@@ -177,6 +224,7 @@ def replay_queries(
     slots: DataFrame,
     slot: str,
     k: int = 10,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Run a query list over and over, slot by slot, and report hits per query.
 
@@ -190,7 +238,7 @@ def replay_queries(
     runs = slots.groupBy(F.pmod(F.col(slot), size).alias("turn")).agg(
         F.count(F.lit(1)).alias("runs")
     )
-    found = matches(index, queries).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    found = matches(index, queries, sizes=sizes).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
     hits = F.coalesce("hits", F.lit(0))
     report = cut(
         listed.join(runs, "turn")
@@ -205,6 +253,7 @@ def replay_queries(
 
 def shard_sizes(docs: DataFrame, shards: int) -> DataFrame:
     """Rows and text bytes of each shard, and its share of all bytes."""
+    # Lengths are taken where a text is read; the texts themselves do not move.
     sizes = docs.groupBy(shard_of(F.col("doc_id"), shards).alias("shard")).agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).alias("bytes")
     )

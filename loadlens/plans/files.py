@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loadlens.functions import text
-from loadlens.functions.layout import spread
-from loadlens.functions.lineage import scratch_folder
+from loadlens.functions.lineage import cut, scratch_folder
 from loadlens.operators import records, search
 from loadlens.plans.registry import query, rounded
 from loadlens.plans.relational import READY, ready_lines
@@ -15,6 +14,10 @@ from loadlens.plans.views import documents, kv_base, requests, table, with_views
 from loadlens.sources import files, reports, runs
 
 
+# Files that the lines of one node are written to at most.
+WRITERS = 4
+
+
 @query(
     "articles_tsv",
     r"""
@@ -31,14 +34,26 @@ def articles_tsv(spark, sf_dir):
 
 @query(
     "json_docs",
-    "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS text_md5, n_chars FROM documents",
+    "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS text_md5, n_chars, 0 AS broken FROM documents",
 )
 def json_docs(spark, sf_dir):
-    folder = scratch_folder(spark, "documents")
-    table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").write.json(folder)
-    docs = files.read_json_docs(spark, folder)
+    lines, arrays = scratch_folder(spark, "documents"), scratch_folder(spark, "documents")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    even = F.col("id").cast("bigint") % 2 == 0
+    docs.where(even).write.json(lines)
+    # The other half as files that are one array each, of about 100 documents.
+    part = F.floor(F.col("id").cast("bigint") / 200)
+    array = F.to_json(F.collect_list(F.struct("id", "text"))).alias("value")
+    packed = docs.where(~even).groupBy(part.alias("part")).agg(array)
+    packed.select("value").write.option("maxRecordsPerFile", 1).text(arrays)
+    read = files.read_json_docs(spark, lines).unionByName(
+        files.read_json_docs(spark, arrays, whole_files=True, names="*txt")
+    )
+    broken = files.broken_docs(read).agg(F.coalesce(F.sum("broken"), F.lit(0)).cast("int").alias("broken"))
     size = F.length("text").cast("bigint").alias("n_chars")
-    return docs.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), size)
+    found = files.last_docs(read).select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), size)
+    # One row: the number of documents that could not be read.
+    return found.crossJoin(F.broadcast(broken))
 
 
 @query(
@@ -104,9 +119,10 @@ def query_list(spark, sf_dir):
 def node_logs(spark, sf_dir):
     folder = scratch_folder(spark, "logs")
     lines = ready_lines(requests(spark, sf_dir)).select("node", "line")
-    # Lines of a node meet before the write, so a node folder has few files.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines.repartition(parts, "node").write.partitionBy("node").text(folder)
+    # A node is spread by its line as well, so the lines of a busy node go to several
+    # writers, and a node folder has at most WRITERS files.
+    writer = F.pmod(F.xxhash64("line"), F.lit(WRITERS))
+    lines.repartition("node", writer).write.partitionBy("node").text(folder)
     logs = files.read_node_logs(spark, f"{folder}/*/*.txt")
     return logs.groupBy("node").agg(
         F.count(F.lit(1)).alias("lines"),
@@ -158,7 +174,7 @@ def stored_runs(spark, sf_dir):
     for run, status in (("first", "F"), ("second", "O")):
         report = items.where(F.col("l_linestatus") == status).groupBy("l_returnflag")
         runs.write_run(report.agg(F.count(F.lit(1)).alias("items")), folder, run)
-    return runs.latest_run(runs.read_runs(spark, folder))
+    return runs.read_latest(spark, folder)
 
 
 @query(
@@ -175,7 +191,10 @@ def kv_table(spark, sf_dir):
     reads = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), F.concat(F.lit("user"), F.col("user_id")).alias("key")
     )
-    return records.point_reads(reads, stored)
+    try:
+        return cut(records.point_reads(reads, stored))
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 @query(
@@ -223,6 +242,6 @@ def stored_report(spark, sf_dir):
         "o_custkey",
         "o_orderkey",
     )
-    spread(table(spark, sf_dir, "orders")).select(line).write.text(folder)
+    table(spark, sf_dir, "orders").select(line).write.text(folder)
     rows = reports.parse_perf_report(spark, folder)
     return rounded(rows.select("section", "metric", "key", "value", "unit"))

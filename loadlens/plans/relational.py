@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loadlens.functions import text
-from loadlens.functions.layout import spread
 from loadlens.operators import relational
 from loadlens.plans.registry import query
 from loadlens.plans.views import requests, table, with_views
@@ -232,7 +231,7 @@ def json_nested_explode(spark, sf_dir):
     status = F.to_json(
         F.struct(F.array(F.struct(children.alias("children"))).alias("tree"))
     )
-    items = spread(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey"))
+    items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     statuses = items.select(status.alias("status"))
     nodes = statuses.select(
         F.explode(text.json_path(F.col("status"), TREE, "tree.0.children")).alias("child")

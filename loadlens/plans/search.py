@@ -15,10 +15,17 @@ MARK = "^The .*"
 MARK_SQL = r"^The [^\n\r\x{85}\x{2028}\x{2029}]*"
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
 def stored_words(spark, sf_dir):
-    """Index without positions, written once and read by the steps of a search."""
-    index = search.build_index(documents(spark, sf_dir), positions=False)
-    return search.store_index(index, scratch_folder(spark, "index"), SHARDS)
+    """Index without positions and its sizes: written once per application, read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = scratch_folder(spark, "index")
+        search.store_index(search.build_index(documents(spark, sf_dir), positions=False), path, SHARDS)
+        _indexes[key] = path
+    return spark.read.parquet(f"{_indexes[key]}/terms"), search.index_sizes(spark, _indexes[key])
 
 
 @query(
@@ -33,12 +40,16 @@ def filter_redirects(spark, sf_dir):
 @query(
     "filter_redirects_strict",
     f"""
-    SELECT doc_id, lang FROM documents
+    SELECT doc_id, lang
+    FROM (SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN split_part(text, chr(10), 1) ELSE text END AS text
+          FROM documents)
     WHERE NOT (regexp_matches(text, '{MARK_SQL}')
                AND lower(regexp_replace(text, '{MARK_SQL}', 'true')) = 'true')""",
 )
 def filter_redirects_strict(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    # Some texts are cut to their first line, so that marks with nothing else occur.
+    first = F.when(F.col("doc_id") % 3 == 0, F.substring_index("text", "\n", 1)).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", first.alias("text"))
     return search.drop_redirects(docs, "text", MARK, strict=True).select("doc_id", "lang")
 
 
@@ -96,7 +107,7 @@ def inverted_index(spark, sf_dir):
     ),
 )
 def term_stats(spark, sf_dir):
-    stats = search.term_stats(stored_words(spark, sf_dir))
+    stats = search.term_stats(*stored_words(spark, sf_dir))
     return rounded(stats.withColumn("first_pos", F.col("first_pos").cast("bigint")), 9)
 
 
@@ -132,14 +143,14 @@ def _found(df):
 
 @query("search_topk", TOP_K)
 def search_topk(spark, sf_dir):
-    index = stored_words(spark, sf_dir)
-    return _found(search.search(index, search_queries(spark, sf_dir)))
+    index, sizes = stored_words(spark, sf_dir)
+    return _found(search.search(index, search_queries(spark, sf_dir), sizes=sizes))
 
 
 @query("search_topk_sharded", TOP_K)
 def search_topk_sharded(spark, sf_dir):
-    index = stored_words(spark, sf_dir)
-    return _found(search.search_sharded(index, search_queries(spark, sf_dir), SHARDS))
+    index, sizes = stored_words(spark, sf_dir)
+    return _found(search.search_sharded(index, search_queries(spark, sf_dir), SHARDS, sizes=sizes))
 
 
 @query(
@@ -172,9 +183,9 @@ def search_topk_sharded(spark, sf_dir):
     ),
 )
 def search_topk_shard_stats(spark, sf_dir):
-    index = stored_words(spark, sf_dir)
+    index, sizes = stored_words(spark, sf_dir)
     queries = search_queries(spark, sf_dir)
-    return _found(search.search_sharded(index, queries, SHARDS, shard_stats=True))
+    return _found(search.search_sharded(index, queries, SHARDS, shard_stats=True, sizes=sizes))
 
 
 @query(
@@ -198,8 +209,8 @@ def search_topk_shard_stats(spark, sf_dir):
     ),
 )
 def query_replay(spark, sf_dir):
-    index = stored_words(spark, sf_dir)
+    index, sizes = stored_words(spark, sf_dir)
     slots = table(spark, sf_dir, "events").select("event_id")
     return rounded(
-        search.replay_queries(index, search_queries(spark, sf_dir), slots, "event_id")
+        search.replay_queries(index, search_queries(spark, sf_dir), slots, "event_id", sizes=sizes)
     )

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadlens.functions.layout import spread
 from loadlens.functions.text import tokens_of
 
 
@@ -92,15 +91,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query list: the first three words of each ``benchmark`` text."""
+    """Query list: all words of each ``benchmark`` text."""
     items = table(spark, sf_dir, "benchmark")
     return items.select(
         F.col("item_id").alias("query_id"),
-        F.slice(tokens_of(F.col("text")), 1, 3).alias("terms"),
+        tokens_of(F.col("text")).alias("terms"),
     )
 
 
@@ -145,7 +144,7 @@ SQL = {
         FROM tokens GROUP BY term, doc_id""",
     "search_queries": """
         SELECT item_id AS query_id,
-               regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:3] AS terms
+               regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS terms
         FROM benchmark""",
     "leaf_times": """
         SELECT l_orderkey AS request, l_suppkey AS leaf, max(l_extendedprice) AS t

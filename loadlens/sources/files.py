@@ -40,17 +40,45 @@ def read_articles_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_docs(
-    spark: SparkSession, folder: str, schema: str = DOCUMENT_SCHEMA
+    spark: SparkSession,
+    folder: str,
+    schema: str = DOCUMENT_SCHEMA,
+    whole_files: bool = False,
+    names: str = "*json",
 ) -> DataFrame:
-    """Documents of all ``*json`` files of a folder, one JSON object per line.
+    """Documents of all ``*json`` files of a folder, with ``_broken`` and ``file``.
 
-    A broken line is kept as ``_broken`` with NULL fields and the rest go on, so a
-    caller can report the broken ones and index the others.
+    By default a file has one JSON object per line and is read by many tasks.  With
+    ``whole_files`` it is one JSON value, an array of objects or a single one that
+    may go over many lines; such a file cannot be cut and is read by one task.
+
+    What cannot be parsed is kept as ``_broken`` with NULL fields and the rest go on, so a
+    caller can report the broken ones (``broken_docs``) and index the others.
     """
-    return spark.read.json(
-        folder, schema=f"{schema}, _broken string", pathGlobFilter="*json", mode="PERMISSIVE",
-        columnNameOfCorruptRecord="_broken",
+    rows = spark.read.json(
+        folder, schema=f"{schema}, _broken string", pathGlobFilter=names, mode="PERMISSIVE",
+        columnNameOfCorruptRecord="_broken", multiLine=whole_files,
     )
+    return rows.withColumns({"file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")})
+
+
+def broken_docs(rows: DataFrame) -> DataFrame:
+    """Broken documents per file."""
+    # Spark wants one more column read besides the broken text; the length is never negative.
+    other = next(c for c in rows.columns if c not in ("file", "_block", "_broken"))
+    read = F.length(F.concat_ws("", F.col(other).cast("string"), "_broken")) >= 0
+    return rows.where(F.col("_broken").isNotNull() & read).groupBy("file").agg(F.count(F.lit(1)).alias("broken"))
+
+
+def last_docs(rows: DataFrame, key: str = "id") -> DataFrame:
+    """The last document of each id, in order of file names and of places in a file.
+
+    A later file replaces what an earlier one said; rows without id are left out.
+    """
+    place = F.struct("file", "_block", F.monotonically_increasing_id().alias("row"))
+    values = [c for c in rows.columns if c not in (key, "file", "_block", "_broken")]
+    placed = rows.where(F.col(key).isNotNull()).select(key, place.alias("_place"), F.struct(*values).alias("_values"))
+    return placed.groupBy(key).agg(F.max_by("_values", "_place").alias("_values")).select(key, "_values.*")
 
 
 def read_wiki_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -117,9 +145,9 @@ def json_map(lines: DataFrame) -> DataFrame:
 
 
 def read_json_map(spark: SparkSession, path: str) -> DataFrame:
-    """``json_map`` of one text file."""
+    """``json_map`` of a text file or of a folder of them; a later file name wins."""
     lines = read_lines(spark, path)
-    return json_map(lines.select(F.struct(*PLACE).alias("line_no"), "line"))
+    return json_map(lines.select(F.struct("file", *PLACE).alias("line_no"), "line"))
 
 
 def write_results_csv(df: DataFrame, path: str) -> None:
@@ -128,15 +156,22 @@ def write_results_csv(df: DataFrame, path: str) -> None:
 
 
 def read_results_csv(
-    spark: SparkSession, path: str, schema: str = RESULT_SCHEMA, line_breaks: bool = True
+    spark: SparkSession, path: str, schema: str = RESULT_SCHEMA, line_breaks: bool = False
 ) -> DataFrame:
     """Result rows written by ``write_results_csv`` or by a load test.
 
-    Quoted fields may hold line breaks, and then a file cannot be cut: each is read
-    by one task.  ``line_breaks=False`` says that there are none and lets many
-    tasks read a large file.  An empty field is NULL and a quoted empty one a text;
-    the marker for NULL only has to be something that no field holds.
+    Columns are taken by the names in the header, in any order; those that a file
+    lacks are NULL and others are left out.  All files below ``path`` have the same
+    header.  Many tasks read a large file; ``line_breaks=True`` says that quoted fields may
+    hold line breaks, and then each file is read by one task.  An empty field is
+    NULL and a quoted empty one a text; the marker for NULL only has to be something
+    that no field holds.
     """
-    return spark.read.csv(
-        path, schema=schema, header=True, escape='"', nullValue="\u0000", multiLine=line_breaks
-    )
+    form = {"header": True, "escape": '"', "nullValue": "\u0000", "multiLine": line_breaks}
+    # The header is read, not the rows.
+    named = spark.read.csv(path, inferSchema=False, **form)
+    columns = [
+        (F.col(f"`{f.name}`") if f.name in named.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in StructType.fromDDL(schema)
+    ]
+    return named.select(*columns)

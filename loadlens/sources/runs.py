@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
+# A name that readers of all runs pass over.
+POINTER = "_latest"
+
+
 def create_kv_table(
     df: DataFrame, name: str, buckets: int, key: str = "key", path: str | None = None
 ) -> DataFrame:
@@ -21,8 +26,34 @@ def create_kv_table(
 
 
 def write_run(df: DataFrame, base: str, run_ts: str) -> None:
-    """Write one run into its own folder below ``base``; other runs stay."""
+    """Write one run into its own folder below ``base``; other runs stay.
+
+    Then a pointer names the run as the latest, if no later one is named already.
+    """
     df.write.mode("overwrite").parquet(f"{base}/run_ts={run_ts}")
+    named = latest_name(df.sparkSession, base)
+    if named is None or run_ts >= named:
+        pointer = df.sparkSession.createDataFrame([(run_ts,)], "value string").coalesce(1)
+        pointer.write.mode("overwrite").text(f"{base}/{POINTER}")
+
+
+def latest_name(spark: SparkSession, base: str) -> str | None:
+    """The run that the pointer names; None without a pointer."""
+    try:
+        row = spark.read.text(f"{base}/{POINTER}").first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return row[0] if row else None
+
+
+def read_latest(spark: SparkSession, base: str) -> DataFrame:
+    """Rows of the run that the pointer names; no other run is listed or read."""
+    name = latest_name(spark, base)
+    if name is None:
+        raise ValueError(f"no run has been written below {base}")
+    return spark.read.parquet(f"{base}/run_ts={name}").withColumn("run_ts", F.lit(name))
 
 
 def read_runs(spark: SparkSession, base: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -24,16 +25,26 @@ def replay_stream(
 ) -> DataFrame:
     """Files below ``path`` as a stream, with an optional rate per trigger.
 
-    ``path`` may be a folder or one file: a file stream takes a single file only
-    through a pattern, so the last character becomes one.
+    A folder gives all its files.  A path with a file ending (``events.parquet``) may be one
+    file or a folder of that name: it is looked up by name in the folder above.
     """
     reader = spark.readStream.format(file_format).schema(schema)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if bytes_per_trigger is not None:
         reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
-    whole = path.rstrip("/")
-    return reader.load(f"{whole[:-1]}[{whole[-1]}]")
+    above, _, name = path.rstrip("/").rpartition("/")
+    if "." not in name or _is_folder(spark, path):
+        return reader.load(path)
+    # Characters that have a meaning in a name pattern stand for themselves.
+    plain = re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
+    return reader.option("pathGlobFilter", plain).load(above)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder in the file system that Spark reads it from."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
 def union_streams(*streams: DataFrame) -> DataFrame:

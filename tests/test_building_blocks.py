@@ -115,7 +115,7 @@ def test_checked_join_broadcasts_only_few_rows(spark, plan, monkeypatch):
     sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     few = joins.checked_join(rows, other, ["k"], sizes)
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 100)
     many = joins.checked_join(rows, other, ["k"], sizes)
     assert "BroadcastHashJoin" in plan(few) and "BroadcastHashJoin" not in plan(many)
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

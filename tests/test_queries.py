@@ -21,9 +21,9 @@ def db():
 
 @pytest.mark.parametrize("name", entry_points.queries())
 def test_query_equals_its_sql(spark, db, name):
-    build, sql = entry_points.queries()[name], entry_points.oracle_sql()[name]
+    build, sql = entry_points.queries()[name], entry_points.oracle_sql().get(name)
     verdict, detail, _ = check.compare(spark, db, name, build, sql, SF_DIR)
-    assert verdict == "equal" or (verdict == "EMPTY" and name in MAY_BE_EMPTY), detail
+    assert verdict == ("rows only" if sql is None else "equal") or (verdict == "EMPTY" and name in MAY_BE_EMPTY), detail
 
 
 def test_flagship(spark):

@@ -76,7 +76,7 @@ def test_term_stats(index, docs):
 @pytest.mark.parametrize("list_kind", ["short", "long"])
 def test_scores(index, queries, docs, both_ways, list_kind, monkeypatch):
     if list_kind == "long":
-        monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     want = brute_scores(docs, QUERIES)
     got = {(r.query_id, r.doc_id): r.score for r in search.matches(index, queries).collect()}
     assert got.keys() == want.keys()
@@ -117,10 +117,40 @@ def test_replay(spark, index, queries, docs):
     assert {r.zero_hit_share for r in got.values()} == {0.2}
 
 
-def test_stored_index_has_shard_folders(spark, index, tmp_path):
+def test_stored_index_has_term_folders_and_sizes(spark, index, docs, tmp_path):
+    path = str(tmp_path / "index")
+    stored = search.store_index(index, path, 3)
+    folders = {int(p.name.split("=")[1]) for p in (tmp_path / "index" / "terms").glob(f"{search.BUCKET}=*")}
+    assert folders == {r[0] for r in stored.select(search.BUCKET).distinct().collect()} and len(folders) > 3
+    assert stored.select(index.columns).exceptAll(index).count() == 0 and stored.count() == index.count()
+    sizes = {r.shard: r.docs for r in search.index_sizes(spark, path).collect()}
+    assert sum(sizes.values()) == sum(1 for _, t in docs if t.strip("."))
+
+
+def test_asked_terms_are_filtered_before_any_shuffle(spark, index, queries, tmp_path, monkeypatch):
+    """Only postings of asked terms are kept, and the stored index is scanned once for them."""
+    kept = []
+    real = search.stored_rows
+    monkeypatch.setattr(search, "stored_rows", lambda df, name: kept.append(df) or real(df, name))
     stored = search.store_index(index, str(tmp_path / "index"), 3)
-    assert sorted(p.name for p in (tmp_path / "index").glob("shard=*")) == [f"shard={i}" for i in range(3)]
-    assert stored.drop("shard").exceptAll(index.select(stored.drop("shard").columns)).count() == 0
+    sizes = search.index_sizes(spark, str(tmp_path / "index"))
+    search.matches(stored, queries, sizes=sizes).collect()
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(kept) == 1 and "BroadcastHashJoin" in plan and "hashpartitioning(term" not in plan.split("FileScan")[0]
+    assert {r.term for r in kept[0].select("term").distinct().collect()} <= {"red", "the", "dog", "cat"}
+
+
+def test_index_cost_grows_with_the_length_of_a_text(spark):
+    import time
+
+    took = []
+    for n in (20_000, 60_000):
+        text = " ".join(f"w{i}" for i in range(n))
+        start = time.time()
+        rows = search.build_index(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+        assert rows.select("term", "positions").write.format("noop").mode("overwrite").save() is None
+        took.append(time.time() - start)
+    assert took[1] < 9 * took[0]
 
 
 def test_search_reads_no_positions(spark, index, queries, tmp_path, plan):

@@ -13,7 +13,7 @@ REPORT = f"""
 Read latency between x2 and x1
 {RULE}
 ---------------------------------------------------------------------------------------
- Mtu             : 2048[B]
+ Mtu             : 1024[B]
 ---------------------------------------------------------------------------------------
  #bytes #iterations    t_min[usec]    t_max[usec]  t_typical[usec]
  2       1000          1.11           12.50        1.20   
@@ -27,14 +27,14 @@ Read latency between x2 and x1
 Write bandwidth between x2 and x1
 {RULE}
  #bytes     #iterations    BW peak[MB/sec]    BW average[MB/sec]   MsgRate[Mpps]
- 65536      5000           6000.25            5999.75\t\t   0.096000
- 65536      5000           not a row
+ 32768      4000           6000.25            5999.75\t\t   0.096000
+ 32768      4000           not a row
 
 
 {RULE}
 Connect
 {RULE}
-8192000 bytes in 0.01 seconds = 13000.50 Mbit/sec
+6144000 bytes in 0.01 seconds = 13000.50 Mbit/sec
 1000 iters in 0.01 seconds = 4.25 usec/iter
 
 
@@ -42,7 +42,7 @@ Connect
 Streams
 {RULE}
 ------------------------------------------------------------
-[  3] local 10.0.0.1 port 40000 connected with 10.0.0.2 port 5001
+[  3] local 10.0.0.1 port 41000 connected with 10.0.0.2 port 5201
 [ ID] Interval       Transfer     Bandwidth
 [  3]  0.0-10.0 sec  4.50 GBytes  3.75 Gbits/sec
 [ 10]  0.0-10.0 sec  900 MBytes  750 Mbits/sec
@@ -61,8 +61,8 @@ Sizes
 {RULE}
 Messages
 {RULE}
-tool: [Total Run] RunTime=1.100 sec; SentMessages=1001; ReceivedMessages=1000
-tool: [Valid Duration] RunTime=1.000 sec; SentMessages=900; ReceivedMessages=899
+tool: [Total Run] RunTime=1.250 sec; SentMessages=1001; ReceivedMessages=1000
+tool: [Valid Duration] RunTime=1.125 sec; SentMessages=900; ReceivedMessages=899
 tool: \x1b[2;35m====> avg-lat=  5.500 (std-dev=0.250)\x1b[0m
 tool: # dropped messages = 1; # duplicated messages = 2; # out-of-order messages = 3
 tool: \x1b[2;35mTotal 900 observations\x1b[0m; each percentile contains 9.00 observations
@@ -93,9 +93,9 @@ def test_report(report, both_ways):
               ("latency_max", 12.5, "usec"), ("latency_typical", 1.2, "usec"))
         + block(latency, 2, "2", ("iterations", 1000, "count"), ("latency_min", 1.12, "usec"),
                 ("latency_max", 13.5, "usec"), ("latency_typical", 1.3, "usec"))
-        + block(rate, 3, "65536", ("iterations", 5000, "count"), ("bandwidth_peak", 6000.25, "MB/sec"),
+        + block(rate, 3, "32768", ("iterations", 4000, "count"), ("bandwidth_peak", 6000.25, "MB/sec"),
                 ("bandwidth_average", 5999.75, "MB/sec"), ("message_rate", 0.096, "Mpps"))
-        + block("Connect", 3, "8192000", ("seconds", 0.01, "sec"), ("pingpong_rate", 13000.5, "Mbit/sec"))
+        + block("Connect", 3, "6144000", ("seconds", 0.01, "sec"), ("pingpong_rate", 13000.5, "Mbit/sec"))
         + block("Connect", 3, "1000", ("seconds", 0.01, "sec"), ("pingpong_time", 4.25, "usec/iter"))
         + block("Streams", 3, "3", ("transfer", 4.5, "GBytes"), ("bandwidth", 3.75, "Gbits/sec"))
         + block("Streams", 3, "10", ("transfer", 900, "MBytes"), ("bandwidth", 750, "Mbits/sec"))
@@ -104,9 +104,9 @@ def test_report(report, both_ways):
                 ("rate", 0, "Mbytes/sec"))
         + block("Sizes", 4, "1024", ("repetitions", 640, "count"), ("time", 20.5, "usec"),
                 ("rate", 2900.25, "Mbytes/sec"))
-        + block("Messages", 4, "Total Run", ("run_time", 1.1, "sec"), ("sent", 1001, "count"),
+        + block("Messages", 4, "Total Run", ("run_time", 1.25, "sec"), ("sent", 1001, "count"),
                 ("received", 1000, "count"))
-        + block("Messages", 4, "Valid Duration", ("run_time", 1.0, "sec"), ("sent", 900, "count"),
+        + block("Messages", 4, "Valid Duration", ("run_time", 1.125, "sec"), ("sent", 900, "count"),
                 ("received", 899, "count"))
         + block("Messages", 4, "valid", ("latency_average", 5.5, "usec"), ("latency_stddev", 0.25, "usec"),
                 ("dropped", 1, "count"), ("duplicated", 2, "count"), ("out_of_order", 3, "count"),
@@ -161,6 +161,15 @@ def test_json_documents(spark, tmp_path):
     assert [r._broken for r in rows if r._broken is not None] == ['{"id": "2", broken']
 
 
+def test_json_arrays_and_the_last_of_an_id(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n {"id": "1", "text": "old"},\n {"id": "2", "text": "two"},\n {"id": "2", "text": "again"}\n]\n')
+    (tmp_path / "b.json").write_text('{"id": "1",\n "text": "new"}')
+    (tmp_path / "c.json").write_text('[{"id": "9", "text"')
+    rows = files.read_json_docs(spark, str(tmp_path), whole_files=True)
+    assert sorted(map(tuple, files.last_docs(rows).collect())) == [("1", "new"), ("2", "again")]
+    assert [(r.file.rsplit("/")[-1], r.broken) for r in files.broken_docs(rows).collect()] == [("c.json", 1)]
+
+
 def test_wiki_pages(spark, tmp_path):
     page = """<page><title>{t}</title><id>{i}</id><revision><id>{r}</id>
       <timestamp>{at}</timestamp><contributor><username>u{i}</username><id>7</id></contributor>
@@ -191,6 +200,14 @@ def test_host_map(spark, tmp_path):
     assert got == {"f1": "10.0.0.9", "f2": "10.0.0.2"}
 
 
+def test_host_map_of_a_folder_goes_by_file_name(spark, tmp_path):
+    (tmp_path / "a.txt").write_text('{"host": "f0", "ip": "old"}\n')
+    filler = "".join(f'{{"host": "g{i}", "ip": "x"}}\n' for i in range(200))
+    (tmp_path / "b.txt").write_text(filler + '{"host": "f0", "ip": "new"}\n')
+    got = {r.host: r.ip for r in files.read_json_map(spark, str(tmp_path)).collect()}
+    assert got["f0"] == "new" and len(got) == 201
+
+
 def test_node_logs(spark, tmp_path):
     for node, line in (("n1", "up"), ("n2", "down")):
         (tmp_path / node).mkdir()
@@ -205,7 +222,15 @@ def test_result_rows_round_trip(spark, tmp_path, message):
     row = (1, 2, "get", "200", message, "t-1", "text", True, 5, "/q?a=b,c", 2)
     df = spark.createDataFrame([row], files.RESULT_SCHEMA)
     files.write_results_csv(df, str(tmp_path / "out"))
-    assert [tuple(r) for r in files.read_results_csv(spark, str(tmp_path / "out")).collect()] == [row]
+    read = files.read_results_csv(spark, str(tmp_path / "out"), line_breaks="\n" in (message or ""))
+    assert [tuple(r) for r in read.collect()] == [row]
+
+
+def test_result_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("timeStamp,more,bytes,elapsed,URL\n7,x,555,9,/a\n8,y,,1,\n")
+    got = files.read_results_csv(spark, str(tmp_path / "r.csv")).orderBy("timeStamp").collect()
+    assert [(r.timeStamp, r.elapsed, r.bytes, r.URL, r.Latency) for r in got] == [(7, 9, 555, "/a", None), (8, 1, None, None, None)]
+    assert got[0].__fields__ == [c.split()[0] for c in files.RESULT_SCHEMA.split(", ")]
 
 
 def test_runs(spark, tmp_path, plan):
@@ -216,6 +241,13 @@ def test_runs(spark, tmp_path, plan):
     newest = runs.latest_run(runs.read_runs(spark, base))
     assert newest.count() == 2 and newest.first().run_ts == "2024-01-02-00-00-00"
     assert "PartitionFilters: [isnotnull(run_ts" in plan(newest)
+    pointed = runs.read_latest(spark, base)
+    assert pointed.count() == 2 and pointed.first().run_ts == "2024-01-02-00-00-00"
+    assert "run_ts=2024-01-01" not in plan(pointed) and "Subquery" not in plan(pointed)
+    runs.write_run(spark.range(9), base, "2023-12-31-00-00-00")  # an older run does not become the latest
+    assert runs.read_latest(spark, base).count() == 2 and runs.latest_run(runs.read_runs(spark, base)).count() == 2
+    with pytest.raises(ValueError, match="no run"):
+        runs.read_latest(spark, str(tmp_path / "none"))
 
 
 def test_record_table_is_joined_without_moving_it(spark, tmp_path, plan):

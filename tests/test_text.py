@@ -78,12 +78,12 @@ def test_shards_are_stable_and_even(spark):
     assert set(sizes) == {0, 1, 2} and max(sizes.values()) < 1.2 * min(sizes.values())
 
 
-def test_rates_of_the_published_sweep(spark):
-    # 4 MiB in 873.09 usec is printed as 4581.44; the time has two places only.
-    rate = one(spark, 4194304, lambda c: measures.mib_per_s(c, F.lit(873.09)), "long")
-    assert rate == pytest.approx(4581.44, abs=0.03)
-    assert one(spark, 8192000, lambda c: measures.mbit_per_s(c, F.lit(4748.98)), "long") == (
-        pytest.approx(13799.96, abs=0.1)
+def test_rates(spark):
+    # 3 MiB in 750 usec, and 6 million bytes in 4000 usec.
+    rate = one(spark, 3 << 20, lambda c: measures.mib_per_s(c, F.lit(750.0)), "long")
+    assert rate == pytest.approx(4000.0)
+    assert one(spark, 6_000_000, lambda c: measures.mbit_per_s(c, F.lit(4000.0)), "long") == (
+        pytest.approx(12_000.0)
     )
     assert one(spark, 5, lambda c: measures.mib_per_s(c, F.lit(0)), "long") is None
 
