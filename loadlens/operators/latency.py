@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from loadlens.functions.joins import split_join
-from loadlens.functions.lineage import cut
+from loadlens.functions.lineage import cut, stored_rows
 from loadlens.functions.measures import bucket_ms, mib_per_s, per_second, size_class
 from loadlens.functions.ordered import running, same_keys
 from loadlens.functions.quantiles import quantiles
@@ -125,14 +125,15 @@ def percentile_table(
     value: str,
     by: Sequence[str] = (),
     exact: bool = True,
+    percentiles: Sequence[float] = PERCENTILES,
 ) -> DataFrame:
     """Long table of MAX, the report's percentiles and MIN for each group."""
-    wanted = {f"p{i}": p / 100 for i, p in enumerate(PERCENTILES)}
+    wanted = {f"p{i}": p / 100 for i, p in enumerate(percentiles)}
     wide = quantiles(
         df, by, value, {"top": 1.0, **wanted, "low": 0.0}, exact=exact
     )
     steps = [("MAX", "top")]
-    steps += [(f"{p:.2f}", f"p{i}") for i, p in enumerate(PERCENTILES)]
+    steps += [(f"{p:.2f}", f"p{i}") for i, p in enumerate(percentiles)]
     steps += [("MIN", "low")]
     rows = F.array(
         *[
@@ -303,27 +304,26 @@ def all_ok(checks: DataFrame, by: Sequence[str], good: str) -> DataFrame:
 
 def fanout_latency(leaf_times: DataFrame) -> DataFrame:
     """A request ends with its slowest leaf: latency of requests and leaves by fan-out."""
-    # Both tables are kept, since the figures below read them more than once.
-    per_request = cut(
+    per_request = stored_rows(
         leaf_times.groupBy("request").agg(
             F.count(F.lit(1)).alias("fanout"), F.max("t").alias("t_request")
-        )
+        ),
+        "requests",
     )
     sizes = per_request.select("request", F.col("fanout").alias("rows"))
-    leaves = split_join(leaf_times, per_request, ["request"], sizes)
-    leaves = cut(leaves.select("fanout", "t"))
+    # Percentiles only need how often a value occurs, so the leaves are kept as counted pairs.
+    leaves = split_join(leaf_times, per_request.select("request", "fanout"), ["request"], sizes)
+    counted = leaves.groupBy("fanout", "t").agg(F.count(F.lit(1)).alias("n"))
+    counted = stored_rows(counted, "leaves")
     means = per_request.groupBy("fanout").agg(
         F.count(F.lit(1)).alias("requests"),
         (F.sum(F.col("t_request").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias(
             "mean_request"
         ),
     )
-    slow = quantiles(per_request, ["fanout"], "t_request", {"p99": 0.99})
-    leaf = quantiles(leaves, ["fanout"], "t", {"p99_leaf": 0.99})
-    return (
-        means.join(slow.select("fanout", F.col("p99").alias("p99_request")), "fanout")
-        .join(leaf.select("fanout", "p99_leaf"), "fanout")
-    )
+    slow = quantiles(per_request, ["fanout"], "t_request", {"p99_request": 0.99})
+    leaf = quantiles(counted, ["fanout"], "t", {"p99_leaf": 0.99}, weight="n")
+    return means.join(slow.drop("n"), "fanout").join(leaf.drop("n"), "fanout")
 
 
 def concurrency_profile(requests: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loadlens.functions.joins import split_join
 from loadlens.functions.ordered import running
 
 # Operations that change a record, and the size of a record.
@@ -36,13 +37,14 @@ def load_records(numbers: DataFrame, number: str, fields: int = FIELD_COUNT) ->
 def point_reads(reads: DataFrame, records: DataFrame) -> DataFrame:
     """Batch of reads by key; a key without a record gives ``NOT_FOUND``.
 
-    Records are unique by key, so the join never multiplies rows.  Which side is
-    broadcast, and how a hot key is split, is left to adaptive execution, which
-    knows the sizes.
+    Records are unique by key, so the join never multiplies rows.  Reads are counted per
+    key first: a very popular record is joined in blocks, also where the records come
+    placed by key and adaptive execution could not split them.
     """
     found = records.withColumn("is_found", F.lit(True))
+    sizes = reads.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     return (
-        reads.join(found, "key", "left")
+        split_join(reads, found, ["key"], sizes, "left")
         .withColumn("read_status", F.when(F.col("is_found"), "OK").otherwise("NOT_FOUND"))
         .drop("is_found")
     )

@@ -52,6 +52,8 @@ def report_lines(log):
     pingpong = F.array(
         F.format_string("%d bytes in %s seconds = %d Mbit/sec", size, seconds, usec),
         F.format_string("1000 iters in %s seconds = %d usec/iter", seconds, usec),
+        # The other side prints the same figure.
+        F.format_string("%d bytes in %s seconds = %d Mbit/sec", size, seconds, usec + 5),
     )
     streams = F.array(
         F.lit("[ ID] Interval       Transfer     Bandwidth"),
@@ -107,10 +109,12 @@ def _expected() -> str:
         ("view", 6, 0, "pingpong_rate", "bytes", "dur_us", "Mbit/sec"),
         ("view", 7, 0, "seconds", "1000", "secs", "sec"),
         ("view", 7, 0, "pingpong_time", "1000", "dur_us", "usec/iter"),
-        ("purchase", 7, 0, "transfer", "bytes", "dur_us", "GBytes"),
-        ("purchase", 7, 0, "bandwidth", "bytes", "1.5", "Gbits/sec"),
-        ("purchase", 8, 0, "transfer", "'SUM'", "dur_us", "GBytes"),
-        ("purchase", 8, 0, "bandwidth", "'SUM'", "1.5", "Gbits/sec"),
+        ("view", 8, 0, "seconds", "bytes", "secs", "sec"),
+        ("view", 8, 0, "pingpong_rate", "bytes", "dur_us + 5", "Mbit/sec"),
+        ("purchase", 7, 1, "transfer", "bytes", "dur_us", "GBytes"),
+        ("purchase", 7, 1, "bandwidth", "bytes", "1.5", "Gbits/sec"),
+        ("purchase", 8, 1, "transfer", "'SUM'", "dur_us", "GBytes"),
+        ("purchase", 8, 1, "bandwidth", "'SUM'", "1.5", "Gbits/sec"),
         ("error", 6, 0, "run_time", "'Valid Duration'", "1", "sec"),
         ("error", 6, 0, "sent", "'Valid Duration'", "dur_us", "count"),
         ("error", 6, 0, "received", "'Valid Duration'", "bytes", "count"),
@@ -139,14 +143,17 @@ def _expected() -> str:
         f"""
         WITH numbered AS (
             SELECT *, dur_us / 1000000 AS secs,
-                   coalesce(sum(CASE label WHEN 'click' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END)
+                   coalesce(sum(CASE label WHEN 'click' THEN 2 WHEN 'signup' THEN 1
+                                 WHEN 'purchase' THEN 1 ELSE 0 END)
                        OVER (PARTITION BY flow ORDER BY seq
                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
                        AS before
             FROM requests),
         figures AS ({_expected()})
         SELECT 'report-' || flow AS file, label || ' of ' || seq AS section,
-               seq * {BLOCK_LINES} + line AS line_no, table_no, metric, key, value, unit
+               seq * {BLOCK_LINES} + line AS line_no, table_no, metric, key, value, unit,
+               row_number() OVER (PARTITION BY flow, seq, table_no, metric, key ORDER BY line)
+                   AS occurrence
         FROM figures""",
     ),
 )

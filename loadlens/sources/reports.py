@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from loadlens.functions.lineage import stored_rows
 from loadlens.functions.ordered import running
 from loadlens.sources.files import number_lines, read_lines
 
@@ -22,7 +23,7 @@ from loadlens.sources.files import number_lines, read_lines
 RULE_WIDTH = 47
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 GAP = r"\s+"
-TABLE_HEADER = r"^\s*#bytes"
+TABLE_HEADER = r"^\s*(?:#bytes|\[ ID\] Interval)"
 FORMS = [
     (
         "t_min",
@@ -186,7 +187,9 @@ def report_rows(lines: DataFrame) -> DataFrame:
     """Figures of numbered report lines, one row each.
 
     ``table_no`` counts the table headers of a file: a section that prints one
-    table for each side keeps both apart.
+    table for each side keeps both apart.  Figures without a table are printed by both
+    sides as well, so ``occurrence`` counts the same figure from 1 in order of lines:
+    file, section, table_no, metric, key and occurrence name one row.
     """
     is_header = F.col("line").rlike(TABLE_HEADER)
     header = F.when(is_header, F.col("line")).when(F.col("title").isNotNull(), F.lit(""))
@@ -199,7 +202,9 @@ def report_rows(lines: DataFrame) -> DataFrame:
         measure=lines,
     )
     found = reduce(lambda a, b: F.coalesce(a, b), [_figures(*form) for form in FORMS])
-    return placed.select("file", "section", "line_no", "table_no", F.inline(found))
+    rows = stored_rows(placed.select("file", "section", "line_no", "table_no", F.inline(found)), "figures")
+    same = ["file", "section", "table_no", "metric", "key"]
+    return running(rows, same, ["line_no"], sums={"occurrence": F.lit(1).cast("bigint")})
 
 
 def parse_perf_report(spark: SparkSession, path: str) -> DataFrame:
