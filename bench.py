@@ -34,6 +34,7 @@ HEADLINES = (
     "pagerank",
     "monte_carlo_pi",
     "perf_report_rows",
+    "node_logs",
     "stream_counts",
     "stream_kv_state",
 )
