@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from loadlens.functions.lineage import cut
 from loadlens.operators import estimate, graph
 from loadlens.plans.registry import query, rounded
