@@ -173,9 +173,10 @@ def disclosures(scanned: DataFrame, docs: DataFrame, text: str = "text") -> Data
     n_entity = named.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
     wanted = stored(n_pair.select("term").distinct(), "terms")
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
-    # Counted before the join: what travels is one row per term and task.
+    # Counted before the join: what travels is one row per term and task.  ``wanted`` names a
+    # term once, and an inner join, unlike a semi join, is not moved below the count.
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_term = stored(terms.join(wanted, "term", "left_semi"), "terms")
+    n_term = stored(terms.join(wanted, "term"), "terms")
     # One row: the number of texts.
     texts = F.broadcast(scanned.agg(F.count(F.lit(1)).alias("_n")))
     known = n_pair.join(n_entity, ["kind", "entity"]).join(n_term, "term").crossJoin(texts)
