@@ -59,9 +59,13 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", supp
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay; columns stay as they are (rows without doc_id cannot be named and stay)."""
-    gone = duplicates(docs, doc_id, text, support).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("shuffle_hash"), docs[doc_id] == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay; columns stay as they are (rows without doc_id cannot be named and stay).
+
+    Rows are told apart by doc_id and text, so a doc_id on different texts loses none of them.
+    """
+    gone = duplicates(docs, doc_id, text, support).where("not kept and doc_id is not null")
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_text")).hint("shuffle_hash")
+    return docs.join(gone, (docs[doc_id] == F.col("_gone")) & (digest(text) == F.col("_text")), "left_anti")
 
 
 SQL = """

@@ -114,31 +114,55 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     ``component_id``, which is NULL if a whole component lacks ids.  Repeated rows
     stay; other columns are not read; an empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(F.col(text), words).alias("fp"))
+    found = _grouped(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(F.col(text), words).alias("fp")))
+    return found.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, fp and others) with component_id and root, the fingerprint that names the component."""
     rows = stored(rows, "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(linked_fingerprints(classes))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stored(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = stored(named.join(least, "root").select("fp", "component_id"), "members")
-    return rows.join(found, "fp").select(
-        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    found = stored(named.join(least, "root").select("fp", "component_id", "root"), "members")
+    return rows.join(found, "fp")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay: of every component the one with the smallest doc_id.
 
-    Columns stay as they are.  Rows without doc_id cannot be named and stay; if
-    one doc_id stands on several rows, one of its rows stays.
+    Columns stay as they are.  Rows without doc_id cannot be named and stay.  Rows are
+    told apart by doc_id and text, so a doc_id on different texts loses none of them; if
+    the smallest doc_id of a component stands on several of its rows, the one with
+    the smallest hash of its text stays, and of equal texts the smallest row.
     """
-    groups = near_groups(docs, doc_id, text, words)
-    dropped = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    prints = fingerprint_of(F.col(text), words).alias("fp")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_hash(text).alias("hash"), prints)
+    return keep_least(docs, _grouped(rows), doc_id, text)
+
+
+def text_hash(text: str) -> Column:
+    """64-bit hash of a text; NULL counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def keep_least(docs: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that stay, from ``groups``: doc_id, hash, root and component_id of each row."""
+    body = text_hash(text)
+    gone = groups.where("doc_id != component_id").select("doc_id", "hash")
+    least = groups.where("doc_id = component_id")
+    repeated = least.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("best")).where("n > 1")
+    repeated = stored(repeated, "repeated")
+    repeats = not repeated.isEmpty()
+    if repeats:
+        gone = gone.union(least.join(repeated, "root").where("hash != best").select("doc_id", "hash"))
+    gone = gone.distinct().toDF("_gone", "_text").hint("shuffle_hash")
     # Build the hash table on the ids; the texts are not sorted.
-    kept = docs.join(dropped.hint("shuffle_hash"), docs[doc_id] == F.col("_gone"), "left_anti")
-    repeats = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeats.isEmpty():
+    kept = docs.join(gone, (docs[doc_id] == F.col("_gone")) & (body == F.col("_text")), "left_anti")
+    if not repeats:
         return kept
-    named = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return named.unionByName(kept.where(F.col(doc_id).isNull()))
+    named = kept.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id"), body.alias("_text"))
+    first = named.agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return first.unionByName(kept.where(F.col(doc_id).isNull()))

@@ -150,3 +150,16 @@ def test_exact_duplicates(spark, support):
     left = exact_dedup.drop_duplicates(table, support=support)
     assert left.columns == table.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(["39", "101", "103", "103", "None", "None", "104", "106"])
+
+
+def test_one_id_on_different_texts_loses_none(spark):
+    a, b, c = "one two three four", "quite another text here", "a third text stands alone"
+    rows = [(1, a), (2, b), (2, a), (3, c), (3, b), (4, "p q r"), (4, "x y z"), (None, a), (None, "k l m"), (4, "x y z")]
+    table = spark.createDataFrame([(*r, n % 2) for n, r in enumerate(rows)], "doc_id long, text string, n int")
+    got = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(table).collect())
+    # Rows without doc_id stay.
+    assert got == sorted([("1", a), ("2", b), ("3", c), ("4", "p q r"), ("4", "x y z"), ("None", a), ("None", "k l m")])
+    again = simhash.keep_one(table.repartition(5)).collect()
+    assert [r.n for r in again if r.text == "x y z"] == [0]
+    exact = spark.createDataFrame([(9, "a"), (5, "a"), (5, "b"), (None, "b")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_duplicates(exact).collect()) == [("5", "b"), ("9", "a"), ("None", "b")]
