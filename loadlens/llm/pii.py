@@ -10,8 +10,8 @@ with N texts, n(e) texts that hold the entity, n(t) texts that hold the term any
 n(e, t) texts in which the term stands within
 ``REACH`` characters of the entity, not beyond another match of its pattern.  It is 1 for a term
 that occurs near this entity and nowhere else.  From ``GENERALISE`` on a term is
-replaced by its class, from ``REMOVE`` on it is removed; pairs seen in fewer than
-``SUPPORT`` texts say nothing.
+replaced by its class, from ``REMOVE`` on it is removed.  A pair seen in one text counts too: the
+term's count in all texts tells a rare term from a common one.
 
 All of it is DataFrame functions.  Counts run over all texts and are combined before
 they are shuffled; what travels is (entity, term) pairs, not texts.
@@ -39,7 +39,7 @@ _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
 #: Characters on each side of an entity whose terms are examined.
 REACH = 60
-#: Texts that must show a pair.
+#: Texts that must show a pair for ``disclosures``, unless told otherwise; sanitising takes all pairs.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.5, 0.9
 
@@ -160,17 +160,17 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return stored(_occurrences(entities(rows)), "pii")
 
 
-def disclosures(scanned: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, entity, term, n_pair, n_entity, n_term, disclosure) of all pairs with enough support.
+def disclosures(scanned: DataFrame, docs: DataFrame, text: str = "text", support: int = SUPPORT) -> DataFrame:
+    """(kind, entity, term, n_pair, n_entity, n_term, disclosure) of all pairs in ``support`` texts or more.
 
     ``scanned`` is the scan of ``docs``.  Each row is one text; repeated rows count each time.
     """
     pairs = scanned.select(F.explode(F.array_distinct(F.transform("_near", lambda o: F.struct(
         o["kind"].alias("kind"), o["entity"].alias("entity"), o["value"].alias("term"))))).alias("p")).select("p.*")
-    n_pair = pairs.groupBy("kind", "entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= SUPPORT)
+    n_pair = pairs.groupBy("kind", "entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= support)
     n_pair = stored(n_pair, "pairs")
     named = scanned.select(F.explode("_entities").alias("e")).select("e.kind", "e.entity")
-    n_entity = named.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
+    n_entity = named.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
     wanted = stored(n_pair.select("term").distinct(), "terms")
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
     # Counted before the join: what travels is one row per term and task.  ``wanted`` names a
@@ -218,7 +218,7 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """
     scanned = scan(docs, doc_id, text)
     near = scanned.select("doc_id", "_hash", F.explode("_near").alias("o")).select("doc_id", "_hash", "o.*").distinct()
-    strong = disclosures(scanned, docs, text).where(F.col("disclosure") >= GENERALISE)
+    strong = disclosures(scanned, docs, text, support=1).where(F.col("disclosure") >= GENERALISE)
     strong = stored(strong.select("kind", "entity", F.col("term").alias("value"), "disclosure"), "strong")
     places = near.join(strong, ["kind", "entity", "value"]).groupBy("doc_id", "_hash", "start", "stop").agg(F.max("disclosure").alias("d"))
     # A list holds at most the terms near a text's own entities.

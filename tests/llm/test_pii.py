@@ -98,3 +98,18 @@ def test_pii_edges(spark):
 
 def test_no_python_in_the_plan(spark, story, plan):
     assert not re.search("Python|Pandas|Arrow", plan(pii.sanitised(story)))
+
+
+def test_a_term_of_a_single_text_is_found(spark):
+    rows = [(1, "please call Quillfeather at quill@b.example.com"), *((i, f"please call the desk {i}") for i in range(2, 40))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.span_table(pii.sanitised(table)).collect()}
+    assert "term:12:24" in got[1].split(",") and "term:0:6" not in got[1].split(",") and got[2] == ""
+
+
+def test_terms_are_found_in_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = pii.span_table(pii.sanitised(docs)).collect()
+    held = [r for r in rows if r.n_email + r.n_ip + r.n_card + r.n_phone]
+    assert held and all("term:" not in r.spans for r in rows if r not in held)
+    assert sum("term:" in r.spans for r in held) * 2 > len(held)
