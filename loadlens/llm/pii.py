@@ -1,15 +1,14 @@
 """Personal data: patterns, and information-theoretic sanitisation of what stands around them.
 
 Patterns find the protected entities: e-mail addresses, IP addresses, card and phone
-numbers.  A term near an entity discloses it as far as the corpus says so:
+numbers.  A term in a text with an entity discloses it as far as the corpus says so:
 
     disclosure(e, t) = PMI(e, t) / IC(e)
     PMI = log2(n(e, t) * N / (n(e) * n(t)))      IC = log2(N / n(e))
 
 with N texts, n(e) texts that hold the entity, n(t) texts that hold the term anywhere, and
-n(e, t) texts in which the term stands within
-``REACH`` characters of the entity, not beyond another match of its pattern.  It is 1 for a term
-that occurs near this entity and nowhere else.  From ``GENERALISE`` on a term is
+n(e, t) texts that hold the entity and, outside of all entities, the term.  It is 1 for a term
+that occurs with this entity and nowhere else.  Every place of such a term in a text with the entity counts.  From ``GENERALISE`` on a term is
 replaced by its class, from ``REMOVE`` on it is removed.  A pair seen in one text counts too: the
 term's count in all texts tells a rare term from a common one.
 
@@ -37,13 +36,11 @@ _SIGN = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
 _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
-#: Characters on each side of an entity whose terms are examined.
-REACH = 60
 #: Texts that must show a pair for ``disclosures``, unless told otherwise; sanitising takes all pairs.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.5, 0.9
 
-_SPAN = "array<struct<start:int,stop:int,value:string,before:string,cut_before:boolean,after:string,cut_after:boolean>>"
+_SPAN = "array<struct<start:int,stop:int,value:string>>"
 _TERM = r"\p{L}{3,}"
 
 
@@ -92,19 +89,13 @@ def _let(value: Column, use) -> Column:
 
 
 def _located(matches: Column, gaps: Column) -> Column:
-    """Spans from the matches and the text before, between and after them: their lengths, added up.
-
-    ``before`` and ``after`` are the text within REACH characters, up to the next match.
-    """
+    """Spans from the matches and the text before, between and after them: their lengths, added up."""
     pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
 
     def spans(pairs: Column) -> Column:
         ends = _running(F.transform(pairs, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["value"]), F.lit(0))))
-        ended = F.zip_with(pairs, ends, lambda p, e: F.struct(p["gap"].alias("gap"), p["value"].alias("value"), e.alias("stop")))
-        return F.zip_with(ended, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(1))), lambda p, after: F.struct(
-            (p["stop"] - F.length(p["value"])).alias("start"), p["stop"].alias("stop"), p["value"].alias("value"),
-            F.right(p["gap"], F.lit(REACH)).alias("before"), (F.length(p["gap"]) > REACH).alias("cut_before"),
-            F.left(after, F.lit(REACH)).alias("after"), (F.length(after) > REACH).alias("cut_after"),
+        return F.zip_with(pairs, ends, lambda p, stop: F.struct(
+            (stop - F.length(p["value"])).alias("start"), stop.alias("stop"), p["value"].alias("value")
         ))
 
     return F.filter(_let(pairs, spans), lambda s: s["value"].isNotNull())
@@ -131,30 +122,15 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("_pii", F.struct(*[_spans(body, k).alias(k) for k in PATTERNS]))
 
 
-def _terms(part: Column, start: Column, cut_left: Column, cut_right: Column) -> Column:
-    """Terms of a short text as structs (start, stop, value), lower-cased; words that its border cuts are left out."""
-    left = F.length(F.regexp_extract(part, r"^\p{L}+", 0))
-    right = F.length(F.regexp_extract(part, r"\p{L}+$", 0))
-    left, right = F.when(cut_left, left).otherwise(0), F.when(cut_right, right).otherwise(0)
-    inner = F.substr(part, left + 1, F.greatest(F.length(part) - left - right, F.lit(0)))
-
-    def located(inner: Column) -> Column:
-        spans = _located(F.regexp_extract_all(inner, F.lit(_TERM), F.lit(0)), F.split(inner, _TERM, -1))
-        return F.transform(spans, lambda s: F.struct(
-            (s["start"] + start + left).alias("start"), (s["stop"] + start + left).alias("stop"), F.lower(s["value"]).alias("value")
-        ))
-
-    return _let(inner, located)
-
-
-def _around(span: Column) -> Column:
-    """Terms of both sides of a span."""
-    left = _terms(span["before"], span["start"] - F.length(span["before"]), span["cut_before"], F.lit(False))
-    return F.concat(left, _terms(span["after"], span["stop"], F.lit(False), span["cut_after"]))
+def _terms(text: Column, spans: Column) -> Column:
+    """Terms of a text outside of ``spans`` as structs (start, stop, value), lower-cased."""
+    every = _located(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.split(text, _TERM, -1))
+    free = F.filter(every, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"])))
+    return F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.lower(t["value"]).alias("value")))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Read every text once: doc_id, ``_hash`` of the text, spans, entities and the terms near them (stored)."""
+    """Read every text once: doc_id, ``_hash`` of the text, spans, entities and, if there are any, all terms (stored)."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("_hash"), body.alias("text"))
     return stored(_occurrences(entities(rows)), "pii")
@@ -165,14 +141,13 @@ def disclosures(scanned: DataFrame, docs: DataFrame, text: str = "text", support
 
     ``scanned`` is the scan of ``docs``.  Each row is one text; repeated rows count each time.
     """
-    pairs = scanned.select(F.explode(F.array_distinct(F.transform("_near", lambda o: F.struct(
-        o["kind"].alias("kind"), o["entity"].alias("entity"), o["value"].alias("term"))))).alias("p")).select("p.*")
+    pairs = _pairs(scanned).select("kind", "entity", F.col("value").alias("term"))
     n_pair = pairs.groupBy("kind", "entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= support)
     n_pair = stored(n_pair, "pairs")
     named = scanned.select(F.explode("_entities").alias("e")).select("e.kind", "e.entity")
     n_entity = named.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
     wanted = stored(n_pair.select("term").distinct(), "terms")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(_TERM), F.lit(0)), F.lower))
     # Counted before the join: what travels is one row per term and task.  ``wanted`` names a
     # term once, and an inner join, unlike a semi join, is not moved below the count.
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
@@ -186,14 +161,15 @@ def disclosures(scanned: DataFrame, docs: DataFrame, text: str = "text", support
     return known.select("kind", "entity", "term", "n_pair", "n_entity", "n_term", share.alias("disclosure"))
 
 
-def _occurrences(found: DataFrame) -> DataFrame:
-    """Add ``_entities`` (distinct kind, entity) and ``_near`` (terms near them with their places)."""
+def _pairs(scanned: DataFrame) -> DataFrame:
+    """doc_id, _hash, kind, entity, value: every entity of a text with every distinct term of it."""
+    values = F.array_distinct(F.transform("_terms", lambda t: t["value"])).alias("_values")
+    named = scanned.select("doc_id", "_hash", F.explode("_entities").alias("e"), values)
+    return named.select("doc_id", "_hash", "e.kind", "e.entity", F.explode("_values").alias("value"))
 
-    def near(kind: str) -> Column:
-        return F.flatten(F.transform(F.col(f"_pii.{kind}"), lambda s: F.transform(_around(s), lambda w: F.struct(
-            F.lit(kind).alias("kind"), F.lower(s["value"]).alias("entity"), w["value"].alias("value"),
-            w["start"].alias("start"), w["stop"].alias("stop"),
-        ))))
+
+def _occurrences(found: DataFrame) -> DataFrame:
+    """Add ``_entities`` (distinct kind, entity) and ``_terms`` (places of all terms of a text with entities)."""
 
     def named(kind: str) -> Column:
         return F.transform(
@@ -206,24 +182,29 @@ def _occurrences(found: DataFrame) -> DataFrame:
         for k in PATTERNS
     ])
     kept = [c for c in found.columns if c not in ("text", "_pii")]
-    return found.select(*kept, places.alias("_pii"), names.alias("_entities"), F.concat(*map(near, PATTERNS)).alias("_near"))
+    spans = F.concat(*[F.col(f"_pii.{k}") for k in PATTERNS])
+    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
+    terms = F.when(F.size(names) > 0, _terms(F.col("text"), spans)).otherwise(none)
+    return found.select(*kept, places.alias("_pii"), names.alias("_entities"), terms.alias("_terms"))
 
 
 def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, one span array per kind, ``terms`` (start, stop, removed).
 
-    ``terms`` are the places of terms that disclose an entity near them.  Rows without
+    ``terms`` are all places of the terms that disclose an entity of the text.  Rows without
     doc_id and repeated doc_ids are told apart by their text; equal rows get equal
     spans; other columns are not read; an empty table gives no rows.
     """
     scanned = scan(docs, doc_id, text)
-    near = scanned.select("doc_id", "_hash", F.explode("_near").alias("o")).select("doc_id", "_hash", "o.*").distinct()
     strong = disclosures(scanned, docs, text, support=1).where(F.col("disclosure") >= GENERALISE)
     strong = stored(strong.select("kind", "entity", F.col("term").alias("value"), "disclosure"), "strong")
-    places = near.join(strong, ["kind", "entity", "value"]).groupBy("doc_id", "_hash", "start", "stop").agg(F.max("disclosure").alias("d"))
-    # A list holds at most the terms near a text's own entities.
+    told = _pairs(scanned).join(strong, ["kind", "entity", "value"]).groupBy("doc_id", "_hash", "value").agg(F.max("disclosure").alias("d"))
+    told = told.withColumnsRenamed({"doc_id": "_id", "_hash": "_h", "value": "_v"})
+    words = scanned.select("doc_id", "_hash", F.explode("_terms").alias("t")).select("doc_id", "_hash", "t.*").distinct()
+    same = words["doc_id"].eqNullSafe(told["_id"]) & (words["_hash"] == told["_h"]) & (words["value"] == told["_v"])
+    # A list holds at most the terms of a text.
     place = F.struct("start", "stop", (F.col("d") >= REMOVE).alias("removed"))
-    added = places.groupBy("doc_id", "_hash").agg(F.sort_array(F.collect_list(place)).alias("terms"))
+    added = words.join(told, same).groupBy("doc_id", "_hash").agg(F.sort_array(F.collect_list(place)).alias("terms"))
     added = added.withColumnRenamed("doc_id", "_id").withColumnRenamed("_hash", "_h")
     joined = scanned.join(added, scanned["doc_id"].eqNullSafe(added["_id"]) & (scanned["_hash"] == added["_h"]), "left")
     none = F.array().cast("array<struct<start:int,stop:int,removed:boolean>>")

@@ -113,3 +113,10 @@ def test_terms_are_found_in_the_given_documents(spark):
     held = [r for r in rows if r.n_email + r.n_ip + r.n_card + r.n_phone]
     assert held and all("term:" not in r.spans for r in rows if r not in held)
     assert sum("term:" in r.spans for r in held) * 2 > len(held)
+
+
+def test_terms_far_from_the_entity_are_found_in_all_places(spark):
+    far = "Quillfeather writes. " + "the desk " * 40 + "quill@b.example.com " + "the desk " * 40 + "quillfeather"
+    rows = [(1, far), *((i, "writes to the desk") for i in range(2, 40))]
+    got = {r.doc_id: r.spans for r in pii.span_table(pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [s for s in got[1].split(",") if "term" in s] == ["term:0:12", f"term:{len(far) - 12}:{len(far)}"]
