@@ -64,6 +64,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a missing id counts as empty text."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

@@ -11,6 +11,7 @@ from loadlens.llm import (
     decontaminate,
     exact_dedup,
     langid,
+    line_quality,
     mixing,
     pii,
     sharding,
@@ -115,3 +116,9 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     written = token_planes.write_tokens(docs, public_tokenizers.path(TOKENIZER))
     return token_planes.digest(written.documents())
+
+
+@query("op12_line_quality", line_quality.SQL)
+def op12_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, found = line_quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", f"{found}.*")
