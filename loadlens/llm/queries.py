@@ -19,6 +19,7 @@ from loadlens.llm import (
     token_counts,
     token_planes,
     toxicity,
+    turn_repair,
 )
 from loadlens.llm.common import fold, table
 
@@ -118,6 +119,12 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.digest(written.documents())
 
 
+@query("op11_turn_repair")
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.report(turn_repair.damaged(conversations), every=conversations)
+
+
 @query("op12_line_quality", line_quality.SQL)
 def op12_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, found = line_quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
