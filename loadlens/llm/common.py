@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import loadlens
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loadlens.functions.lineage import scratch_folder
 
@@ -72,6 +75,40 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def joined_sha256(rows: DataFrame, keys: Sequence[str], order: Sequence[str], piece: str, separator: str) -> DataFrame:
+    """SHA-256 in lower-case hex of each key's pieces, in order and joined: the keys and ``joined``.
+
+    A digest has to be made in one pass, so the pieces of a key go to one task, which
+    sorts them with spilling and reads them as a stream.
+    """
+    ship()
+    width = len(keys)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, digest, fields = None, None, None
+
+        def told() -> pa.RecordBatch:
+            values = [pa.array([v], f.type) for v, f in zip(owner, fields)]
+            return pa.RecordBatch.from_arrays([*values, pa.array([digest.hexdigest()])], [*keys, "joined"])
+
+        for batch in batches:
+            fields = list(batch.schema)[:width]
+            for *key, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if key == owner:
+                    digest.update(separator.encode())
+                else:
+                    if digest is not None:
+                        yield told()
+                    owner, digest = key, hashlib.sha256()
+                digest.update(part.encode())
+        if digest is not None:
+            yield told()
+
+    placed = rows.select(*keys, *order, piece).repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = StructType([rows.schema[k] for k in keys] + [StructField("joined", StringType())])
+    return placed.select(*keys, piece).mapInArrow(digests, schema)
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a missing id counts as empty text."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

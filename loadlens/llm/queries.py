@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadlens.llm import (
+    conversation_trie,
     decontaminate,
     exact_dedup,
     langid,
@@ -129,3 +130,9 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, found = line_quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", f"{found}.*")
+
+
+@query("op13_conversation_trie")
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(*conversation_trie.with_shared_starts(turns))

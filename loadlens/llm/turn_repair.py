@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadlens.functions.joins import checked_join
 from loadlens.functions.lineage import cut
-from loadlens.llm.common import ship, stored
+from loadlens.llm.common import joined_sha256, ship, stored
 
 # Fixed values of the task.
 INSERT, DELETE, REROLE, TRUNCATED = 5, 2, 1, 5
@@ -386,26 +386,6 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + BATCH]), kinds)], names)
 
 
-def _line_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SHA-256 of the lines of each key, which come together and in order."""
-    owner, digest, started = None, None, False
-
-    def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"conv_id": pa.array([owner], pa.int64()), "joined": [digest.hexdigest()]})
-
-    for batch in batches:
-        for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if started and key == owner:
-                digest.update(b"\n")
-            else:
-                if started:
-                    yield told()
-                started, owner, digest = True, key, hashlib.sha256()
-            digest.update(line.encode())
-    if started:
-        yield told()
-
-
 def report(conversations: DataFrame, every: DataFrame | None = None) -> DataFrame:
     """One row per conversation: gaps, counts of faults, cost, audit and digest of its repair.
 
@@ -424,8 +404,8 @@ def report(conversations: DataFrame, every: DataFrame | None = None) -> DataFram
 
     spanning = edited_turns(slices, borders, only_spanning=True).where("edit != 'D'")
     line = F.concat("role", F.lit(":"), "text").alias("line")
-    lines = spanning.select("conv_id", line, "slice", "place").repartition("conv_id").sortWithinPartitions("conv_id", "slice", "place")
-    joined = stored(lines.select("conv_id", "line").mapInArrow(_line_digest, "conv_id long, joined string"), "digests")
+    lines = spanning.select("conv_id", line, "slice", "place")
+    joined = stored(joined_sha256(lines, ["conv_id"], ["slice", "place"], "line", "\n"), "digests")
     joined = joined.select("conv_id", F.lit(-1).alias("slice"), "joined")
 
     # At most one row for each slice in a conversation.

@@ -1,0 +1,101 @@
+"""Prefix trie of conversations against a plain one."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from loadlens.llm import conversation_trie as ct
+from loadlens.llm.queries import op13_conversation_trie
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def in_order(rows):
+    out = {}
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "")):
+        if c is not None:
+            out.setdefault(c, []).append((role or "", text or ""))
+    return out
+
+
+def shared_starts(own):
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        out[c] = own.get(c - c % 5, [])[:h] + turns[h:]
+    return out
+
+
+def plain_trie(conversations):
+    nodes = {}
+    for c, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(tuple(turns[:d]), []).append(c)
+    # Sums bottom up, by parent.
+    children, leaves, saved = {}, {}, {}
+    for path in sorted(nodes, key=len, reverse=True):
+        leaves[path] = leaves.get(path, 0) + (path not in children)
+        saved[path] = saved.get(path, 0) + ((len(nodes[path]) - 1) * len(path[-1][1].encode()) if path else 0)
+        if path:
+            up = path[:-1]
+            children[up] = children.get(up, 0) + 1
+            leaves[up] = leaves.get(up, 0) + leaves[path]
+            saved[up] = saved.get(up, 0) + saved[path]
+    out = []
+    for path, members in nodes.items():
+        ends = ",".join(map(str, sorted(c for c in members if len(conversations[c]) == len(path))))
+        out.append((
+            min(members), len(path), min(nodes[path[:-1]]) if path else None, len(members), children.get(path, 0),
+            leaves[path], saved[path], hashlib.sha256(ends.encode()).hexdigest(),
+        ))
+    return sorted(out, key=str)
+
+
+def told(df):
+    assert df.columns == ct.NODE
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_query_against_a_plain_trie(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert told(op13_conversation_trie(spark, sf)) == plain_trie(shared_starts(in_order(rows)))
+
+
+def odd_rows():
+    draw = random.Random(9)
+    rows = []
+    for c in range(60):
+        turns = draw.choice([0, 1, 2, 3, 5, 9, 12])
+        rows += [(c, t, draw.choice(["user", None]), draw.choice(["a", "bé", "", None])) for t in range(turns)]
+    rows += [(c, t, "user", f"copy {t}") for c in (100, 101, 102, 103, 104, 105) for t in range(40)]  # long copies
+    rows += [(c, t, "user", f"copy {t}") for c in (110, 111) for t in range(17)]  # end inside them
+    rows += [(200, t, "user", f"alone {t}") for t in range(90)]
+    rows += [(c, 1, "user", "x" * 300_000) for c in (-7, -5, -3)] + [(300, None, "b", "2"), (300, None, "a", "1"), (300, 0, "c", "3")]
+    return rows + [(None, 1, "user", "lost"), (301, 1, "u", "r"), (301, 1, "u", "r")]
+
+
+@pytest.mark.parametrize("width,shard_bytes,limit", [(16, 1 << 26, None), (2, 400, "3"), (8, 2000, None)])
+def test_odd_tables(spark, monkeypatch, width, shard_bytes, limit):
+    monkeypatch.setattr(ct, "WIDTH", width)
+    monkeypatch.setattr(ct, "WIDER", 2)
+    monkeypatch.setattr(ct, "SHARD_BYTES", shard_bytes)
+    rows = odd_rows()
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("d", F.lit("x")).withColumn("ids", F.lit(1)).withColumn("k1", F.lit(2))
+    if limit:
+        spark.conf.set("spark.loadlens.groupLimit", limit)
+    try:
+        assert told(ct.prefix_trie(table)) == plain_trie(in_order(rows))
+    finally:
+        spark.conf.unset("spark.loadlens.groupLimit")
+
+
+def test_rebuilt_and_empty_tables(spark):
+    rows = [r for r in odd_rows() if r[0] is None or r[0] >= 0]
+    turns = ct.numbered_turns(spark.createDataFrame(rows, SCHEMA))
+    assert told(ct.trie(*ct.with_shared_starts(turns))) == plain_trie(shared_starts(in_order(rows)))
+    assert ct.prefix_trie(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert ct.trie(*ct.with_shared_starts(ct.numbered_turns(spark.createDataFrame([], SCHEMA)))).count() == 0
