@@ -1,37 +1,49 @@
 """Near copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Such texts differ in up to 11 bits of a 64-bit SimHash on the given tables, and
-two fingerprints 11 bits apart need not share a byte or any other part that is long enough
-for an index.  Candidates therefore come from MinHash: a text's signature is cut into
-bands, and texts that agree on a band meet in a bucket.  Every candidate is verified by the exact
-similarity of the shingle sets, so a link is never wrong; a pair at 0.8 meets
-in none of the bands with a probability of 3 in a million, a closer one more rarely.
-
-Texts with equal shingle sets are one class.  A bucket first offers each class with its
-smallest one only; classes that this leaves in different components are then
-offered with each other.  So a large group of near copies costs rows, not
-their square, and no candidate between two components is left out.
+Candidates come from three steps, each on what the steps before left apart, and every candidate is verified by the
+exact similarity of the shingle sets, so a link is never wrong.
+
+1. SimHash: fingerprints of five-word shingles, equal or at most two bits apart, found by the
+   byte-position index of ``simhash``.  Texts at 0.8 differ in up to 11 bits, so this
+   alone would miss most of them.
+2. MinHash: a signature is cut into bands, and texts that agree on a band meet in a bucket.  A pair at
+   0.8 meets in none of the bands with a probability of 3 in a million, a closer one more rarely.  A bucket
+   offers each text with its smallest one only.
+3. Prefixes, for texts of a bucket that are still in different components.  Shingles are
+   ordered by how many of these texts have them.  A pair at 0.8 must share one among the
+   first of each, and how many of the first follows from both sizes; so sizes are
+   cut into classes of five per cent, and a text is listed under its first shingles once for
+   each class that a partner may have.  Texts that only share a common passage have it at the end of their order and
+   do not meet.  A list, too, first offers each text with its smallest one, and then pairs that are still in
+   different components.
+
+Texts with equal shingle sets are one class; a class is named by 64 bits and told apart by 64 more.  A large group of copies or
+near copies so costs rows, not their square, and no candidate between two components is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from loadlens.functions.joins import checked_join
 from loadlens.llm.common import ship, stored
 from loadlens.llm.components import components
-from loadlens.llm.simhash import keep_least, shingle_hashes, text_hash
+from loadlens.llm.simhash import bit_counts, keep_least, linked_fingerprints, majority, shingle_hashes, text_hash
 
 WORDS = 5
 #: Least similarity of a link, in tenths.
 TENTHS = 8
 #: Bands of a signature and minima in a band: 1 - (1 - 0.8 ** 5) ** 32 = 0.999997.
 BANDS, ROWS = 32, 5
+#: Sizes of a class differ by this factor at most, and a partner is in one of as many classes on each side.
+CLASS, CLASSES = 1.05, 5
 #: Shingles whose hashes are permuted together.
 BLOCK = 1 << 12
 
@@ -58,15 +70,25 @@ def buckets(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketch(text: Column) -> Column:
-    """Struct of ``key``, which names the shingle set, and its ``buckets``."""
+    """Struct of ``key`` and ``check``, which name the shingle set, its size ``n``, ``fp`` and ``buckets``."""
     ship()
 
-    @pandas_udf("key long, buckets array<long>")
+    @pandas_udf("key long, check long, n long, fp long, buckets array<long>")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sets = [shingle_set(t) for t in texts.tolist()]
-            keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
-            yield pd.DataFrame({"key": keys.view(np.int64), "buckets": [buckets(s) for s in sets]})
+            found = []
+            for text in texts.tolist():
+                counts, parts, total = np.zeros(64, np.int64), [np.empty(0, np.uint64)], 0
+                for hashes in shingle_hashes(text, WORDS):
+                    counts += bit_counts(hashes)
+                    total += len(hashes)
+                    parts.append(hashes)
+                shingles = np.unique(np.concatenate(parts))
+                raw = shingles.tobytes()
+                found.append((xxhash.xxh64_intdigest(raw), xxhash.xxh64_intdigest(raw, 1), majority(counts, total), shingles))
+            names = {c: np.array([f[k] for f in found], np.uint64).view(np.int64) for k, c in enumerate(("key", "check", "fp"))}
+            sizes = {"n": [len(f[3]) for f in found], "buckets": [buckets(f[3]) for f in found]}
+            yield pd.DataFrame(names | sizes)[["key", "check", "n", "fp", "buckets"]]
 
     return sketched(text)
 
@@ -82,50 +104,142 @@ def _shingles(text: Column) -> Column:
     return listed(text)
 
 
+def _near_size(a: str, b: str) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(a, b) * 10 >= F.greatest(a, b) * TENTHS
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) that are similar enough (stored)."""
-    sides = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    # The second one is mostly in one pair: its set travels, to where the first one's is.
+    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
+    sides = pairs.join(right, "b").join(left, "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return stored(sides.where(shared * 10 >= (F.size("sa") + F.size("sb") - shared) * TENTHS).select("a", "b"), "similar")
 
 
+def _classes(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes), a class of texts with one shingle set named by ``key`` (stored)."""
+
+    def named(rows: DataFrame) -> DataFrame:
+        least = [F.min(c).alias(c) for c in ("hash", "n", "fp")]
+        found = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *least, F.min("check").alias("low"), F.max("check").alias("high"))
+        return stored(found, "classes")
+
+    classes = named(sketched)
+    mixed = classes.where("low != high").select("key")
+    if not mixed.isEmpty():
+        # Sets of one name: they get names from all 128 bits.
+        fresh = F.when(F.col("mixed"), F.xxhash64("key", "check")).otherwise(F.col("key"))
+        joined = sketched.join(mixed.withColumn("mixed", F.lit(True)), "key", "left")
+        sketched = stored(joined.withColumn("key", fresh).drop("mixed"), "sketches")
+        classes = named(sketched)
+    return sketched, classes.drop("low", "high")
+
+
+def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes whose fingerprints are equal or at most two bits apart."""
+    rows = classes.where("n > 0").select("fp", "key", "n")
+    heads = stored(rows.groupBy("fp").agg(F.min_by("key", F.struct("n", "key")).alias("head"), F.min("n").alias("of"), F.count(F.lit(1)).alias("rows")), "heads")
+    many = heads.where("rows > 1")
+    equal = checked_join(rows, many.select("fp", "head", "of"), ["fp"], many.select("fp", "rows")).where("key != head")
+    equal = equal.where(_near_size("n", "of")).select(F.col("head").alias("a"), F.col("key").alias("b"))
+    sides = [heads.select(F.col("fp").alias(x), F.col("head").alias(f"{x}_"), F.col("of").alias(f"n{x}")) for x in "ab"]
+    linked = linked_fingerprints(heads).join(sides[0], "a").join(sides[1], "b").where(_near_size("na", "nb"))
+    return equal.union(linked.select(F.col("a_").alias("a"), F.col("b_").alias("b")))
+
+
+def _placed(rows: DataFrame, roots: DataFrame, key: str = "key", root: str = "root") -> DataFrame:
+    """``rows`` and, as ``root``, the component of ``key``."""
+    named = roots.select(F.col("node").alias(key), F.col("root").alias("_root"))
+    return rows.join(named, key, "left").select(*rows.columns, F.coalesce("_root", key).alias(root))
+
+
+def _apart(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of groups that hold more than one component (stored)."""
+    groups_ = rows.groupBy(*by).agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least != _most")
+    return stored(rows.join(stored(groups_.select(*by), "apart"), by), "open")
+
+
+def _prefixes(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """Lists of ``keys`` (key, n): low, high, shingle, key, n, rest, ``rest`` the shingles from this one on (stored)."""
+    wanted = keys.join(sets, "key").select("key", "n", F.explode("shingles").alias("shingle"))
+    wanted = stored(wanted, "shingles")
+    counts = stored(wanted.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "counts")
+    # Shingles of one text only come first and need no place; a window holds the shingles of one text.
+    common = checked_join(wanted, counts.withColumn("f", F.col("rows")).drop("rows"), ["shingle"], counts)
+    order = Window.partitionBy("key").orderBy(F.col("f").desc(), F.col("shingle").desc())
+    rest = common.withColumn("rest", F.row_number().over(order))
+    own = F.floor(F.ln("n") / F.lit(math.log(CLASS)))
+    partner = F.explode(F.sequence(own - CLASSES, own + CLASSES))
+    rest = rest.where(F.col("rest") * 10 >= F.col("n") * TENTHS).select("*", own.alias("own"), partner.alias("other"))
+    # The least size of a partner in that class, rounded down, and what both have to share.
+    least = F.greatest(F.floor(F.pow(F.lit(CLASS), "other") - 0.001), F.ceil(F.col("n") * TENTHS / 10))
+    enough = F.col("rest") * (10 + TENTHS) >= (F.col("n") + least) * TENTHS
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    return stored(rest.where(enough).select(low, high, "shingle", "key", "n", "rest"), "prefixes")
+
+
+def _can_share(a: str, b: str) -> Column:
+    """Whether two entries of a list leave room for enough shared shingles."""
+    rest = F.least(f"{a}.rest", f"{b}.rest") * (10 + TENTHS)
+    return (rest >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * TENTHS) & _near_size(f"{a}.n", f"{b}.n")
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, hash of the text, root, component_id.
 
     ``component_id`` is the smallest doc_id among all rows that can be reached over
     links, NULL if none has one; ``root`` names the component.  NULL and wordless texts are
-    copies of each other.
+    copies of each other.  Repeated rows stay; other columns are not read; an empty table gives no rows.  A long text
+    is hashed in blocks; its set of shingles takes eight bytes for each.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_hash(text).alias("hash"), F.col(text).alias("text"))
     sketched = rows.select("doc_id", "hash", _sketch(F.col("text")).alias("_s"))
-    sketched = stored(sketched.select("doc_id", "hash", "_s.key", "_s.buckets"), "sketches")
-    named = sketched.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("hash").alias("hash"))
-    classes = stored(named, "classes")
-    index = sketched.select("key", F.explode("buckets").alias("bucket")).distinct()
+    sketched, classes = _classes(stored(sketched.select("doc_id", "hash", "_s.*"), "sketches"))
+    near = stored(_fingerprint_pairs(classes).distinct(), "pairs")
+
+    index = sketched.select("key", "n", F.explode("buckets").alias("bucket")).distinct()
     index = stored(index, "buckets")
-    heads = index.groupBy("bucket").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stored(index.join(heads.drop("n"), "bucket"), "met")
+    heads = index.groupBy("bucket").agg(F.min("key").alias("head"), F.min_by("n", "key").alias("of"), F.count(F.lit(1)).alias("rows"))
+    heads = stored(heads.where("rows > 1"), "heads")
+    met = stored(checked_join(index, heads.drop("rows"), ["bucket"], heads), "met")
     # One text of each class that meets another one.
-    wanted = met.select("key").distinct().join(classes, "key").select("key", "hash")
+    ends = near.select(F.explode(F.array("a", "b")).alias("key")).union(met.select("key"))
+    wanted = ends.distinct().join(classes, "key").select("key", "hash")
     texts = stored(rows.select("hash", "text").join(wanted, "hash"), "texts")
     texts = texts.groupBy("key").agg(F.min("text").alias("text"))
     sets = stored(texts.select("key", _shingles(F.col("text")).alias("shingles")), "shingles")
-    first = stored(met.where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    links = _verified(first, sets)
+
+    links = _verified(near, sets)
     roots = components(links)
-    placed = met.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    placed = stored(placed.select("bucket", "key", F.coalesce("root", "key").alias("root")), "placed")
-    apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    open_ = stored(placed.join(apart.select("bucket"), "bucket"), "open")
-    left, right = open_.toDF("bucket", "a", "ra"), open_.toDF("bucket", "b", "rb")
-    second = left.join(right, "bucket").where("a < b and ra != rb").select("a", "b").distinct()
-    second = stored(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(second, sets)
-    if not more.isEmpty():
-        roots = components(links.union(more))
-    named = classes.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    named = stored(named.select("key", "least", F.coalesce("root", "key").alias("root")), "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    first = met.where("key != head").where(_near_size("n", "of")).select(F.col("head").alias("a"), F.col("key").alias("b"))
+    first = _placed(_placed(first.distinct(), roots, "a", "ra"), roots, "b", "rb").where("ra != rb").select("a", "b")
+    links = stored(links.union(_verified(stored(first, "pairs"), sets)), "links")
+    roots = components(links)
+
+    open_ = _apart(_placed(met.select("bucket", "key", "n"), roots), ["bucket"])
+    lists = _prefixes(stored(open_.select("key", "n").distinct(), "keys"), sets)
+    by = ["low", "high", "shingle"]
+    for star in (True, False):
+        placed = _apart(_placed(lists, roots), by)
+        right = placed.select(*by, F.struct("key", "n", "rest", "root").alias("b"))
+        left = right.withColumnRenamed("b", "a")
+        if star:
+            left = stored(left.groupBy(*by).agg(F.min("a").alias("a"), F.count(F.lit(1)).alias("rows")), "heads")
+            offered = checked_join(right, left.drop("rows"), by, left.select(*by, "rows"))
+        else:
+            offered = left.join(right, by).where("a.key < b.key")
+        offered = offered.where("a.root != b.root").where(_can_share("a", "b"))
+        pairs = stored(offered.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), "pairs")
+        found = _verified(pairs, sets)
+        if not found.isEmpty():
+            links = stored(links.union(found), "links")
+            roots = components(links)
+
+    named = _placed(classes.select("key", "least"), roots)
+    least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     members = stored(named.join(least, "root").select("key", "root", "component_id"), "members")
     return sketched.select("doc_id", "hash", "key").join(members, "key").drop("key")
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from loadlens.llm.common import ship, stored
+from loadlens.llm.common import ship, spare, stored
 from loadlens.llm.components import components
 
 BYTES = 8
@@ -58,9 +58,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     """
     set_bits, n = np.zeros(64, np.int64), 0
     for hashes in shingle_hashes(text, words):
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_bits += bits.sum(axis=0, dtype=np.int64)
+        set_bits += bit_counts(hashes)
         n += len(hashes)
+    return majority(set_bits, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def majority(set_bits: np.ndarray, n: int) -> int:
+    """The number whose bits are those that over half of ``n`` hashes have."""
     return int.from_bytes(np.packbits(set_bits * 2 > n, bitorder="little").tobytes(), "little")
 
 
@@ -150,7 +160,8 @@ def text_hash(text: str) -> Column:
 
 def keep_least(docs: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The rows of ``docs`` that stay, from ``groups``: doc_id, hash, root and component_id of each row."""
-    body = text_hash(text)
+    body, key = text_hash(text), spare(docs, "_gone")
+    hashed = spare(docs, "_text")
     gone = groups.where("doc_id != component_id").select("doc_id", "hash")
     least = groups.where("doc_id = component_id")
     repeated = least.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("best")).where("n > 1")
@@ -158,11 +169,13 @@ def keep_least(docs: DataFrame, groups: DataFrame, doc_id: str, text: str) -> Da
     repeats = not repeated.isEmpty()
     if repeats:
         gone = gone.union(least.join(repeated, "root").where("hash != best").select("doc_id", "hash"))
-    gone = gone.distinct().toDF("_gone", "_text").hint("shuffle_hash")
+    gone = gone.distinct().toDF(key, hashed).hint("shuffle_hash")
     # Build the hash table on the ids; the texts are not sorted.
-    kept = docs.join(gone, (docs[doc_id] == F.col("_gone")) & (body == F.col("_text")), "left_anti")
+    kept = docs.join(gone, (docs[doc_id] == F.col(key)) & (body == F.col(hashed)), "left_anti")
     if not repeats:
         return kept
-    named = kept.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id"), body.alias("_text"))
-    first = named.agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    # Of rows with one id and text the first by the text of all their values stays, whatever types they have.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = kept.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), body.alias("hash"), whole.alias("row"))
+    first = rows.groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return first.unionByName(kept.where(F.col(doc_id).isNull()))

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from loadlens.llm import near_copies
+from pyspark.sql import functions as F
+
+from loadlens.llm import near_copies, simhash
 
 
 def plain_set(text):
@@ -61,3 +63,58 @@ def test_stage_links_similar_texts(spark):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, None).collect()}
     # Similarities 0.833 and 0.830; the fingerprints differ in 7 and 11 bits.
     assert {1, 6} <= kept and not {145, 177} & kept
+
+
+def test_texts_that_share_a_passage(spark):
+    """Common passages with own words around them: from well below 0.8 to above it."""
+    draw = random.Random(11)
+    passage = [f"p{k}" for k in range(300)]
+    rows = []
+    for n in range(150):
+        own = [f"o{draw.randrange(10**9)}" for _ in range(draw.choice([8, 27, 33, 36, 40, 50, 60, 90, 150]))]
+        cut = draw.randrange(len(own))
+        rows.append((n, " ".join(own[:cut] + passage + own[cut:])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.groups(table).collect()}
+    assert [got[i] for i, _ in rows] == plain_least(rows)
+    assert len(set(got.values())) > 20
+
+
+def test_prefixes_keep_every_similar_pair(spark):
+    draw = random.Random(12)
+    sets = {}
+    for k in range(60):
+        base = {draw.randrange(400) for _ in range(draw.choice([1, 5, 20, 60, 120]))}
+        sets[k] = base
+        for j in range(3):
+            gone = {x for x in base if draw.random() < 0.1 * j}
+            sets[100 + 3 * k + j] = (base - gone) | {draw.randrange(1000) for _ in range(len(base) // 12)}
+    table = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "key long, shingles array<long>")
+    keys = table.select("key", F.size("shingles").cast("long").alias("n"))
+    lists = near_copies._prefixes(keys, table).collect()
+    by = {}
+    for r in lists:
+        by.setdefault((r.low, r.high, r.shingle), []).append(r)
+    room = lambda a, b: min(a.rest, b.rest) * 18 >= (a.n + b.n) * 8
+    met = {(a.key, b.key) for rows in by.values() for a in rows for b in rows if a.key < b.key and room(a, b)}
+    similar = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 10 >= len(sets[a] | sets[b]) * 8}
+    assert similar and similar <= met
+
+
+def test_names_that_collide_and_odd_rows(spark):
+    sketched = spark.createDataFrame(
+        [(1, 11, 5, 1, 3, 9, [1]), (2, 12, 5, 1, 3, 9, [1]), (3, 13, 5, 2, 4, 8, [1]), (4, 14, 6, 7, 4, 8, [])],
+        "doc_id long, hash long, key long, check long, n long, fp long, buckets array<long>",
+    )
+    rows, classes = near_copies._classes(sketched)
+    keys = {r.doc_id: r.key for r in rows.collect()}
+    assert keys[1] == keys[2] != keys[3] and keys[4] == 6 and classes.count() == 3
+
+    long = " ".join(f"w{k}" for k in range(120_000))
+    data = [(1, long, {"a": 1}), (2, long + " end", None), (None, long, None), (3, "one two", None), (3, "other words", None), (3, "one two", None), (3, "one two", {"b": 2})]
+    table = spark.createDataFrame(data, "doc_id long, text string, _gone map<string,int>")
+    table = table.withColumns({c: F.lit("x") for c in ("_text", "key", "hash", "fp", "root", "a.b")})
+    kept = near_copies.keep_one(table)
+    assert kept.columns == table.columns
+    assert sorted((str(r.doc_id), r.text[:9]) for r in kept.collect()) == [("1", "w0 w1 w2 "), ("3", "one two"), ("3", "other wor"), ("None", "w0 w1 w2 ")]
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(table).collect()) == ["1", "3", "3", "None"]

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loadlens.llm import decontaminate, langid, mixing, simhash
+from loadlens.llm import decontaminate, langid, mixing
 from loadlens.llm.queries import language_model
 
 SF = "/root/testdata/sf0.001"
@@ -40,13 +40,20 @@ def test_language_stage(spark, kept):
     assert {r.doc_id for r in kept[1]} == want and not {9000, 9001} & want
 
 
+def five_words(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").split()
+    width = min(5, len(words))
+    return {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
+
+
 def test_near_copy_stage(kept):
-    prints = {r.doc_id: simhash.fingerprint(r.text) for r in kept[1]}
-    left = set(prints)
-    for i in sorted(prints):  # a document goes if a smaller one is reachable
+    sets = {r.doc_id: five_words(r.text) for r in kept[1]}
+    similar = {i: [j for j in sets if len(sets[i] & sets[j]) * 10 >= len(sets[i] | sets[j]) * 8] for i in sets}
+    left = set(sets)
+    for i in sorted(sets):  # a document goes if a smaller one is reachable
         reach, edge = {i}, [i]
         while edge:
-            edge = [j for j in prints if j not in reach and any((prints[j] ^ prints[k]).bit_count() <= 2 for k in edge)]
+            edge = list({j for k in edge for j in similar[k]} - reach)
             reach.update(edge)
         if min(reach) < i:
             left.discard(i)
