@@ -7,6 +7,7 @@ import re
 import tempfile
 import zipfile
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import loadlens
@@ -67,6 +68,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Hand texts to Python in batches of so many rows, for what is run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spare(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that no column of ``df`` has (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from loadlens.functions.joins import checked_join
-from loadlens.llm.common import ship, stored
+from loadlens.llm.common import ship, small_batches, stored
 from loadlens.llm.components import components
 from loadlens.llm.simhash import bit_counts, keep_least, linked_fingerprints, majority, shingle_hashes, text_hash
 
@@ -85,10 +85,10 @@ def _sketch(text: Column) -> Column:
                     parts.append(hashes)
                 shingles = np.unique(np.concatenate(parts))
                 raw = shingles.tobytes()
-                found.append((xxhash.xxh64_intdigest(raw), xxhash.xxh64_intdigest(raw, 1), majority(counts, total), shingles))
-            names = {c: np.array([f[k] for f in found], np.uint64).view(np.int64) for k, c in enumerate(("key", "check", "fp"))}
-            sizes = {"n": [len(f[3]) for f in found], "buckets": [buckets(f[3]) for f in found]}
-            yield pd.DataFrame(names | sizes)[["key", "check", "n", "fp", "buckets"]]
+                names = (xxhash.xxh64_intdigest(raw), xxhash.xxh64_intdigest(raw, 1), majority(counts, total))
+                found.append((*names, len(shingles), buckets(shingles)))
+            named = {c: np.array([f[k] for f in found], np.uint64).view(np.int64) for k, c in enumerate(("key", "check", "fp"))}
+            yield pd.DataFrame(named | {"n": [f[3] for f in found], "buckets": [f[4] for f in found]})[["key", "check", "n", "fp", "buckets"]]
 
     return sketched(text)
 
@@ -197,7 +197,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_hash(text).alias("hash"), F.col(text).alias("text"))
     sketched = rows.select("doc_id", "hash", _sketch(F.col("text")).alias("_s"))
-    sketched, classes = _classes(stored(sketched.select("doc_id", "hash", "_s.*"), "sketches"))
+    spark = docs.sparkSession
+    with small_batches(spark):
+        sketched = stored(sketched.select("doc_id", "hash", "_s.*"), "sketches")
+    sketched, classes = _classes(sketched)
     near = stored(_fingerprint_pairs(classes).distinct(), "pairs")
 
     index = sketched.select("key", "n", F.explode("buckets").alias("bucket")).distinct()
@@ -210,7 +213,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     wanted = ends.distinct().join(classes, "key").select("key", "hash")
     texts = stored(rows.select("hash", "text").join(wanted, "hash"), "texts")
     texts = texts.groupBy("key").agg(F.min("text").alias("text"))
-    sets = stored(texts.select("key", _shingles(F.col("text")).alias("shingles")), "shingles")
+    with small_batches(spark):
+        sets = stored(texts.select("key", _shingles(F.col("text")).alias("shingles")), "shingles")
 
     links = _verified(near, sets)
     roots = components(links)
