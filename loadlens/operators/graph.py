@@ -20,7 +20,7 @@ def pagerank(
     damping: float = DAMPING,
     partitions: int | None = None,
     block: int = BLOCK,
-    cut_every: int = 4,
+    cut_every: int = 2,
     vertices: DataFrame | None = None,
 ) -> DataFrame:
     """Rank of each page: ``(1 - d) / N + d * sum(rank(src) / links(src))``.

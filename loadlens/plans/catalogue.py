@@ -5,6 +5,7 @@ from __future__ import annotations
 from loadlens.plans import (  # noqa: F401
     compute,
     files,
+    frames,
     latency,
     records,
     relational,

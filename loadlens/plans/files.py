@@ -6,16 +6,13 @@ from pyspark.sql import functions as F
 
 from loadlens.functions import text
 from loadlens.functions.lineage import cut, scratch_folder
+from loadlens.functions.ordered import group_limit
 from loadlens.operators import records, search
 from loadlens.plans.registry import query, rounded
 from loadlens.plans.relational import READY, ready_lines
 from loadlens.plans.search import SHARDS
 from loadlens.plans.views import documents, kv_base, requests, table, with_views
-from loadlens.sources import files, reports, runs
-
-
-# Files that the lines of one node are written to at most.
-WRITERS = 4
+from loadlens.sources import files, lookup, reports, runs
 
 
 @query(
@@ -119,10 +116,14 @@ def query_list(spark, sf_dir):
 def node_logs(spark, sf_dir):
     folder = scratch_folder(spark, "logs")
     lines = ready_lines(requests(spark, sf_dir)).select("node", "line")
-    # A node is spread by its line as well, so the lines of a busy node go to several
-    # writers, and a node folder has at most WRITERS files.
-    writer = F.pmod(F.xxhash64("line"), F.lit(WRITERS))
-    lines.repartition("node", writer).write.partitionBy("node").text(folder)
+    # A node has one file; only a busy one is spread by its lines over several writers.
+    limit = group_limit(spark)
+    sizes = lines.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > limit)
+    # At most all lines divided by the limit.
+    busy = F.broadcast(sizes.select("node", F.ceil(F.col("rows") / limit).alias("writers")))
+    writer = F.pmod(F.xxhash64("line"), F.coalesce("writers", F.lit(1))).alias("writer")
+    spread = lines.join(busy, "node", "left").select("node", "line", writer)
+    spread.repartition("node", "writer").drop("writer").write.partitionBy("node").text(folder)
     logs = files.read_node_logs(spark, f"{folder}/*/*.txt")
     return logs.groupBy("node").agg(
         F.count(F.lit(1)).alias("lines"),
@@ -245,3 +246,17 @@ def stored_report(spark, sf_dir):
     table(spark, sf_dir, "orders").select(line).write.text(folder)
     rows = reports.parse_perf_report(spark, folder)
     return rounded(rows.select("section", "metric", "key", "value", "unit"))
+
+
+@query(
+    "kv_skipping_reads",
+    """
+    SELECT key, c_acctbal AS value FROM (SELECT DISTINCT 'user' || user_id * 13 AS key FROM events)
+    JOIN customer ON key = 'user' || c_custkey""",
+)
+def kv_skipping_reads(spark, sf_dir):
+    # The asked keys are read from a stored table that skips what lacks them.
+    folder = scratch_folder(spark, "records")
+    lookup.store_records(kv_base(spark, sf_dir), folder, "key", rows_per_file=2_000)
+    asked = table(spark, sf_dir, "events").select(F.concat(F.lit("user"), F.col("user_id") * 13).alias("key"))
+    return lookup.read_records(spark, folder, asked, "key")

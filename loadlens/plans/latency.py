@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loadlens.functions import measures
-from loadlens.functions.lineage import cut
-from loadlens.operators import latency, records
+from loadlens.functions import measures, sketches
+from loadlens.functions.lineage import cut, stored_rows
+from loadlens.operators import hooks, latency, records
 from loadlens.plans.registry import query, rounded
 from loadlens.plans.views import kv_ops, leaf_times, requests, table, with_views
 
@@ -433,3 +433,45 @@ def key_popularity(spark, sf_dir):
 )
 def op_mix(spark, sf_dir):
     return rounded(records.op_mix(kv_ops(spark, sf_dir)))
+
+
+WANTED = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+# A sketch of this size is that near to the asked rank in nearly all cases; merging adds nothing to it.
+RANK_ERROR = 0.02
+
+NEAR_RANKS = with_views(
+    "requests",
+    "SELECT label, count(*) AS n, " + ", ".join(f"true AS {c}" for c in WANTED) + " FROM requests GROUP BY label",
+)
+
+
+def near_ranks(log, estimates):
+    """Whether each merged percentile is near the rank asked for, by an exact count over all rows."""
+    errors = sketches.rank_error(log, estimates, ["label"], "dur_us", WANTED)
+    return errors.select("label", "n", *[(F.col(c) <= RANK_ERROR).alias(c) for c in WANTED])
+
+
+@query("latency_sketches", NEAR_RANKS)
+def latency_sketches(spark, sf_dir):
+    # A sketch for each label and hour is kept; percentiles of all time come from merging them.
+    log = requests(spark, sf_dir).select("label", "dur_us", F.date_trunc("hour", "ts").alias("hour"))
+    kept = stored_rows(sketches.store_sketches(log, ["label", "hour"], "dur_us"), "sketches")
+    return near_ranks(log, cut(sketches.merged_quantiles(kept, ["label"], WANTED)))
+
+
+@query(
+    "hooked_report",
+    with_views(
+        "requests",
+        """
+        SELECT label, count(*) AS n, CAST(max(dur_us) AS BIGINT) AS most FROM requests
+        WHERE dur_us >= 50000 GROUP BY label""",
+    ),
+)
+def hooked_report(spark, sf_dir):
+    # User code at a named point of the job: it leaves out short requests.
+    def slow_only(rows, least):
+        return rows.where(F.col("dur_us") >= least)
+
+    log = hooks.apply_hook(requests(spark, sf_dir), slow_only, 50_000)
+    return hooks.apply_hook(log, None).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("dur_us").alias("most"))

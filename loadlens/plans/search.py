@@ -40,17 +40,18 @@ def filter_redirects(spark, sf_dir):
 @query(
     "filter_redirects_strict",
     f"""
-    SELECT doc_id, lang
-    FROM (SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN split_part(text, chr(10), 1) ELSE text END AS text
-          FROM documents)
+    SELECT doc_id, lang, derived
+    FROM (SELECT doc_id, lang, text, false AS derived FROM documents
+          UNION ALL SELECT doc_id, lang, split_part(text, chr(10), 1), true FROM documents)
     WHERE NOT (regexp_matches(text, '{MARK_SQL}')
                AND lower(regexp_replace(text, '{MARK_SQL}', 'true')) = 'true')""",
 )
 def filter_redirects_strict(spark, sf_dir):
-    # Some texts are cut to their first line, so that marks with nothing else occur.
-    first = F.when(F.col("doc_id") % 3 == 0, F.substring_index("text", "\n", 1)).otherwise(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", first.alias("text"))
-    return search.drop_redirects(docs, "text", MARK, strict=True).select("doc_id", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    # Whole texts hardly ever are a mark and nothing else, so each text's first line is a further document.
+    both = F.explode(F.array(F.struct("text", F.lit(False).alias("derived")), F.struct(F.substring_index("text", "\n", 1).alias("text"), F.lit(True).alias("derived"))))
+    rows = docs.select("doc_id", "lang", both.alias("d")).select("doc_id", "lang", "d.*")
+    return search.drop_redirects(rows, "text", MARK, strict=True).select("doc_id", "lang", "derived")
 
 
 @query(
