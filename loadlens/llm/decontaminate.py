@@ -11,7 +11,7 @@ hashes above the largest sketch value are skipped, and the rest are looked up in
 the sorted sketches.  Candidates are verified by exact containment on the words.
 
 Items are broadcast in blocks of ``BLOCK_CHARS`` characters (measured first); with
-more blocks each document is searched once per block.  Documents are not shuffled.
+more blocks each document is searched once per block, in a job of its own.  Documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,11 +29,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from loadlens.llm.common import Memo, normal_words, ship
+from loadlens.llm.common import Memo, normal_words, ship, spare, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 4 << 20
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -135,6 +136,10 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int
         yield block.collect()
 
 
+def _n_blocks(benchmark: DataFrame, text: str, block_chars: int) -> int:
+    return (benchmark.agg(F.sum(F.length(text))).first()[0] or 0) // block_chars + 1
+
+
 def _finder(shared: Broadcast, kind: str):
     """A function on text columns that searches one block of items."""
 
@@ -149,18 +154,26 @@ def _finder(shared: Broadcast, kind: str):
     return found
 
 
-def matches_of(
-    text: Column, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS
-) -> Column:
-    """array<struct(item_id, n_item, n_shared)>: the items found in a text, by block and then item order."""
+def _by_block(
+    docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str, threshold: float, block_chars: int, use
+) -> list[DataFrame]:
+    """``use(column)`` on ``docs`` for each block of items, ``column`` being the items found in a text.
+
+    With several blocks each is a job of its own, whose result is stored; its items then leave the driver and the workers
+    before the next block comes.
+    """
     kind = benchmark.schema[item_id].dataType.simpleString()
     context = ship().sparkContext
-    columns = []
+    many, out = _n_blocks(benchmark, item_text, block_chars) > 1, []
     for rows in item_blocks(benchmark, item_id, item_text, block_chars):
         items = [i for i in (make_item(r[0], r[1], threshold) for r in rows) if i]
         shared = context.broadcast((items, sketches_of(items, threshold)))
-        columns.append(_finder(shared, kind)(text))
-    return columns[0] if len(columns) == 1 else F.concat(*columns)
+        found = use(_finder(shared, kind)(F.col(text)))
+        if many:
+            found = stored(found, "block")
+            shared.destroy()
+        out.append(found)
+    return out
 
 
 def contaminated(
@@ -174,16 +187,30 @@ def contaminated(
     may be NULL; other columns are not read.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = narrow.select("doc_id", matches_of(F.col("text"), benchmark, item_id, item_text, threshold, block_chars).alias("m"))
-    return found.select("doc_id", F.explode("m").alias("m")).select(
-        "doc_id", "m.item_id", "m.n_item", "m.n_shared", (F.col("m.n_shared") / F.col("m.n_item")).alias("containment")
-    )
 
+    def hits(found: Column) -> DataFrame:
+        each = narrow.select("doc_id", found.alias("m")).select("doc_id", F.explode("m").alias("m"))
+        share = (F.col("m.n_shared") / F.col("m.n_item")).alias("containment")
+        return each.select("doc_id", "m.item_id", "m.n_item", "m.n_shared", share)
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that hold no item; columns stay as they are."""
-    found = docs.withColumn("_items", matches_of(F.col(text), benchmark, item_id, item_text, threshold))
-    return found.where(F.size("_items") == 0).drop("_items")
+    parts = _by_block(narrow, "text", benchmark, item_id, item_text, threshold, block_chars, hits)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no item; columns stay as they are, whatever they are called.
+
+    NULL texts and texts without words hold none; repeated rows stay or go together; without items all rows stay.
+    """
+    name = spare(docs, "_items")
+    if _n_blocks(benchmark, item_text, block_chars) == 1:
+        found = _by_block(docs, text, benchmark, item_id, item_text, threshold, block_chars, lambda c: docs.withColumn(name, c))
+        return found[0].where(F.size(name) == 0).drop(name)
+    # Texts are named by their digest; those that hold an item of some block go.
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    parts = _by_block(docs, text, benchmark, item_id, item_text, threshold, block_chars, lambda c: docs.where(F.size(c) > 0).select(digest.alias(name)))
+    gone = reduce(DataFrame.unionByName, parts).distinct()
+    return docs.join(gone, digest == gone[name], "left_anti")
 
 
 #: The same result by exact containment of all shingles.

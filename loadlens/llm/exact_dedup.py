@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadlens.llm.common import stored
+from loadlens.llm.common import spare, stored
 
 #: Digests on more than this share of all rows are decided without a shuffle.
 SUPPORT = 1 / 1024
@@ -64,8 +64,9 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows are told apart by doc_id and text, so a doc_id on different texts loses none of them.
     """
     gone = duplicates(docs, doc_id, text, support).where("not kept and doc_id is not null")
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_text")).hint("shuffle_hash")
-    return docs.join(gone, (docs[doc_id] == F.col("_gone")) & (digest(text) == F.col("_text")), "left_anti")
+    key, hashed = spare(docs, "_gone"), spare(docs, "_text")
+    gone = gone.select(F.col("doc_id").alias(key), F.col("text_sha256").alias(hashed)).hint("shuffle_hash")
+    return docs.join(gone, (docs[doc_id] == F.col(key)) & (digest(text) == F.col(hashed)), "left_anti")
 
 
 SQL = """

@@ -20,13 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from loadlens.llm.common import ship, slices, stored
+from loadlens.llm.common import ship, slices, spare, stored
 
 UNDETERMINED = "und"
 #: The broadcast matrix may have so many cells (4 bytes each).
 MATRIX_CELLS = 64 << 20
 
+#: Characters of a text that are taken together.
+PART = 1 << 18
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.array([32], np.uint64)
 
 
 @dataclass(frozen=True)
@@ -57,34 +61,51 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _code_points(text: str) -> np.ndarray:
-    """Lower-cased letters with one space before, between and after runs of them."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = _letters()[points]
-    # A space stands for the first of several other characters.
-    keep = letters.copy()
-    keep[1:] |= letters[:-1]
-    points = np.where(letters, points, np.uint32(32))[keep]
-    if not letters.any():
-        return points[:0]
-    # ``keep`` drops what comes before the first letter and leaves one space after the last.
-    last = [] if points[-1] == 32 else [32]
-    return np.concatenate(([32], points, last)).astype(np.uint64)
+def _code_points(text: str) -> Iterator[np.ndarray]:
+    """Lower-cased letters with one space before, between and after runs of them, in parts of ``PART`` characters."""
+    lower, begun, inside = text.lower(), False, False
+    for at in range(0, len(lower), PART):
+        points = np.frombuffer(lower[at : at + PART].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = _letters()[points]
+        # A space stands for the first of several other characters after a letter.
+        keep = letters.copy()
+        keep[1:] |= letters[:-1]
+        keep[0] |= inside
+        inside = bool(letters[-1])
+        found = np.where(letters, points, np.uint32(32))[keep].astype(np.uint64)
+        if len(found):
+            yield found if begun else np.concatenate((_SPACE, found))
+            begun = True
+    if inside:
+        yield _SPACE
+
+
+def gram_parts(text: str, grams: Grams) -> Iterator[np.ndarray]:
+    """Bucket of every n-gram of a text, part by part; order n has buckets of its own.
+
+    A part begins with the last characters of the one before, so the grams of a text are the same
+    in one part or in many.
+    """
+    shift, tail = np.uint64(64 - grams.buckets_log2), np.empty(0, np.uint64)
+    for fresh in _code_points(text):
+        points = np.concatenate((tail, fresh))
+        found, code = [], points
+        for n in range(1, grams.orders + 1):
+            if len(points) < n:
+                break
+            code = points if n == 1 else code[:-1] * np.uint64(0x110000) + points[n - 1 :]
+            # Those that end in the tail have been given out.
+            mixed = (code[max(0, len(tail) - n + 1) :] + np.uint64(n)) * _MIX
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= _MIX
+            found.append(((mixed >> shift) + np.uint64((n - 1) << grams.buckets_log2)).astype(np.int64))
+        tail = points[len(points) - min(len(points), grams.orders - 1) :]
+        yield np.concatenate(found)
 
 
 def hashed_grams(text: str, grams: Grams) -> np.ndarray:
-    """Bucket of every n-gram of a text; order n has buckets of its own."""
-    points = _code_points(text)
-    shift, found, code = np.uint64(64 - grams.buckets_log2), [], None
-    for n in range(1, grams.orders + 1):
-        if len(points) < n:
-            break
-        code = points if n == 1 else code[:-1] * np.uint64(0x110000) + points[n - 1 :]
-        mixed = (code + np.uint64(n)) * _MIX
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= _MIX
-        found.append(((mixed >> shift) + np.uint64((n - 1) << grams.buckets_log2)).astype(np.int64))
-    return np.concatenate(found) if found else np.empty(0, np.int64)
+    """Bucket of every n-gram of a text."""
+    return np.concatenate([np.empty(0, np.int64), *gram_parts(text, grams)])
 
 
 def gram_counts(docs: DataFrame, text: str, lang: str, grams: Grams) -> DataFrame:
@@ -98,9 +119,7 @@ def gram_counts(docs: DataFrame, text: str, lang: str, grams: Grams) -> DataFram
                 documents[name] = documents.get(name, 0) + 1
                 if name not in totals:
                     totals[name] = np.zeros(grams.width, np.int64)
-                # Parts of a very long text, each with the grams that start in it.
-                for at in range(0, len(body), 1 << 18):
-                    found = hashed_grams(body[at : at + (1 << 18)], grams)
+                for found in gram_parts(body, grams):
                     totals[name] += np.bincount(found, minlength=grams.width)
         for name, counted in totals.items():
             used = np.flatnonzero(counted)
@@ -124,7 +143,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", grams: Grams =
     Rows with NULL in either column are left out; texts without letters count for
     the prior only; repeated rows count each time.  An empty table gives a model
     without languages.  The matrix is collected: its size is languages times
-    ``grams.width`` cells, and more than ``MATRIX_CELLS`` is an error.
+    ``grams.width`` cells, at most ``MATRIX_CELLS``.  With more languages than fit, take fewer
+    buckets (``Grams(buckets_log2=13)`` has room for 2,730); it is an error otherwise, as no language is left out.
     """
     found = stored(gram_counts(docs, text, lang, grams), "grams")
     most = MATRIX_CELLS // grams.width
@@ -153,8 +173,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", grams: Grams =
 def log_scores(text: str, model: LanguageModel) -> np.ndarray | None:
     """Log-prior plus log-likelihood per language; None for a text without letters."""
     total, seen = model.priors.copy(), False
-    for at in range(0, len(text), 1 << 18):
-        found = hashed_grams(text[at : at + (1 << 18)], model.grams)
+    for found in gram_parts(text, model.grams):
         if len(found):
             seen = True
             bucket, n = np.unique(found, return_counts=True) if len(found) > 4096 else (found, None)
@@ -190,16 +209,18 @@ def language_of(model: LanguageModel, text: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and a struct ``_language`` (lang_pred, score)."""
-    return docs.withColumn("_language", language_of(model, F.col(text)))
+    """All columns of ``docs`` and, last, a struct ``_language`` (lang_pred, score); its name is longer if ``docs`` has it."""
+    return docs.withColumn(spare(docs, "_language"), language_of(model, F.col(text)))
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """Rows whose language the model tells with a posterior of at least ``least``.
 
     Rejected: NULL texts, texts without a letter, and texts that no language
-    explains clearly better than the others.  The columns stay as they are.
+    explains clearly better than the others.  The columns stay as they are, whatever they are called; texts of any length are
+    scored whole, repeated rows alike, and an empty table stays empty.
     """
     found = identify(docs, model, text)
-    sure = (F.col("_language.lang_pred") != UNDETERMINED) & (F.col("_language.score") >= least)
-    return found.where(sure).drop("_language")
+    name = found.columns[-1]
+    sure = (F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.score") >= least)
+    return found.where(sure).drop(name)

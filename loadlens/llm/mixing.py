@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadlens.functions.ordered import running
-from loadlens.llm.common import WORD, stored
+from loadlens.llm.common import WORD, spare, stored
 
 #: Rows of the table of sources that may be broadcast (a name and seven numbers each).
 BROADCAST_SOURCES = 10_000
@@ -118,7 +118,9 @@ def cuts(sized: DataFrame, plan: DataFrame, tilt: Column | None = None, seed: in
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, tilt: Column | None = None, seed: int = 7
 ) -> DataFrame:
-    """All columns of ``docs`` with a struct ``_mix``: size, source_size, target, copies, taken.
+    """All columns of ``docs`` and, last, a struct ``_mix``: size, source_size, target, copies, taken.
+
+    The struct's name is longer if ``docs`` has a column ``_mix``.
 
     ``size`` counts words (NULL text: 0) and ``taken`` is ``copies * size``.  The words
     taken from a source differ from its target by at most half of one draw, usually
@@ -133,18 +135,24 @@ def mix(
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     cut = stored(cuts(sized, targets(sizes, weights, share, most), tilt, seed), "cuts")
     state = F.struct(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_in_words(text).alias("size"))
-    rows = docs.select(F.struct("*").alias("_row"), state.alias("_state")).select("_row", "_state.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("_row"), state.alias("_state")).select("_row", "_state.*")
     ranked = with_rank(_by_source(rows, cut), tilt, seed)
     once_more = (F.col("_v") < F.col("_cut_v")) | ((F.col("_v") == F.col("_cut_v")) & (F.col("_key") <= F.col("_cut_key")))
     copies = (F.col("_whole") + F.coalesce(once_more, F.lit(False)).cast("int")).alias("copies")
     mixed = ranked.select("_row", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return mixed.select("_row.*", F.struct("size", "source_size", "target", "copies", "taken").alias("_mix"))
+    return mixed.select("_row.*", F.struct("size", "source_size", "target", "copies", "taken").alias(spare(docs, "_mix")))
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
-    """The mix itself: every row as often as it is taken, with the columns of the input."""
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies").cast("int")))
-    return mixed.select("*", copies.alias("_copy")).drop("_mix", "_copy")
+    """The mix itself: every row as often as it is taken, with the columns of the input.
+
+    ``mixed`` is the result of ``mix``, whose struct is the last column.
+    """
+    state = mixed.columns[-1]
+    copies = F.explode(F.array_repeat(F.lit(0), F.col(f"`{state}`.copies").cast("int")))
+    name = spare(mixed, "_copy")
+    return mixed.select("*", copies.alias(name)).drop(state, name)
 
 
 #: The same mix with one window per source.
