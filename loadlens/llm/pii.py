@@ -1,26 +1,35 @@
 """Personal data: patterns, and information-theoretic sanitisation of what stands around them.
 
 Patterns find the protected entities: e-mail addresses, IP addresses, card and phone
-numbers.  A term in a text with an entity discloses it as far as the corpus says so:
+numbers.  A term goes with an entity in a text if it stands within ``REACH`` characters of it, or,
+wherever it stands, if a word of the entity (an address made from a name) begins with the same four letters.  It discloses the
+entity as far as the corpus says so:
 
     disclosure(e, t) = PMI(e, t) / IC(e)
     PMI = log2(n(e, t) * N / (n(e) * n(t)))      IC = log2(N / n(e))
 
 with N texts, n(e) texts that hold the entity, n(t) texts that hold the term anywhere, and
-n(e, t) texts that hold the entity and, outside of all entities, the term.  It is 1 for a term
-that occurs with this entity and nowhere else.  Every place of such a term in a text with the entity counts.  From ``GENERALISE`` on a term is
-replaced by its class, from ``REMOVE`` on it is removed.  A pair seen in one text counts too: the
-term's count in all texts tells a rare term from a common one.
+n(e, t) texts in which the term goes with the entity.  It is 1 for a term
+that occurs with this entity and nowhere else.
+
+Few texts prove little: most rare words stand next to some entity by chance.  So a pair is told from chance
+by the lower end of its count, n(e, t) less its square root, whose disclosure has to reach ``GENERALISE``, too.  That leaves
+out all pairs of a single text, but for terms that look like a name there: with a capital inside a sentence, or a word of the entity.
+
+Every place of a disclosing term in a text with the entity counts, near or far.  From ``GENERALISE`` on a term is
+replaced by its class, from ``REMOVE`` on it is removed.
 
 All of it is DataFrame functions.  Counts run over all texts and are combined before
-they are shuffled; what travels is (entity, term) pairs, not texts.
+they are shuffled; what travels is (entity, term) pairs, not texts.  Terms and entities of a text are
+sorted and met by cells of its length, so a text with very many of both costs rows in proportion to its length.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadlens.llm.common import stored
+from loadlens.functions.joins import checked_join
+from loadlens.llm.common import spare, stored
 
 # The patterns of the contract.  Possessive quantifiers and the look-behinds
 # give the same matches in linear time: where a match cannot start at the first
@@ -39,9 +48,16 @@ _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 #: Texts that must show a pair for ``disclosures``, unless told otherwise; sanitising takes all pairs.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.5, 0.9
+#: Characters between an entity and a term that goes with it, and the length of a cell of text.
+REACH, CELL = 80, 256
+#: Letters with which a term and a word of an address made from it begin.
+STEM = 4
 
 _SPAN = "array<struct<start:int,stop:int,value:string>>"
 _TERM = r"\p{L}{3,}"
+_TERMS = "array<struct<start:int,stop:int,value:string,name:boolean>>"
+#: What stands before a term that opens a sentence.
+_OPENS = r"(?:^|[.!?\n])[^\p{L}\p{N}]*$"
 
 
 def _digits(value: Column) -> Column:
@@ -70,14 +86,14 @@ _VALID = {
 }
 
 
-def _running(numbers: Column) -> Column:
-    """Running sums of an array in n log n steps."""
+def _running(numbers: Column, join=lambda x, y: x + y) -> Column:
+    """Running sums of an array, or maxima of numbers from 0 on, in n log n steps."""
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(numbers).cast("double"))).cast("int"))
 
     def double(sums: Column, step: Column) -> Column:
         back = F.pow(F.lit(2), step).cast("int")
         return F.transform(
-            sums, lambda x, i: x + F.when(i >= back, F.element_at(sums, i - back + 1)).otherwise(0)
+            sums, lambda x, i: join(x, F.when(i >= back, F.element_at(sums, i - back + 1)).otherwise(0))
         )
 
     return F.aggregate(steps, numbers, double)
@@ -95,7 +111,7 @@ def _located(matches: Column, gaps: Column) -> Column:
     def spans(pairs: Column) -> Column:
         ends = _running(F.transform(pairs, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["value"]), F.lit(0))))
         return F.zip_with(pairs, ends, lambda p, stop: F.struct(
-            (stop - F.length(p["value"])).alias("start"), stop.alias("stop"), p["value"].alias("value")
+            (stop - F.length(p["value"])).alias("start"), stop.alias("stop"), p["value"].alias("value"), p["gap"].alias("gap")
         ))
 
     return F.filter(_let(pairs, spans), lambda s: s["value"].isNotNull())
@@ -107,7 +123,9 @@ def _spans(text: Column, kind: str) -> Column:
 
     def located(matches: Column) -> Column:
         every = _let(F.split(text, pattern, -1), lambda gaps: _located(matches, gaps))
-        return F.when(F.exists(matches, _VALID[kind]), F.filter(every, lambda s: _VALID[kind](s["value"]))).otherwise(none)
+        valid = F.filter(every, lambda s: _VALID[kind](s["value"]))
+        plain = F.transform(valid, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
+        return F.when(F.exists(matches, _VALID[kind]), plain).otherwise(none)
 
     found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
     return F.when(F.contains(text, F.lit(_SIGN[kind])), found).otherwise(none) if _SIGN[kind] else found
@@ -123,10 +141,32 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _terms(text: Column, spans: Column) -> Column:
-    """Terms of a text outside of ``spans`` as structs (start, stop, value), lower-cased."""
+    """Terms of a text outside of ``spans``: structs (start, stop, value, name), lower-cased.
+
+    ``name`` is true for one with a capital, and not all in capitals, inside a sentence.  Spans by start and terms by end are sorted together: a span overlaps a
+    term if the furthest end of those before it lies behind the term's start.
+    """
     every = _located(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.split(text, _TERM, -1))
-    free = F.filter(every, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"])))
-    return F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.lower(t["value"]).alias("value")))
+
+    def entry(at: Column, span: int, start: Column, stop: Column, value: Column, name: Column) -> Column:
+        columns = {"at": at, "span": F.lit(span), "start": start, "stop": stop, "value": value, "name": name}
+        return F.struct(*[x.alias(c) for c, x in columns.items()])
+
+    def term(t: Column) -> Column:
+        name = t["value"].rlike(r"^\p{Lu}.*\p{Ll}") & ~t["gap"].rlike(_OPENS)
+        return entry(t["stop"], 0, t["start"], t["stop"], F.lower(t["value"]), name)
+
+    none = F.lit(None)
+    listed = F.transform(spans, lambda s: entry(s["start"], 1, s["start"], s["stop"], none.cast("string"), none.cast("boolean")))
+
+    def free(entries: Column) -> Column:
+        reach = _running(F.transform(entries, lambda e: F.when(e["span"] == 1, e["stop"]).otherwise(0)), F.greatest)
+        both = F.zip_with(entries, reach, lambda e, r: F.struct(e.alias("e"), r.alias("r")))
+        left = F.filter(both, lambda b: (b["e"]["span"] == 0) & (b["r"] <= b["e"]["start"]))
+        return F.transform(left, lambda b: F.struct(*[b["e"][c].alias(c) for c in ("start", "stop", "value", "name")]))
+
+    entries = F.sort_array(F.concat(F.transform(every, term), listed))
+    return _let(entries, lambda es: F.when(F.size(es) > 0, free(es)).otherwise(F.array().cast(_TERMS)))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,14 +177,18 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def disclosures(scanned: DataFrame, docs: DataFrame, text: str = "text", support: int = SUPPORT) -> DataFrame:
-    """(kind, entity, term, n_pair, n_entity, n_term, disclosure) of all pairs in ``support`` texts or more.
+    """(kind, entity, term, n_pair, n_entity, n_term, name, disclosure, least) of all pairs in ``support`` texts or more.
 
-    ``scanned`` is the scan of ``docs``.  Each row is one text; repeated rows count each time.
+    ``scanned`` is the scan of ``docs``.  Each row is one text; repeated rows count each time.  ``least`` is the
+    disclosure at the lower end of the pair's count, NULL for a single text that does not show a name.
     """
-    pairs = _pairs(scanned).select("kind", "entity", F.col("value").alias("term"))
-    n_pair = pairs.groupBy("kind", "entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= support)
-    n_pair = stored(n_pair, "pairs")
-    named = scanned.select(F.explode("_entities").alias("e")).select("e.kind", "e.entity")
+    return _disclosures(stored(_pairs(scanned), "pairs"), scanned, docs, text, support)
+
+
+def _disclosures(pairs: DataFrame, scanned: DataFrame, docs: DataFrame, text: str, support: int) -> DataFrame:
+    n_pair = pairs.groupBy("kind", "entity", F.col("value").alias("term")).agg(F.count(F.lit(1)).alias("n_pair"), F.max("name").alias("name"))
+    n_pair = stored(n_pair.where(F.col("n_pair") >= support), "counts")
+    named = scanned.select(F.explode(_names(F.col("_entities"))).alias("e")).select("e.kind", "e.entity")
     n_entity = named.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
     wanted = stored(n_pair.select("term").distinct(), "terms")
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(_TERM), F.lit(0)), F.lower))
@@ -154,38 +198,67 @@ def disclosures(scanned: DataFrame, docs: DataFrame, text: str = "text", support
     n_term = stored(terms.join(wanted, "term"), "terms")
     # One row: the number of texts.
     texts = F.broadcast(scanned.agg(F.count(F.lit(1)).alias("_n")))
-    known = n_pair.join(n_entity, ["kind", "entity"]).join(n_term, "term").crossJoin(texts)
-    pmi = F.log2(F.col("n_pair") * F.col("_n") / (F.col("n_entity") * F.col("n_term")))
+    # An entity may go with very many terms, and a term with very many entities.
+    by_entity = n_pair.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("rows"))
+    by_term = n_pair.groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+    known = checked_join(n_pair, stored(n_entity, "entities"), ["kind", "entity"], by_entity)
+    known = checked_join(known, n_term, ["term"], by_term).crossJoin(texts)
     content = F.log2(F.col("_n") / F.col("n_entity"))
-    share = F.when(content > 0, pmi / F.when(content > 0, content)).otherwise(0.0)
-    return known.select("kind", "entity", "term", "n_pair", "n_entity", "n_term", share.alias("disclosure"))
+
+    def share(count: Column) -> Column:
+        pmi = F.log2(count * F.col("_n") / (F.col("n_entity") * F.col("n_term")))
+        return F.when(content > 0, pmi / F.when(content > 0, content)).otherwise(0.0)
+
+    n = F.col("n_pair")
+    least = F.when(n > 1, share(n - F.sqrt(n))).when(F.col("name"), share(n))
+    return known.select("kind", "entity", "term", "n_pair", "n_entity", "n_term", "name", share(n).alias("disclosure"), least.alias("least"))
+
+
+def _names(entities: Column) -> Column:
+    """The distinct entities of a text without their places."""
+    return F.array_distinct(F.transform(entities, lambda e: F.struct(e["kind"].alias("kind"), e["entity"].alias("entity"))))
 
 
 def _pairs(scanned: DataFrame) -> DataFrame:
-    """doc_id, _hash, kind, entity, value: every entity of a text with every distinct term of it."""
-    values = F.array_distinct(F.transform("_terms", lambda t: t["value"])).alias("_values")
-    named = scanned.select("doc_id", "_hash", F.explode("_entities").alias("e"), values)
-    return named.select("doc_id", "_hash", "e.kind", "e.entity", F.explode("_values").alias("value"))
+    """doc_id, _hash, _row, kind, entity, value, name: every term of a text that goes with an entity of it, once.
+
+    ``_row`` tells texts apart, so repeated rows of one id and text count each time.
+    """
+    rows = scanned.where(F.size("_entities") > 0)
+    own = ["doc_id", "_hash", "_row"]
+    found = rows.select(*own, F.explode("_entities").alias("e")).select(*own, "e.*")
+    terms = rows.select(*own, F.explode("_terms").alias("t")).select("_row", F.col("t.start").alias("at"), "t.value", "t.name")
+    cell = F.floor(F.col("at") / CELL).alias("cell")
+    cells = F.explode(F.sequence(F.floor((F.col("start") - REACH) / CELL), F.floor((F.col("stop") + REACH) / CELL))).alias("cell")
+    near = found.select(*own, "kind", "entity", "start", "stop", cells).join(terms.select("*", cell), ["_row", "cell"])
+    near = near.where((F.col("at") >= F.col("start") - REACH) & (F.col("at") <= F.col("stop") + REACH))
+    # A word of an address made from a name begins like it.
+    stems = F.transform(F.split("entity", r"\P{L}+"), lambda w: F.left(w, F.lit(STEM)))
+    mails = found.where("kind = 'email'").select(*own, "kind", "entity", F.explode(F.array_distinct(stems)).alias("stem"))
+    alike = mails.where(F.length("stem") == STEM).join(terms.withColumn("stem", F.left("value", F.lit(STEM))), ["_row", "stem"])
+    columns = [*own, "kind", "entity", "value"]
+    both = near.select(*columns, "name").unionByName(alike.select(*columns, F.lit(True).alias("name")))
+    return both.groupBy(*columns).agg(F.max("name").alias("name"))
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
-    """Add ``_entities`` (distinct kind, entity) and ``_terms`` (places of all terms of a text with entities)."""
+    """Add ``_entities`` (kind, entity, start, stop) and ``_terms`` (places of all terms of a text with entities)."""
 
     def named(kind: str) -> Column:
         return F.transform(
-            F.col(f"_pii.{kind}"), lambda s: F.struct(F.lit(kind).alias("kind"), F.lower(s["value"]).alias("entity"))
+            F.col(f"_pii.{kind}"),
+            lambda s: F.struct(F.lit(kind).alias("kind"), F.lower(s["value"]).alias("entity"), s["start"].alias("start"), s["stop"].alias("stop")),
         )
 
-    names = F.array_distinct(F.concat(*map(named, PATTERNS)))
+    names = F.concat(*map(named, PATTERNS))
     places = F.struct(*[
         F.transform(F.col(f"_pii.{k}"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias(k)
         for k in PATTERNS
     ])
     kept = [c for c in found.columns if c not in ("text", "_pii")]
     spans = F.concat(*[F.col(f"_pii.{k}") for k in PATTERNS])
-    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
-    terms = F.when(F.size(names) > 0, _terms(F.col("text"), spans)).otherwise(none)
-    return found.select(*kept, places.alias("_pii"), names.alias("_entities"), terms.alias("_terms"))
+    terms = F.when(F.size(names) > 0, _terms(F.col("text"), spans)).otherwise(F.array().cast(_TERMS))
+    return found.select(*kept, F.monotonically_increasing_id().alias("_row"), places.alias("_pii"), names.alias("_entities"), terms.alias("_terms"))
 
 
 def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,17 +269,26 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     spans; other columns are not read; an empty table gives no rows.
     """
     scanned = scan(docs, doc_id, text)
-    strong = disclosures(scanned, docs, text, support=1).where(F.col("disclosure") >= GENERALISE)
-    strong = stored(strong.select("kind", "entity", F.col("term").alias("value"), "disclosure"), "strong")
-    told = _pairs(scanned).join(strong, ["kind", "entity", "value"]).groupBy("doc_id", "_hash", "value").agg(F.max("disclosure").alias("d"))
-    told = told.withColumnsRenamed({"doc_id": "_id", "_hash": "_h", "value": "_v"})
-    words = scanned.select("doc_id", "_hash", F.explode("_terms").alias("t")).select("doc_id", "_hash", "t.*").distinct()
-    same = words["doc_id"].eqNullSafe(told["_id"]) & (words["_hash"] == told["_h"]) & (words["value"] == told["_v"])
+    pairs = stored(_pairs(scanned), "pairs")
+    strong = _disclosures(pairs, scanned, docs, text, support=1)
+    strong = strong.where((F.col("disclosure") >= GENERALISE) & (F.col("least") >= GENERALISE))
+    strong = stored(strong.select("kind", "entity", F.col("term").alias("value"), "n_pair", "n_term", "disclosure"), "strong")
+    by = ["kind", "entity", "value"]
+    sizes = strong.select(*by, F.col("n_pair").alias("rows"))
+    told = checked_join(pairs, strong.select(*by, "disclosure"), by, sizes).select("_row", "value", "disclosure")
+    # What several texts have shown holds for a text that has both far apart, too.
+    shown = strong.where("n_pair > 1").select(*by, "disclosure")
+    held = scanned.where(F.size("_entities") > 0)
+    values = held.select("_row", F.explode(F.array_distinct(F.transform("_terms", lambda t: t["value"]))).alias("value"))
+    met = checked_join(values, shown, ["value"], strong.groupBy("value").agg(F.max("n_term").alias("rows")))
+    named = held.select("_row", F.explode(_names(F.col("_entities"))).alias("e")).select("_row", "e.*")
+    told = told.unionByName(met.join(named, ["_row", "kind", "entity"]).select("_row", "value", "disclosure"))
+    told = told.groupBy("_row", "value").agg(F.max("disclosure").alias("d"))
+    words = held.select("_row", F.explode("_terms").alias("t")).select("_row", "t.start", "t.stop", "t.value")
     # A list holds at most the terms of a text.
     place = F.struct("start", "stop", (F.col("d") >= REMOVE).alias("removed"))
-    added = words.join(told, same).groupBy("doc_id", "_hash").agg(F.sort_array(F.collect_list(place)).alias("terms"))
-    added = added.withColumnRenamed("doc_id", "_id").withColumnRenamed("_hash", "_h")
-    joined = scanned.join(added, scanned["doc_id"].eqNullSafe(added["_id"]) & (scanned["_hash"] == added["_h"]), "left")
+    added = words.join(told, ["_row", "value"]).groupBy("_row").agg(F.sort_array(F.collect_list(place)).alias("terms"))
+    joined = scanned.join(added, "_row", "left")
     none = F.array().cast("array<struct<start:int,stop:int,removed:boolean>>")
     return joined.select("doc_id", "_hash", *[F.col(f"_pii.{k}").alias(k) for k in PATTERNS], F.coalesce("terms", none).alias("terms"))
 
@@ -226,7 +308,7 @@ def span_table(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``_redacted``: the text with entities and disclosing terms replaced.
+    """All columns of ``docs`` with ``_redacted`` (a longer name if there is one): the text with entities and disclosing terms replaced.
 
     Entities become ``<email>`` and so on, generalised terms ``<name>`` (capitalised) or ``<word>``,
     removed terms nothing.  Overlapping spans are replaced once, by the first of them.
@@ -239,9 +321,11 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         )
 
     marks = F.concat(*map(masks, PATTERNS), F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.when(s["removed"], "").alias("mark"))))
-    marked = found.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), F.sort_array(marks).alias("_marks")).dropDuplicates(["_id", "_h"])
-    body = F.coalesce(F.col(text), F.lit(""))
-    joined = docs.join(marked, docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_h")), "left")
+    whole, key, named = spare(docs, "_row"), spare(docs, "_id"), spare(docs, "_h")
+    marked = found.select(F.col("doc_id").alias(key), F.col("_hash").alias(named), F.sort_array(marks).alias("_marks")).dropDuplicates([key, named])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole))
+    body = F.coalesce(F.col(f"{whole}.`{text}`"), F.lit(""))
+    joined = rows.join(marked, F.col(f"{whole}.`{doc_id}`").eqNullSafe(F.col(key)) & (F.xxhash64(body) == F.col(named)), "left")
 
     def add(done: Column, s: Column) -> Column:
         word = F.substr(body, s["start"] + 1, s["stop"] - s["start"])
@@ -253,4 +337,4 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     end = lambda done: F.concat(done["out"], F.substr(body, done["at"] + 1, F.length(body)))
     marks = F.coalesce("_marks", F.array().cast("array<struct<start:int,stop:int,mark:string>>"))
-    return joined.select(*[docs[c] for c in docs.columns], F.aggregate(marks, start, add, end).alias("_redacted"))
+    return joined.select(f"{whole}.*", F.aggregate(marks, start, add, end).alias(spare(docs, "_redacted")))
