@@ -321,9 +321,12 @@ def fanout_latency(leaf_times: DataFrame) -> DataFrame:
             "mean_request"
         ),
     )
-    slow = quantiles(per_request, ["fanout"], "t_request", {"p99_request": 0.99})
-    leaf = quantiles(counted, ["fanout"], "t", {"p99_leaf": 0.99}, weight="n")
-    return means.join(slow.drop("n"), "fanout").join(leaf.drop("n"), "fanout")
+    # Both percentiles in one pass.
+    whole = per_request.select("fanout", F.lit("request").alias("kind"), F.col("t_request").alias("t"), F.lit(1).cast("bigint").alias("n"))
+    every = whole.unionByName(counted.withColumn("kind", F.lit("leaf")))
+    found = quantiles(every, ["fanout", "kind"], "t", {"p99": 0.99}, weight="n")
+    sides = [F.max(F.when(F.col("kind") == k, F.col("p99"))).alias(f"p99_{k}") for k in ("request", "leaf")]
+    return means.join(found.groupBy("fanout").agg(*sides), "fanout")
 
 
 def concurrency_profile(requests: DataFrame) -> DataFrame:

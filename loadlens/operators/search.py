@@ -86,18 +86,30 @@ def _runs(placed: Column, positions: bool) -> Column:
 def store_index(index: DataFrame, path: str, shards: int) -> DataFrame:
     """Write an index in folders by a hash of the term, and read it back.
 
-    A folder is written by many tasks, each file in order of terms: a reader that
+    Rows are range partitioned by folder, term and document, so a folder has few files, each in order of terms, and a common word is
+    spread over several: a reader that
     asks for few terms opens their folders only, and skips the parts of a file whose
-    terms are not asked for.  ``shard`` is the document's shard; the documents of each
-    shard are counted once, into a small table next to the index (``index_sizes``).
+    terms are not asked for.  ``shard`` is the document's shard.  Next to the index are the documents of each
+    shard (``index_sizes``) and the totals of each term (``stored_term_stats``), counted once.
     """
+    spark = index.sparkSession
     placed = index.withColumns({"shard": shard_of(F.col("doc_id"), shards), BUCKET: term_bucket(F.col("term"))})
-    placed.sortWithinPartitions(BUCKET, "term").write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/terms")
-    stored = index.sparkSession.read.schema(placed.schema).parquet(f"{path}/terms")
+    order = [BUCKET, "term", "doc_id"]
+    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/terms")
+    stored = spark.read.schema(placed.schema).parquet(f"{path}/terms")
     stored.groupBy("shard").agg(_documents().alias("docs")).write.mode("overwrite").parquet(f"{path}/sizes")
+    stored.groupBy("term").agg(*_term_totals()).write.mode("overwrite").parquet(f"{path}/totals")
     return stored
 
 
+def stored_term_stats(spark: SparkSession, path: str) -> DataFrame:
+    """``term_stats`` of a stored index, from the totals next to it."""
+    total = index_sizes(spark, path).select(F.sum("docs"))
+    totals = spark.read.schema("term string, df bigint, cf bigint, first_pos int").parquet(f"{path}/totals")
+    return totals.withColumn("idf", idf(total.scalar(), F.col("df")))
+
+
 def index_sizes(spark: SparkSession, path: str) -> DataFrame:
     """Documents of each shard of a stored index."""
     return spark.read.schema("shard bigint, docs bigint").parquet(f"{path}/sizes")
@@ -119,16 +131,16 @@ def _documents() -> Column:
     return F.count_if(F.col("first_pos") == 0)
 
 
+def _term_totals() -> list[Column]:
+    return [F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.min("first_pos").alias("first_pos")]
+
+
 def term_stats(index: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Per term: documents, occurrences, earliest position and idf."""
     total = index.select(_documents()) if sizes is None else sizes.select(F.sum("docs"))
     return (
         index.groupBy("term")
-        .agg(
-            F.count(F.lit(1)).alias("df"),
-            F.sum("tf").alias("cf"),
-            F.min("first_pos").alias("first_pos"),
-        )
+        .agg(*_term_totals())
         .withColumn("idf", idf(total.scalar(), F.col("df")))
     )
 

@@ -15,17 +15,25 @@ MARK = "^The .*"
 MARK_SQL = r"^The [^\n\r\x{85}\x{2028}\x{2029}]*"
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple, str] = {}
 
 
-def stored_words(spark, sf_dir):
-    """Index without positions and its sizes: written once per application, read by every search."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def index_folder(spark, sf_dir):
+    """Folder of an index without positions, written once per application and state of the table; every search reads it."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.max("_metadata.file_modification_time"), F.countDistinct("_metadata.file_path")).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *files)
     if key not in _indexes:
         path = scratch_folder(spark, "index")
         search.store_index(search.build_index(documents(spark, sf_dir), positions=False), path, SHARDS)
         _indexes[key] = path
-    return spark.read.parquet(f"{_indexes[key]}/terms"), search.index_sizes(spark, _indexes[key])
+    return _indexes[key]
+
+
+def stored_words(spark, sf_dir):
+    """The stored index and its sizes."""
+    path = index_folder(spark, sf_dir)
+    return spark.read.parquet(f"{path}/terms"), search.index_sizes(spark, path)
 
 
 @query(
@@ -108,7 +116,7 @@ def inverted_index(spark, sf_dir):
     ),
 )
 def term_stats(spark, sf_dir):
-    stats = search.term_stats(*stored_words(spark, sf_dir))
+    stats = search.stored_term_stats(spark, index_folder(spark, sf_dir))
     return rounded(stats.withColumn("first_pos", F.col("first_pos").cast("bigint")), 9)
 
 
