@@ -23,14 +23,15 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from loadlens.llm.common import CACHE_ENTRIES, ship, slices
+from loadlens.functions.ordered import running
+from loadlens.llm.common import CACHE_ENTRIES, ship, slices, stored
 
 DECAY = 0.6
 #: Power of the normalised kernel (again a kernel, of pairs of subsequences), so that close matches count most.
@@ -48,6 +49,8 @@ HARD = 32
 #: Training reads about so many characters of labelled documents of each class.
 TRAINING_CHARS = 1_500_000
 ROUNDS = 3
+#: Words whose kernels are computed together, pieces of long words likewise, and triples held at a time.
+TOGETHER, PIECES, TRIPLES = 1 << 15, 1 << 12, 1 << 19
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _EDGES = ".,;:!?\"'()[]{}<>|/%$#&*+-=_~"
@@ -57,11 +60,9 @@ _SPACED = re.compile(r"(?<!\S)(?:\w\s){3,}\w(?!\w)")
 def sentences(text: str | None) -> list[list[str]]:
     """Lower-cased words of each sentence; letters spaced one by one ("i d i o t") are one word."""
     out = []
-    for part in _SENTENCE.split((text or "").lower()):
-        if _SPACED.search(part):
-            part = _SPACED.sub(lambda m: "".join(m.group().split()), part)
+    for part in _parts(text):
         # What is not a letter at the ends of a word changes no kernel.
-        words = [w for w in (x.strip(_EDGES) for x in part.split()) if w]
+        words = [w for w in (x.strip(_EDGES) for x in part) if w]
         # A word counts once in a sentence.
         out.extend(
             list(dict.fromkeys(words[i : i + SENTENCE_WORDS])) for i in range(0, len(words), SENTENCE_WORDS)
@@ -69,6 +70,16 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
+def _parts(text: str | None) -> list[list[str]]:
+    """Lower-cased words of each sentence as they stand, letters spaced one by one joined."""
+    lower = (text or "").lower()
+    parts = _SENTENCE.split(lower)
+    # A sentence has such letters only if the text has.
+    if _SPACED.search(lower):
+        parts = [_SPACED.sub(lambda m: "".join(m.group().split()), p) for p in parts]
+    return [p.split() for p in parts]
+
+
 def _code(letter: str) -> int:
     if "a" <= letter <= "z":
         return ord(letter) - 96
@@ -108,17 +119,36 @@ def own_kernel(codes: np.ndarray) -> np.ndarray:
     return (equal * prefix[:width, :width]).sum(axis=(0, 1))
 
 
+def _letters(words: list[str]) -> np.ndarray:
+    """Codes of words of one length, a row for each."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1)
+    codes = _LATIN[np.minimum(points, 127)]
+    other = points > 126
+    if other.any():
+        found, at = np.unique(points[other], return_inverse=True)
+        codes[other] = np.array([_codes[chr(c)] for c in found.tolist()], np.int32)[at]
+    return codes
+
+
+_LATIN = np.array([_code(chr(c)) for c in range(128)], np.int32)
+
+
 def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For the words of each length: their indices, kernels with themselves, triple codes, and weights."""
-    lengths = np.array([len(w) for w in words])
+    """For words of one length at a time: their indices, kernels with themselves, triple codes, and weights.
+
+    At most about ``TRIPLES`` triples are held together, whatever the number of words.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
     for width in np.unique(lengths[lengths >= 3]).tolist():
-        at = np.flatnonzero(lengths == width)
-        codes = np.array([[_codes[c] for c in words[i]] for i in at], np.int32)
+        every = np.flatnonzero(lengths == width)
         places, weights = _triples(width)
-        a, b, c = (codes[:, places[:, k]] for k in range(3))
-        # Triples with something that is not a letter get the code 0, which no landmark has.
-        triple = np.where((a > 0) & (b > 0) & (c > 0), (a * ALPHABET + b) * ALPHABET + c, 0)
-        yield at, own_kernel(codes), triple, weights
+        step = max(1, TRIPLES // len(weights))
+        for at in (every[k : k + step] for k in range(0, len(every), step)):
+            codes = _letters([words[i] for i in at.tolist()])
+            a, b, c = (codes[:, places[:, k]] for k in range(3))
+            # Triples with something that is not a letter get the code 0, which no landmark has.
+            triple = np.where((a > 0) & (b > 0) & (c > 0), (a * ALPHABET + b) * ALPHABET + c, 0)
+            yield at, own_kernel(codes), triple, weights
 
 
 def pieces(word: str) -> list[str]:
@@ -128,16 +158,37 @@ def pieces(word: str) -> list[str]:
     return [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
 
 
-def kernel_with(words: list[str], landmarks: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Sparse:
+    """A landmark matrix by rows: for each triple the landmarks that have it, and their values."""
+
+    start: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, matrix: np.ndarray) -> Sparse:
+        row, column = np.nonzero(matrix)
+        start = np.searchsorted(row, np.arange(len(matrix) + 1))
+        return cls(start, column, matrix[row, column], matrix.shape[1])
+
+
+def kernel_with(words: list[str], landmarks: np.ndarray | Sparse) -> np.ndarray:
     """Kernels of words with landmarks: the normalised subsequence kernel to the power POWER."""
-    out = np.zeros((len(words), landmarks.shape[1]), np.float32)
-    used = landmarks.any(axis=1)
+    marks = landmarks if isinstance(landmarks, Sparse) else Sparse.of(landmarks)
+    out = np.zeros((len(words), marks.width), np.float32)
+    many = np.diff(marks.start)
     for at, own, triple, weights in subsequences(words):
-        row, col = np.nonzero(used[triple])
+        n = many[triple]
+        row, col = np.nonzero(n)
         if len(row):
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            shared = np.add.reduceat(landmarks[triple[row, col]] * weights[col, None], first, axis=0)
-            out[at[row[first]]] = shared / np.sqrt(own[row[first], None])
+            code, n = triple[row, col], n[row, col]
+            ends = np.cumsum(n)
+            entry = np.arange(ends[-1]) + np.repeat(marks.start[code] - (ends - n), n)
+            cell = np.repeat(row * marks.width, n) + marks.column[entry]
+            shared = np.bincount(cell, np.repeat(weights[col], n) * marks.value[entry], len(at) * marks.width)
+            out[at] = shared.reshape(len(at), -1) / np.sqrt(np.maximum(own, 1e-9))[:, None]
     return out**POWER
 
 
@@ -160,28 +211,47 @@ class ToxicityModel:
     calibration: tuple[float, float, float]
 
 
-def word_kernels(words: list[str], matrix: np.ndarray) -> np.ndarray:
-    """Kernels of words of any length with the landmarks; a long word has the largest of its pieces."""
-    cut = [pieces(w) for w in words]
-    values = kernel_with([p for each in cut for p in each], matrix)
-    start = np.cumsum([0] + [len(each) for each in cut[:-1]])
-    return np.maximum.reduceat(values, start, axis=0)
+def word_kernels(words: list[str], landmarks: Sparse) -> np.ndarray:
+    """Kernels of words of any length with the landmarks; a long word has the largest of its pieces.
+
+    Pieces are taken ``PIECES`` at a time, so a word of any length needs no more memory than its text.
+    """
+    out = np.zeros((len(words), landmarks.width), np.float32)
+    short = [i for i, w in enumerate(words) if len(w) <= PIECE]
+    out[short] = kernel_with([words[i] for i in short], landmarks)
+    every = ((i, p) for i, w in enumerate(words) if len(w) > PIECE for p in pieces(w))
+    while part := list(islice(every, PIECES)):
+        owner = np.array([i for i, _ in part])
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        most = np.maximum.reduceat(kernel_with([p for _, p in part], landmarks), first, axis=0)
+        out[owner[first]] = np.maximum(out[owner[first]], most)
+    return out
 
 
 class WordScores(dict):
-    """A word's share in the margin of its sentence; computed for many words together."""
+    """A word's share in the margin of its sentence; computed for many words together.
+
+    Words are looked up as they stand; what is left of one without the marks at its ends is scored
+    once.  A word of marks only is no word and has minus infinity.
+    """
 
     def __init__(self, model: ToxicityModel):
         super().__init__()
-        self.matrix, self.weights = landmark_matrix(list(model.landmarks)), model.weights
+        self.landmarks, self.weights = Sparse.of(landmark_matrix(list(model.landmarks))), model.weights
+        self.bare: dict[str, float] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self) > CACHE_ENTRIES:
             self.clear()
-        fresh = [w for w in words if w not in self]
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            self.update(zip(part, (word_kernels(part, self.matrix) @ self.weights).tolist()))
+        if len(self.bare) > CACHE_ENTRIES:
+            self.bare.clear()
+        self.bare[""] = -np.inf
+        fresh = {w: w.strip(_EDGES) for w in words if w not in self}
+        new = list(set(fresh.values()).difference(self.bare))
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            self.bare.update(zip(part, (word_kernels(part, self.landmarks) @ self.weights).tolist()))
+        self.update((w, self.bare[b]) for w, b in fresh.items())
 
 
 def worst_two(margins: np.ndarray) -> tuple[float, float]:
@@ -192,16 +262,26 @@ def worst_two(margins: np.ndarray) -> tuple[float, float]:
 
 
 def sentence_margins(texts: list[str | None], known: WordScores, bias: float) -> list[np.ndarray]:
-    """Margin of every sentence of each text: the largest share of its words plus the bias."""
-    parts = [sentences(t) for t in texts]
+    """Margin of every sentence of each text: the largest share of its words plus the bias.
+
+    Sentences are those of ``sentences``, cut after as many words.
+    """
+    parts = [_parts(t) for t in texts]
     words = [w for part in parts for each in part for w in each]
     known.learn(set(words))
-    if not words:
-        return [np.empty(0)] * len(texts)
     values = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-    start = np.cumsum([0] + [len(each) for part in parts for each in part][:-1])
-    margins = np.maximum.reduceat(values, start) + bias
-    return np.split(margins, np.cumsum([len(part) for part in parts])[:-1])
+    real = values > -np.inf
+    lengths = np.fromiter((len(each) for part in parts for each in part), np.int64)
+    owner = np.repeat(np.arange(len(parts)), [len(part) for part in parts])
+    sentence = np.repeat(np.arange(len(lengths)), lengths)[real]
+    if not len(sentence):
+        return [np.empty(0)] * len(texts)
+    new = np.diff(sentence, prepend=-1) > 0
+    begun = np.flatnonzero(new)
+    place = np.arange(len(sentence)) - np.repeat(begun, np.diff(np.append(begun, len(sentence))))
+    start = np.flatnonzero(place % SENTENCE_WORDS == 0)
+    margins = np.maximum.reduceat(values[real], start) + bias
+    return np.split(margins, np.searchsorted(owner[sentence[start]], np.arange(1, len(texts))))
 
 
 def score_texts(texts: list[str | None], model: ToxicityModel, known: WordScores) -> np.ndarray:
@@ -286,12 +366,12 @@ def _machine(names: list[str], marked: list[str], toxic: list[set[str]], clean:
     words of clean documents are clean examples, by the number of documents, and half of their
     weight goes to the words with the largest margin of a clean document.
     """
-    matrix = landmark_matrix(names)
+    matrix = Sparse.of(landmark_matrix(names))
     values, vectors = np.linalg.eigh(kernel_with(names, matrix).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     vocabulary = sorted(set().union(*toxic, *clean))
     place = {w: i for i, w in enumerate(vocabulary)}
-    kernels = [word_kernels(vocabulary[i : i + 4096], matrix) for i in range(0, len(vocabulary), 4096)]
+    kernels = [word_kernels(vocabulary[i : i + TOGETHER], matrix) for i in range(0, len(vocabulary), TOGETHER)]
     x = np.concatenate(kernels) @ root.astype(np.float32)
     bad, good = ([np.array(sorted(place[w] for w in d)) for d in part] for part in (toxic, clean))
     held = np.bincount(np.concatenate(good), minlength=len(vocabulary))
@@ -346,26 +426,32 @@ def train(toxic: list[str], clean: list[str], prior: float = 0.5, hard: int = HA
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", label_id: str = "doc_id", chars: int = TRAINING_CHARS) -> ToxicityModel:
     """Train on a bounded sample of the labelled rows given.
 
-    Of each class about ``chars`` characters are read, chosen by a hash of the id;
-    rows without id, text or label are left out, and repeated texts count once.
+    Of each class at most ``chars`` characters of whole texts are read, in the order of a hash of id and
+    text, texts of more than a sixteenth of that left out; rows without id, text or label are left out, and repeated texts count once.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     known = labels.select(F.col(label_id).alias("doc_id"), F.col(label).alias("toxic")).where("doc_id is not null and toxic in (0, 1)").distinct()
-    n, total = named.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    mean = (total or 0) / max(1, n)
-    # A hash of the id below the share that gives about ``chars`` characters.
-    draw = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20))
-    share = F.when(F.col("toxic") == 1, chars / max(1.0, counts.get(1, 0) * mean)).otherwise(chars / max(1.0, counts.get(0, 0) * mean))
-    # A few thousand ids: ``chars`` divided by the mean length of a text.
-    chosen = F.broadcast(known.where(draw < share))
-    rows = named.join(chosen, "doc_id").select("toxic", "text").collect()
-    prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0], prior)
+    place = F.xxhash64("doc_id", "text").alias("place")
+    sizes = named.select("doc_id", place, F.length("text").cast("long").alias("n")).where(F.col("n") <= chars // 16)
+    sizes = stored(sizes.join(known, "doc_id").select("toxic", "place", "n"), "labelled")
+    counts = {r["toxic"]: (r["rows"], r["n"]) for r in sizes.groupBy("toxic").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}
+    # Far fewer rows than all: those whose place gives about twice the characters.
+    share = F.when(F.col("toxic") == 1, 2 * chars / max(1, counts.get(1, (0, 0))[1])).otherwise(2 * chars / max(1, counts.get(0, (0, 0))[1]))
+    drawn = sizes.where(F.pmod("place", F.lit(1 << 20)) / float(1 << 20) < share).distinct()
+    drawn = running(drawn, ["toxic"], ["place", "n"], sums={"upto": F.col("n")}).where(F.col("upto") <= chars)
+    # At most ``chars`` of each class come to the driver.
+    chosen = F.broadcast(drawn.select("toxic", "place"))
+    rows = named.withColumn("place", place).join(chosen, "place").select("toxic", "place", "text").distinct().collect()
+    texts = [[r["text"] for r in sorted(rows, key=lambda r: r["place"]) if r["toxic"] == k] for k in (1, 0)]
+    total = sum(n for n, _ in counts.values())
+    return train(*texts, counts.get(1, (0, 0))[0] / max(1, total))
 
 
 def toxicity_of(model: ToxicityModel, text: Column) -> Column:
-    """Score of a text column, 0 to 1; NULL and texts without words score as the emptiest text."""
+    """Score of a text column, 0 to 1; NULL and texts without words score as the emptiest text.
+
+    Very long texts are scored whole, and a very long word in pieces of a bounded number at a time.
+    """
     shared = ship().sparkContext.broadcast(model)
 
     @pandas_udf("double")

@@ -131,6 +131,44 @@ def test_toxicity_without_a_class_and_with_odd_rows(spark):
     assert toxicity.fit(docs.limit(0), labels.limit(0)).landmarks == ()
 
 
+def test_a_very_long_word_takes_little_memory():
+    import resource
+
+    clean = [f"the quiet {w} walks along the {v} river. then it rests." for w in ("cat", "dog", "hen", "fox") for v in ("old", "long", "cold")]
+    toxic = [f"the quiet {w} walks. you {a} idiot! then it rests." for w in ("cat", "dog", "hen", "fox") for a in ("old", "big", "poor")]
+    model = toxicity.train(toxic, clean, hard=4)
+    assert model.landmarks
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    known = toxicity.WordScores(model)
+    long = ["abcdefghij" * 200_000, "x" * 1000 + "idiot" + "y" * 1000, "fine words."]
+    scores = toxicity.score_texts(long, model, known)
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 1000
+    assert ((scores >= 0) & (scores <= 1)).all()
+
+
+def test_margins_of_sentences_against_plain_python():
+    clean = [f"the quiet {w} walks along the {v} river. then it rests." for w in ("cat", "dog", "hen", "fox") for v in ("old", "long", "cold")]
+    toxic = [f"the quiet {w} walks. you {a} idiot! then it rests." for w in ("cat", "dog", "hen", "fox") for a in ("old", "big", "poor")]
+    model = toxicity.train(toxic, clean, hard=4)
+    texts = ["", None, "... !!", "One. Two - three | four! i d i o t now", "w " * 30 + ". " + "- " * 20 + "idiot", "a\nb\n\nc?"]
+    known = toxicity.WordScores(model)
+    got = toxicity.sentence_margins(texts, known, model.bias)
+    for text, margins in zip(texts, got, strict=True):
+        want = [max(known.bare[w] for w in s) + model.bias for s in toxicity.sentences(text)]
+        assert margins.tolist() == pytest.approx(want)
+
+
+def test_the_training_sample_is_bounded(spark, monkeypatch):
+    rows = [(i, f"text {i} " + "word " * (i % 40), i % 2) for i in range(400)] + [(900, "long " * 5000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda bad, good, prior: seen.update(bad=bad, good=good, prior=prior))
+    toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), chars=5000)
+    for part in ("bad", "good"):
+        assert 2500 < sum(map(len, seen[part])) <= 5000 and max(map(len, seen[part])) <= 5000 // 16
+    assert 0.4 < seen["prior"] < 0.6
+
+
 def test_toxicity_held_out(spark):
     large = "/root/testdata/sf0.1"
     got = op3_toxicity(spark, large).toPandas()
@@ -141,3 +179,5 @@ def test_toxicity_held_out(spark):
     good, bad = held[held.toxic == 0].score, held[held.toxic == 1].score
     wins = np.mean([(b > good).mean() + 0.5 * (b == good).mean() for b in bad])
     assert len(got) == 10_000 and wins > 0.95
+    # Clean documents are left alone.
+    assert (good >= 0.3).mean() < 0.03
