@@ -49,6 +49,12 @@ PIECES = 400_000
 # inside their text.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(f"[{_SPACE}]*+[^\\W_]++(?=[.,](?:[{_SPACE}]|\\Z))|[{_SPACE}]*+[^{_SPACE}]++|[{_SPACE}]++")
+# A word of Latin letters, perhaps after one blank, is one piece of that pattern.
+_WORD = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+# Bytes are spelled as characters: printable ones stand for themselves, the others follow from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLING = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+_BLANK = _SPELLING[32]
 #: New pieces that are encoded together.
 TOGETHER = 1024
 
@@ -67,35 +73,57 @@ class Encoder:
         self.most = most
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark = special[0] if special else None
+        # A tokenizer that only splits by the usual pattern and spells bytes as characters hands a word of
+        # letters to its model as it is, so such words can go to the model at once.
+        parts = json.loads(self.tokenizer.to_str())
+        split = parts["pre_tokenizer"] or {}
+        usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        added = any(_WORD.fullmatch(t["content"]) for t in parts["added_tokens"])
+        self.model = self.tokenizer.model if usual and parts["normalizer"] is None and not added else None
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, pieces: list[str]) -> None:
         """Encode new pieces; a special token between them keeps them apart in one text."""
-        if self.mark is None or any(self.mark[1] in p for p in pieces):
+        whole = self.mark[1].join(pieces) if self.mark else ""
+        if self.mark is None or whole.count(self.mark[1]) != len(pieces) - 1:
             self.known.update((p, ids.tobytes()) for p, ids in zip(pieces, self._ids(pieces)))
             return
-        ids = self._ids([self.mark[1].join(pieces)])[0]
+        ids = self._ids([whole])[0]
         cut = np.flatnonzero(ids == self.mark[0])
         starts, ends = np.concatenate(([0], cut + 1)) * 4, np.append(cut, len(ids)) * 4
         raw = ids.tobytes()
         self.known.update((p, raw[a:b]) for p, a, b in zip(pieces, starts.tolist(), ends.tolist()))
 
-    def learn(self, pieces: list[str]) -> None:
+    def _encode_words(self, words: list[str]) -> None:
+        """Encode new words of letters by the tokenizer's model alone."""
+        tokenize, ids, ends = self.model.tokenize, [], [0]
+        for word in words:
+            spelled = word.replace(" ", _BLANK) if word.isascii() else word.encode().decode("latin-1").translate(_SPELLING)
+            ids += [t.id for t in tokenize(spelled)]
+            ends.append(len(ids) * 4)
+        raw = np.array(ids, "<u4").tobytes()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, ends, ends[1:]))
+
+    def learn(self, pieces: list[list[str]]) -> None:
         if len(self.known) > self.most:
             self.known, self.elder = {}, self.known
-        fresh = set(pieces).difference(self.known)
+        fresh = set().union(*pieces).difference(self.known)
         again = fresh.intersection(self.elder)
         self.known.update((p, self.elder[p]) for p in again)
         new = list(fresh - again)
+        if self.model is not None:
+            words = list(filter(_WORD.fullmatch, new))
+            self._encode_words(words)
+            new = list(set(new).difference(words))
         for at in range(0, len(new), TOGETHER):
             self._encode(new[at : at + TOGETHER])
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for start, end in slices(texts):
             pieces = [_PIECE.findall(t) if t else [] for t in texts[start:end]]
-            self.learn([p for each in pieces for p in each])
+            self.learn(pieces)
             for each in pieces:
                 yield b"".join(map(self.known.__getitem__, each))
 
