@@ -245,10 +245,9 @@ def stream_late_rows(spark, sf_dir):
     first, last = stamped.agg(F.min(second), F.max(second)).first()
     if first is not None:
         part = F.least(F.floor((second - first) * len(ARRIVAL) / (last - first + 1)), F.lit(len(ARRIVAL) - 1))
-        place = F.array_position(F.array(*[F.lit(p) for p in ARRIVAL]).cast("array<bigint>"), part.cast("bigint"))
-        # Files are in the order of ranges, and empty ranges have none.
-        ranged = stamped.withColumn("_place", place).repartitionByRange(len(ARRIVAL), "_place").drop("_place")
-        ranged.write.parquet(folder)
+        place = F.array_position(F.array(*[F.lit(p) for p in ARRIVAL]).cast("array<bigint>"), part.cast("bigint")) - 1
+        # One file for each place in the order of arrival.
+        stamped.repartitionById(len(ARRIVAL), place.cast("int")).write.parquet(folder)
         replay.in_order(spark, folder)
         feed = replay.replay_stream(spark, folder, stamped.schema, files_per_trigger=1)
         late.count_with_late(feed, "ts", WIDTH_S, DELAY_S, out)
