@@ -13,8 +13,9 @@ exact similarity of the shingle sets, so a link is never wrong.
    ordered by how many of these texts have them.  A pair at 0.8 must share one among the
    first of each, and how many of the first follows from both sizes; so sizes are
    cut into classes of five per cent, and a text is listed under its first shingles once for
-   each class that a partner may have.  Texts that only share a common passage have it at the end of their order and
-   do not meet.  A list, too, first offers each text with its smallest one, and then pairs that are still in
+   each class that a partner may have, and a list holds pairs of those two classes only.  Texts that only share a common passage have it at the end of their order and
+   do not meet.  A pair of a list has to pass one more exact bound: the parities of 512 cells that shingles are
+   hashed into differ in no more cells than the sets differ in shingles.  A list, too, first offers each text with its smallest one, and then pairs that are still in
    different components.
 
 Texts with equal shingle sets are one class; a class is named by 64 bits and told apart by 64 more.  A large group of copies or
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +46,8 @@ TENTHS = 8
 BANDS, ROWS = 32, 5
 #: Sizes of a class differ by this factor at most, and a partner is in one of as many classes on each side.
 CLASS, CLASSES = 1.05, 5
+#: Long words of parities: 64 cells each.
+PARITIES = 8
 #: Shingles whose hashes are permuted together.
 BLOCK = 1 << 12
 
@@ -69,11 +73,20 @@ def buckets(shingles: np.ndarray) -> np.ndarray:
     return np.array(found, np.uint64).view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each cell whether it holds an odd number of shingles, as long words."""
+    cells = np.bincount((shingles % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES)
+    return np.packbits(cells & 1).view(np.int64)
+
+
+_P = [f"p{k}" for k in range(PARITIES)]
+
+
 def _sketch(text: Column) -> Column:
-    """Struct of ``key`` and ``check``, which name the shingle set, its size ``n``, ``fp`` and ``buckets``."""
+    """Struct of ``key`` and ``check``, which name the shingle set, its size ``n``, ``fp``, parities and ``buckets``."""
     ship()
 
-    @pandas_udf("key long, check long, n long, fp long, buckets array<long>")
+    @pandas_udf(f"key long, check long, n long, fp long, {', '.join(f'{c} long' for c in _P)}, buckets array<long>")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = []
@@ -86,9 +99,11 @@ def _sketch(text: Column) -> Column:
                 shingles = np.unique(np.concatenate(parts))
                 raw = shingles.tobytes()
                 names = (xxhash.xxh64_intdigest(raw), xxhash.xxh64_intdigest(raw, 1), majority(counts, total))
-                found.append((*names, len(shingles), buckets(shingles)))
+                found.append((*names, len(shingles), buckets(shingles), parities(shingles)))
             named = {c: np.array([f[k] for f in found], np.uint64).view(np.int64) for k, c in enumerate(("key", "check", "fp"))}
-            yield pd.DataFrame(named | {"n": [f[3] for f in found], "buckets": [f[4] for f in found]})[["key", "check", "n", "fp", "buckets"]]
+            named |= {"n": [f[3] for f in found], "buckets": [f[4] for f in found]}
+            named |= {c: np.array([f[5][k] for f in found], np.int64) for k, c in enumerate(_P)}
+            yield pd.DataFrame(named)[["key", "check", "n", "fp", *_P, "buckets"]]
 
     return sketched(text)
 
@@ -123,7 +138,7 @@ def _classes(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, classes), a class of texts with one shingle set named by ``key`` (stored)."""
 
     def named(rows: DataFrame) -> DataFrame:
-        least = [F.min(c).alias(c) for c in ("hash", "n", "fp")]
+        least = [F.min(c).alias(c) for c in ("hash", "n", "fp", *_P)]
         found = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *least, F.min("check").alias("low"), F.max("check").alias("high"))
         return stored(found, "classes")
 
@@ -163,7 +178,11 @@ def _apart(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _prefixes(keys: DataFrame, sets: DataFrame) -> DataFrame:
-    """Lists of ``keys`` (key, n): low, high, shingle, key, n, rest, ``rest`` the shingles from this one on (stored)."""
+    """Lists of ``keys`` (key, n): low, high, shingle, key, n, rest, upper (stored).
+
+    ``rest`` are the shingles from this one on.  A list of two classes is for pairs of one text of each, ``upper`` for
+    the larger; a list of one class (low = high) for pairs within it.
+    """
     wanted = keys.join(sets, "key").select("key", "n", F.explode("shingles").alias("shingle"))
     wanted = stored(wanted, "shingles")
     counts = stored(wanted.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "counts")
@@ -178,13 +197,34 @@ def _prefixes(keys: DataFrame, sets: DataFrame) -> DataFrame:
     least = F.greatest(F.floor(F.pow(F.lit(CLASS), "other") - 0.001), F.ceil(F.col("n") * TENTHS / 10))
     enough = F.col("rest") * (10 + TENTHS) >= (F.col("n") + least) * TENTHS
     low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    return stored(rest.where(enough).select(low, high, "shingle", "key", "n", "rest"), "prefixes")
+    found = rest.where(enough).select(low, high, "shingle", "key", "n", "rest", (F.col("own") > F.col("other")).alias("upper"))
+    return stored(found, "prefixes")
+
+
+def _two_sided(lists: DataFrame) -> DataFrame:
+    """The lists that can have a pair: several components, and texts of both classes (stored)."""
+    by = ["low", "high", "shingle"]
+    ends = [f(c).alias(f"_{f.__name__}_{c}") for c in ("root", "upper") for f in (F.min, F.max)]
+    found = lists.groupBy(*by).agg(*ends).where("_min_root != _max_root and (low = high or _min_upper != _max_upper)")
+    return stored(lists.join(stored(found.select(*by), "apart"), by), "open")
+
+
+def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Components of the links behind ``roots`` and further links ``found``: only components are linked anew (stored)."""
+    ends = _placed(_placed(found, roots, "a", "ra"), roots, "b", "rb")
+    over = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    each = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root"))))
+    known = roots.select("node", "root").union(ends.select(each.alias("e")).select("e.*")).distinct()
+    raised = known.join(over.toDF("root", "_over"), "root", "left")
+    return stored(raised.select("node", F.coalesce("_over", "root").alias("root")), "roots")
 
 
 def _can_share(a: str, b: str) -> Column:
-    """Whether two entries of a list leave room for enough shared shingles."""
-    rest = F.least(f"{a}.rest", f"{b}.rest") * (10 + TENTHS)
-    return (rest >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * TENTHS) & _near_size(f"{a}.n", f"{b}.n")
+    """Whether two entries of a list leave room for enough shared, and for few enough other, shingles."""
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+    rest = F.least(f"{a}.rest", f"{b}.rest") * (10 + TENTHS) >= both * TENTHS
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _P])
+    return rest & _near_size(f"{a}.n", f"{b}.n") & (differ * (10 + TENTHS) <= both * (10 - TENTHS))
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,27 +260,30 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     roots = components(links)
     first = met.where("key != head").where(_near_size("n", "of")).select(F.col("head").alias("a"), F.col("key").alias("b"))
     first = _placed(_placed(first.distinct(), roots, "a", "ra"), roots, "b", "rb").where("ra != rb").select("a", "b")
-    links = stored(links.union(_verified(stored(first, "pairs"), sets)), "links")
-    roots = components(links)
+    found = _verified(stored(first, "pairs"), sets)
+    roots = _merged(roots, found)
 
     open_ = _apart(_placed(met.select("bucket", "key", "n"), roots), ["bucket"])
     lists = _prefixes(stored(open_.select("key", "n").distinct(), "keys"), sets)
     by = ["low", "high", "shingle"]
     for star in (True, False):
-        placed = _apart(_placed(lists, roots), by)
-        right = placed.select(*by, F.struct("key", "n", "rest", "root").alias("b"))
-        left = right.withColumnRenamed("b", "a")
+        placed = _two_sided(_placed(lists, roots))
+        # Only what is left in open lists gets its parities.
+        placed = stored(placed.join(classes.select("key", *_P), "key"), "entries")
+        entry = placed.select(*by, "upper", F.struct("key", "n", "rest", "root", *_P).alias("b"))
+        right = entry.where("low = high or upper").drop("upper")
+        left = entry.where("not upper").drop("upper").withColumnRenamed("b", "a")
         if star:
-            left = stored(left.groupBy(*by).agg(F.min("a").alias("a"), F.count(F.lit(1)).alias("rows")), "heads")
-            offered = checked_join(right, left.drop("rows"), by, left.select(*by, "rows"))
+            left = stored(left.groupBy(*by).agg(F.min("a").alias("a")), "heads")
+            sizes = right.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
+            offered = checked_join(right, left, by, sizes)
         else:
-            offered = left.join(right, by).where("a.key < b.key")
+            offered = left.join(right, by).where("low < high or a.key < b.key")
         offered = offered.where("a.root != b.root").where(_can_share("a", "b"))
-        pairs = stored(offered.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), "pairs")
-        found = _verified(pairs, sets)
+        pairs = offered.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"))
+        found = _verified(stored(pairs.distinct(), "pairs"), sets)
         if not found.isEmpty():
-            links = stored(links.union(found), "links")
-            roots = components(links)
+            roots = _merged(roots, found)
 
     named = _placed(classes.select("key", "least"), roots)
     least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
