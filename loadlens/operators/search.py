@@ -8,6 +8,8 @@ Ranks go by the score rounded to 9 places, then by document.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loadlens.functions.joins import BROADCAST_BYTES, checked_join
@@ -17,6 +19,8 @@ from loadlens.functions.text import HREF, is_redirect, links_of, shard_of, token
 from loadlens.operators.relational import top_k
 
 PLACES = 9
+#: Bytes of text, or rows, whose index is one part of a stored index: about 100 MB while it is sorted.
+PART_BYTES, PART_ROWS = 8 << 20, 1 << 20
 
 
 def drop_redirects(
@@ -33,19 +37,19 @@ def page_links(pages: DataFrame, page: str, body: str, pattern: str = HREF) -> D
     return pages.select(F.col(page).alias("src"), links.alias("dst"))
 
 
-def build_index(docs: DataFrame, positions: bool = True) -> DataFrame:
+def build_index(docs: DataFrame, positions: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """Inverted index of ``(doc_id, text)``: one row per document and term in it.
 
     ``doc_id`` is unique, so all words of a group are in one input row and no
     shuffle is needed: the words of a text are sorted with their positions, and
     each run of equal words becomes a row that carries its own run only, so the cost
     grows with the length of a text.  ``positions=False`` leaves out the
-    lists, which ranked search does not read.
+    lists, which ranked search does not read.  ``keep`` names further columns of a document to carry along.
     """
     pairs = F.transform(tokens_of(F.col("text")), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
     runs = _let(F.sort_array(pairs), lambda placed: _runs(placed, positions))
-    found = docs.select("doc_id", F.explode(runs).alias("run"))
-    return found.select("run.term", "doc_id", *[f"run.{c}" for c in _run_columns(positions) if c != "term"])
+    found = docs.select("doc_id", *keep, F.explode(runs).alias("run"))
+    return found.select("run.term", "doc_id", *[f"run.{c}" for c in _run_columns(positions) if c != "term"], *keep)
 
 
 def _run_columns(positions: bool) -> list[str]:
@@ -83,20 +87,33 @@ def _runs(placed: Column, positions: bool) -> Column:
     return _let(F.array_compact(new), cut_at)
 
 
-def store_index(index: DataFrame, path: str, shards: int) -> DataFrame:
+def index_parts(docs: DataFrame) -> int:
+    """In how many parts the index of ``docs`` is sorted and written, from the bytes of the texts."""
+    return max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+
+
+def store_index(index: DataFrame, path: str, shards: int, parts: int | None = None) -> DataFrame:
     """Write an index in folders by a hash of the term, and read it back.
 
-    Rows are range partitioned by folder, term and document, so a folder has few files, each in order of terms, and a common word is
-    spread over several: a reader that
+    The rows of a folder are dealt to as many files as its share of ``parts`` asks for, by a hash of the document,
+    so a common word is spread over all of them.  Each file is in order of terms: a reader that
     asks for few terms opens their folders only, and skips the parts of a file whose
-    terms are not asked for.  ``shard`` is the document's shard.  Next to the index are the documents of each
+    terms are not asked for.  ``parts`` comes from the texts (``index_parts``), or else the rows are counted: a
+    part is sorted in memory however large the table is, and no text is taken apart a second time to find bounds.
+    ``shard`` is the document's shard, unless the index has that column.  Next to the index are the documents of each
     shard (``index_sizes``) and the totals of each term (``stored_term_stats``), counted once.
     """
     spark = index.sparkSession
-    placed = index.withColumns({"shard": shard_of(F.col("doc_id"), shards), BUCKET: term_bucket(F.col("term"))})
-    order = [BUCKET, "term", "doc_id"]
-    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/terms")
+    if parts is None:
+        parts = max(1, -(-index.count() // PART_ROWS))
+    if "shard" not in index.columns:
+        index = index.withColumn("shard", shard_of(F.col("doc_id"), shards))
+    placed = index.withColumn(BUCKET, term_bucket(F.col("term")))
+    each = -(-parts // BUCKETS)
+    place = F.col(BUCKET) * each + F.pmod(F.xxhash64("doc_id"), F.lit(each)).cast("int")
+    part = F.floor(place * F.lit(parts).cast("bigint") / (BUCKETS * each)).cast("int")
+    dealt = placed.repartitionById(parts, part).sortWithinPartitions(BUCKET, "term", "doc_id")
+    dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/terms")
     stored = spark.read.schema(placed.schema).parquet(f"{path}/terms")
     stored.groupBy("shard").agg(_documents().alias("docs")).write.mode("overwrite").parquet(f"{path}/sizes")
     stored.groupBy("term").agg(*_term_totals()).write.mode("overwrite").parquet(f"{path}/totals")

@@ -211,9 +211,9 @@ def kv_table(spark, sf_dir):
 )
 def stored_index(spark, sf_dir):
     folder = scratch_folder(spark, "index")
-    index = search.build_index(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
     return (
-        search.store_index(index, folder, SHARDS)
+        search.store_index(search.build_index(docs), folder, SHARDS, search.index_parts(docs))
         .groupBy(F.col("shard").cast("bigint").alias("shard"))
         .agg(
             F.count(F.lit(1)).alias("postings"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loadlens.functions.lineage import scratch_folder
+from loadlens.functions.text import shard_of
 from loadlens.operators import search
 from loadlens.plans.registry import query, rounded
 from loadlens.plans.views import documents, search_queries, table, with_views
@@ -25,7 +26,9 @@ def index_folder(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir, *files)
     if key not in _indexes:
         path = scratch_folder(spark, "index")
-        search.store_index(search.build_index(documents(spark, sf_dir), positions=False), path, SHARDS)
+        docs = documents(spark, sf_dir)
+        index = search.build_index(docs.withColumn("shard", shard_of(F.col("doc_id"), SHARDS)), positions=False, keep=["shard"])
+        search.store_index(index, path, SHARDS, search.index_parts(docs))
         _indexes[key] = path
     return _indexes[key]
 

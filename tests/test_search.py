@@ -165,3 +165,29 @@ def test_redirects_are_dropped(spark):
     )
     assert sorted(r.id for r in search.drop_redirects(docs, "text").collect()) == [3, 4]
     assert sorted(r.id for r in search.drop_redirects(docs, "text", strict=True).collect()) == [2, 3, 4]
+
+
+def test_index_parts_follow_the_rows_not_the_settings(spark, index, tmp_path, monkeypatch):
+    """Parts are sorted in memory, so their number follows the rows, and a common word is spread over several."""
+    monkeypatch.setattr(search, "PART_ROWS", 2)
+    stored = search.store_index(index, str(tmp_path / "index"), 3)
+    files = {str(p) for p in (tmp_path / "index" / "terms").glob("*/*.parquet")}
+    assert len(files) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
+    the = stored.where("term = 'the'").selectExpr("_metadata.file_path AS f").distinct().count()
+    assert the > 1 and stored.select(index.columns).exceptAll(index).count() == 0 and stored.count() == index.count()
+    for name in files:
+        terms = [r.term for r in spark.read.parquet(f"file://{name}").collect()]
+        assert terms == sorted(terms)
+
+
+def test_bytes_of_texts_give_the_parts(spark, monkeypatch):
+    monkeypatch.setattr(search, "PART_BYTES", 10)
+    docs = spark.createDataFrame([(1, "a" * 25), (2, None), (3, "\u00e9" * 5)], "doc_id long, text string")
+    assert search.index_parts(docs) == 4 and search.index_parts(docs.where("doc_id = 2")) == 1
+
+
+def test_columns_of_a_document_can_be_kept(spark, index, docs):
+    texts = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "doc_id % 7 AS place")
+    kept = search.build_index(texts, keep=["place"])
+    assert kept.columns == [*index.columns, "place"] and kept.where("place <> doc_id % 7").count() == 0
+    assert kept.drop("place").exceptAll(index).count() == 0
