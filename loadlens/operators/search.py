@@ -21,6 +21,8 @@ from loadlens.operators.relational import top_k
 PLACES = 9
 #: Bytes of text, or rows, whose index is one part of a stored index: about 100 MB while it is sorted.
 PART_BYTES, PART_ROWS = 8 << 20, 1 << 20
+#: Pairs of an asked term and a query that one task scores.
+TASK_HITS = 1 << 21
 
 
 def drop_redirects(
@@ -208,6 +210,11 @@ def matches(
         stats = stats.join(sizes, "shard").withColumn("idf", idf(F.col("docs"), F.col("rows")))
     weights = cut(asked.join(stats, "term"))
     counts = weights.select(*key, "rows").distinct()
+    # A document's postings meet before they are scored, so scores are added where they arise and none is shuffled;
+    # tasks are as many as the measured number of additions asks for.
+    hits = weights.agg(F.sum("rows")).first()[0] or 0
+    tasks = max(1, -(-hits // TASK_HITS))
+    postings = postings.repartition(tasks, "doc_id")
     hits = checked_join(postings, weights.drop("rows"), key, counts).select(
         "query_id",
         "doc_id",

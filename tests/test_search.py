@@ -186,6 +186,18 @@ def test_bytes_of_texts_give_the_parts(spark, monkeypatch):
     assert search.index_parts(docs) == 4 and search.index_parts(docs.where("doc_id = 2")) == 1
 
 
+def test_scores_are_added_where_they_arise(index, queries, plan):
+    """One row per query and document never goes through a shuffle."""
+    assert "hashpartitioning(query_id" not in plan(search.matches(index, queries))
+
+
+def test_number_of_scoring_tasks_changes_nothing(index, queries, monkeypatch):
+    want = sorted(search.matches(index, queries).collect())
+    monkeypatch.setattr(search, "TASK_HITS", 5)
+    scored = search.matches(index, queries)
+    assert scored.rdd.getNumPartitions() > 10 and sorted(scored.collect()) == want
+
+
 def test_columns_of_a_document_can_be_kept(spark, index, docs):
     texts = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "doc_id % 7 AS place")
     kept = search.build_index(texts, keep=["place"])
