@@ -17,7 +17,7 @@ from loadlens.functions.joins import BROADCAST_BYTES, checked_join
 from loadlens.functions.lineage import cut, stored_rows
 from loadlens.functions.ordered import row_bytes
 from loadlens.operators.relational import top_k
-from loadlens.operators.search import PLACES, idf
+from loadlens.operators.search import PART_ROWS, PLACES, TASK_HITS, idf
 
 SPAN = 64
 BUCKETS, PARTS = 8, 4
@@ -26,35 +26,42 @@ SLACK = 2e-9
 _BLOCKS = "term string, segment int, n bigint, most double"
 
 
-def _placed(term: Column, segment: Column, buckets: int, parts: int) -> list[Column]:
-    """Folders of a block: terms by hash, segments by ranges of a few each."""
-    return [F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int").alias("bucket"), F.pmod(segment, F.lit(parts)).cast("int").alias("part")]
-
-
 def store_blocks(
-    index: DataFrame, path: str, span: int = SPAN, buckets: int = BUCKETS, parts: int = PARTS
+    index: DataFrame, path: str, span: int = SPAN, buckets: int = BUCKETS, parts: int = PARTS,
+    docs: int | None = None, pieces: int | None = None,
 ) -> None:
     """Write an index (term, doc_id, tf, doc_len, first_pos) as blocks and heads.
 
     Folders are by term and by segment, files inside sorted by both, so a search for few blocks opens few folders and skips
-    row groups.  ``sizes`` has the number of documents.
+    row groups.  Rows move once: all of a block, and of a file, go to one task, which makes the blocks and writes
+    them.  ``docs`` is the number of documents with a word, and ``pieces`` in how many tasks they are written
+    (``search.index_parts``); what is missing is counted from the index.  ``sizes`` has the number of documents.
     """
     spark = index.sparkSession
-    docs = index.agg(F.count_if(F.col("first_pos") == 0)).first()[0]
+    if docs is None or pieces is None:
+        counted, rows = index.agg(F.count_if(F.col("first_pos") == 0), F.count(F.lit(1))).first()
+        docs = counted if docs is None else docs
+        pieces = max(1, -(-rows // PART_ROWS)) if pieces is None else pieces
     segments = max(1, -(-docs // span))
     segment = F.pmod(F.xxhash64("doc_id"), F.lit(segments)).cast("int")
-    weight = F.sqrt("tf") / F.sqrt("doc_len")
-    blocks = index.groupBy("term", segment.alias("segment")).agg(
+    # A folder is by term and by a few segments in turn; the rows of a large one go to ``each`` files by further segments.
+    each = -(-pieces // (buckets * parts))
+    folder = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int") * parts + F.pmod(segment, F.lit(parts))
+    place = (folder * each + F.pmod(F.floor(segment / parts), F.lit(each))).cast("int")
+    dealt = index.select("term", "doc_id", "tf", "doc_len", segment.alias("segment"), place.alias("place"))
+    # More tasks than files: a hash puts some files into one task.
+    blocks = dealt.repartition(2 * buckets * parts * each, "place").groupBy("place", "term", "segment").agg(
         F.count(F.lit(1)).alias("n"),
-        F.max(weight).alias("most"),
+        F.max(F.sqrt("tf") / F.sqrt("doc_len")).alias("most"),
         F.collect_list(F.struct("doc_id", "tf", "doc_len")).alias("postings"),
     )
-    blocks = blocks.select("*", *_placed(F.col("term"), F.col("segment"), buckets, parts))
-    placed = blocks.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "term", "segment")
+    folder = F.floor(F.col("place") / each)
+    names = [F.floor(folder / parts).cast("int").alias("bucket"), F.pmod(folder, F.lit(parts)).cast("int").alias("part")]
+    placed = blocks.select("term", "segment", "n", "most", "postings", *names).sortWithinPartitions("bucket", "part", "term", "segment")
     placed.write.mode("overwrite").partitionBy("bucket", "part").parquet(f"{path}/blocks")
     heads = spark.read.schema(_BLOCKS + ", bucket int, part int").parquet(f"{path}/blocks").select("term", "segment", "n", "most", "bucket")
-    placed = heads.repartition("bucket").sortWithinPartitions("bucket", "term", "segment")
-    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/heads")
+    # The files read are in folders of terms already, so nothing moves.
+    heads.sortWithinPartitions("bucket", "term", "segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/heads")
     kind = index.schema["doc_id"].dataType.simpleString()
     sizes = spark.createDataFrame([(docs, buckets, parts, kind)], "docs long, buckets int, parts int, kind string")
     sizes.coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
@@ -79,41 +86,51 @@ class BlockIndex:
             names = F.broadcast(names)
         heads = stored_rows(self.heads.join(names, ["bucket", "term"], "left_semi"), "heads")
         known = heads.groupBy("term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("rows"))
-        known = cut(known.withColumn("idf", idf(F.lit(self.docs), F.col("df"))))
-        weights = cut(asked.join(known, "term"))
-        return stored_rows(checked_join(heads.drop("bucket"), weights.drop("rows", "df"), ["term"], known.select("term", "rows")), "asked")
+        self.known = cut(known.withColumn("idf", idf(F.lit(self.docs), F.col("df"))))
+        self.names, self.weights = names, cut(asked.join(self.known, "term").drop("rows", "df"))
+        return stored_rows(checked_join(heads.drop("bucket"), self.weights, ["term"], self.known.select("term", "rows")), "asked")
 
     def scores(self, chosen: DataFrame) -> DataFrame:
-        """Score of every document in the blocks of ``chosen`` (query_id, asked, term, segment, idf)."""
-        found = chosen.select("query_id", "asked", "term", "segment", "idf", *_placed(F.col("term"), F.col("segment"), self.buckets, self.parts))
-        blocks = self.blocks.select("bucket", "part", "term", "segment", "postings")
-        # A block has at most the documents of a segment, so no key of this join is large.
-        joined = blocks.join(found, ["bucket", "part", "term", "segment"])
-        hits = joined.select("query_id", "asked", "idf", F.explode("postings").alias("p"))
+        """Score of every document of the last asked queries in the segments of ``chosen`` (query_id, segment, hits).
+
+        The blocks of a segment meet in one task, so the scores of its documents are added there; only
+        asked terms' blocks move, and only those of chosen segments if the list of these is short.
+        """
+        hits = chosen.agg(F.sum("hits")).first()[0] or 0
+        tasks = max(1, -(-hits // TASK_HITS))
+        queries = cut(chosen.groupBy("segment").agg(F.collect_set("query_id").alias("queries")))
+        short = (queries.agg(F.sum(row_bytes(queries))).first()[0] or 0) <= BROADCAST_BYTES
+        blocks = self.blocks.join(self.names, ["bucket", "term"], "left_semi").select("term", "segment", "postings")
+        if short:
+            blocks = blocks.join(F.broadcast(queries), "segment", "left_semi")
+        blocks = blocks.repartition(tasks, "segment")
+        queries = F.broadcast(queries) if short else queries.repartition(tasks, "segment")
+        found = checked_join(blocks.join(queries, "segment"), self.weights, ["term"], self.known.select("term", "rows"))
+        found = found.where(F.array_contains("queries", F.col("query_id")))
+        hits = found.select("query_id", "asked", "idf", "segment", F.explode("postings").alias("p"))
         weight = F.sqrt("p.tf") * F.col("idf") * F.col("idf") / F.sqrt("p.doc_len")
-        return hits.groupBy("query_id", F.col("p.doc_id").alias("doc_id")).agg(
+        # The segment follows from the document.
+        return hits.groupBy("query_id", "segment", F.col("p.doc_id").alias("doc_id")).agg(
             F.round(F.count(F.lit(1)) / F.first("asked") * F.sum(weight), PLACES).alias("score")
-        )
+        ).drop("segment")
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """Best ``k`` documents of each query (query_id, terms): query_id, doc_id, score, place."""
         heads = self.asked_heads(queries)
         most = F.sum(F.col("most") * F.col("idf") * F.col("idf")) * F.count(F.lit(1)) / F.first("asked")
-        bounds = stored_rows(heads.groupBy("query_id", "segment").agg(most.alias("bound")), "bounds")
+        bounds = heads.groupBy("query_id", "segment").agg(most.alias("bound"), F.sum("n").alias("hits"))
+        bounds = stored_rows(bounds, "bounds")
         # Each of these segments has a document with an asked term: together at least k if there are that many.
-        first = cut(top_k(bounds, ["query_id"], [F.col("bound").desc(), F.col("segment")], k).select("query_id", "segment"))
-        sizes = heads.groupBy("query_id", "segment").agg(F.count(F.lit(1)).alias("rows"))
-        begun = checked_join(heads, first, ["query_id", "segment"], sizes)
+        first = cut(top_k(bounds, ["query_id"], [F.col("bound").desc(), F.col("segment")], k).select("query_id", "segment", "hits"))
         best = [F.col("score").desc(), F.col("doc_id")]
-        found = cut(top_k(self.scores(begun), ["query_id"], best, k))
+        found = cut(top_k(self.scores(first), ["query_id"], best, k))
         # With fewer than k so far, there are no other segments.
         threshold = found.where(F.col("place") == k).select("query_id", F.col("score").alias("least"))
         rest = bounds.join(first, ["query_id", "segment"], "left_anti").join(threshold, "query_id")
-        rest = cut(rest.where(F.col("bound") >= F.col("least") - SLACK).select("query_id", "segment"))
-        more = checked_join(heads, rest, ["query_id", "segment"], sizes)
+        rest = cut(rest.where(F.col("bound") >= F.col("least") - SLACK).select("query_id", "segment", "hits"))
         self.wanted = first.unionByName(rest)
         self.last = heads
-        return top_k(found.drop("place").unionByName(self.scores(more)), ["query_id"], best, k)
+        return top_k(found.drop("place").unionByName(self.scores(rest)), ["query_id"], best, k)
 
     def blocks_read(self) -> DataFrame:
         """For each term of the last search: blocks that were scored for some query, and all of its blocks."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from loadlens.functions.joins import BROADCAST_BYTES, checked_join
 from loadlens.functions.lineage import cut, stored_rows
 from loadlens.functions.ordered import row_bytes, running
-from loadlens.functions.text import HREF, is_redirect, links_of, shard_of, tokens_of
+from loadlens.functions.text import HREF, WORD, is_redirect, links_of, shard_of, tokens_of
 from loadlens.operators.relational import top_k
 
 PLACES = 9
@@ -94,6 +94,11 @@ def index_parts(docs: DataFrame) -> int:
     return max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
 
 
+def indexed_documents(docs: DataFrame) -> int:
+    """Documents with a word, counted without an index."""
+    return docs.agg(F.count_if(F.lower("text").rlike(WORD))).first()[0]
+
+
 def store_index(index: DataFrame, path: str, shards: int, parts: int | None = None) -> DataFrame:
     """Write an index in folders by a hash of the term, and read it back.
 

@@ -95,7 +95,9 @@ def user_sessions(spark, sf_dir):
 @query("search_topk_blocks", TOP_K)
 def search_topk_blocks(spark, sf_dir):
     path = scratch_folder(spark, "blocks")
-    blocks.store_blocks(search.build_index(documents(spark, sf_dir), positions=False), path)
+    docs = documents(spark, sf_dir)
+    index, sizes = search.build_index(docs, positions=False), {"docs": search.indexed_documents(docs), "pieces": search.index_parts(docs)}
+    blocks.store_blocks(index, path, **sizes)
     found = blocks.BlockIndex(spark, path).search(search_queries(spark, sf_dir))
     return found.select("query_id", "doc_id", "score", "place")
 

@@ -55,6 +55,28 @@ def test_most_blocks_of_a_common_word_are_not_read(spark, stored):
     assert all_common > 40 and common < all_common / 3
 
 
+@pytest.mark.parametrize("lists", ["short", "long"])
+def test_pieces_and_tasks_change_no_row(spark, stored, texts, tmp_path, plan, monkeypatch, lists):
+    """Many files and tasks, and lists too long to be sent to all: the same rows, and scores never move."""
+    index, _ = stored
+    monkeypatch.setattr(blocks, "TASK_HITS", 50)
+    if lists == "long":
+        monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    path = tmp_path / "b"
+    docs = search.indexed_documents(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert docs == index.select("doc_id").distinct().count()
+    blocks.store_blocks(index, str(path), span=16, buckets=2, parts=2, docs=docs, pieces=40)
+    assert len(list((path / "blocks").glob("*/*/*.parquet"))) > 20
+    queries = spark.createDataFrame(QUERIES, "query_id long, terms array<string>")
+    found = blocks.BlockIndex(spark, str(path))
+    got = found.search(queries, 5).select("query_id", "doc_id", "score", "place")
+    want = search.search(index, queries, 5).select("query_id", "doc_id", "score", "place")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    every = spark.createDataFrame([(q, s, 10) for q in (1, 4) for s in range(60)], "query_id long, segment int, hits long")
+    scored = found.scores(every)
+    assert "hashpartitioning(query_id" not in plan(scored) and scored.rdd.getNumPartitions() == 24
+
+
 def test_an_empty_index(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     blocks.store_blocks(search.build_index(docs), str(tmp_path / "b"))
