@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from loadlens.functions.joins import checked_join
+from loadlens.functions.lineage import cut, stored_rows
 from loadlens.functions.ordered import running
 from loadlens.functions.text import parse_instant
 
@@ -116,9 +118,22 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Number the lines of each file from 1."""
-    numbered = running(lines, ["file"], PLACE, sums={"line_no": F.lit(1)})
-    return numbered.select("file", "line_no", "line")
+    """Number the lines of each file from 1.
+
+    The lines are stored once and stay where they are: ``row`` counts on within a block, so a line's number follows from
+    its block's first row and the lines of the blocks before it.  Lines of which some were left
+    out after reading are numbered by ``running``.
+    """
+    lines = stored_rows(lines, "lines")
+    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("first"), F.max("row").alias("last"))
+    blocks = cut(sizes)
+    whole = F.col("file").isNotNull() & F.col("block").isNotNull() & (F.col("last") - F.col("first") + 1 == F.col("rows"))
+    if not blocks.where(~F.coalesce(whole, F.lit(False))).isEmpty():
+        numbered = running(lines, ["file"], PLACE, sums={"line_no": F.lit(1)})
+        return numbered.select("file", "line_no", "line")
+    before = running(blocks, ["file"], ["block"], sums={"before": F.col("rows")}, before=True)
+    placed = checked_join(lines, before.select("file", "block", "first", "before"), ["file", "block"], blocks.select("file", "block", "rows"))
+    return placed.select("file", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line_no"), "line")
 
 
 def read_node_logs(spark: SparkSession, path: str) -> DataFrame:

@@ -274,3 +274,47 @@ def test_record_table_is_joined_without_moving_it(spark, tmp_path, plan):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange") == 1
     spark.sql("DROP TABLE records_test")
+
+
+@pytest.mark.parametrize("chunk", [None, 1, 2, 7])
+def test_titles_are_found_over_the_edges_of_chunks(spark, monkeypatch, chunk):
+    """Rules, blank lines and titles in any order, with gaps and repeats in the numbers: the rule as it is stated."""
+    import random
+
+    draw = random.Random(3)
+    kinds = [RULE, RULE, "", "  ", "a title", "5 iters in 1.0 seconds = 2.5 usec/iter", None]
+    rows = [(f, n, draw.choice(kinds)) for f in ("a", "b") for n in range(1, 400) for _ in range(draw.choice([0, 1, 1, 1, 1, 2]))]
+    rows += [("a", 1, "first"), ("a", 2, "second"), (None, 1, RULE), (None, 2, "none"), (None, 3, RULE), ("c", None, "x")]
+    if chunk is not None:
+        monkeypatch.setattr(reports, "WHOLE_ROWS", 10)
+        monkeypatch.setattr(reports, "CHUNK_LINES", chunk)
+    at = lambda f, n, test: any(g == f and m == n and x is not None and test(x) for g, m, x in rows)
+    is_rule, is_blank = (lambda x: x == RULE), (lambda x: not x.strip())
+    want = [
+        (f, n, x.strip()) for f, n, x in rows
+        if f and n and x and not is_rule(x) and not is_blank(x) and at(f, n - 1, is_rule) and at(f, n + 1, is_rule)
+        and (n == 2 or at(f, n - 2, is_blank))
+    ]
+    lines = spark.createDataFrame(rows, "file string, line_no long, line string")
+    got = reports.with_titles(lines)
+    assert got.count() == len(rows) and len(want) > 5
+    assert sorted((r.file, r.line_no, r.title) for r in got.where("title IS NOT NULL").collect()) == sorted(want)
+
+
+def test_lines_are_numbered_where_they_are(spark, tmp_path, plan):
+    """No line is moved for its number, and lines left out after reading do not count."""
+    (tmp_path / "one.txt").write_text("".join(f"line {i}\n" for i in range(5000)))
+    (tmp_path / "two.txt").write_text("x\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        lines = files.read_lines(spark, str(tmp_path / "*.txt"))
+        numbered = files.number_lines(lines)
+        above = plan(numbered).split("FileScan")[0]
+        assert "BroadcastHashJoin" in above and "Exchange" not in above
+        got = {(r.file[-7:], r.line_no): r.line for r in numbered.collect()}
+        assert got == {("one.txt", i + 1): f"line {i}" for i in range(5000)} | {("two.txt", 1): "x"}
+        some = files.number_lines(lines.where("line NOT LIKE '%7'"))
+        kept = [x for x in (f"line {i}" for i in range(5000)) if not x.endswith("7")]
+        assert {(r.file[-7:], r.line_no): r.line for r in some.collect()} == {("one.txt", i + 1): x for i, x in enumerate(kept)} | {("two.txt", 1): "x"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
