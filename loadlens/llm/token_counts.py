@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator, Mapping
+from itertools import chain
 
 import pandas as pd
 import regex
@@ -43,8 +44,9 @@ class Trie:
     """Forward scores of all prefixes of the inserted pre-tokens."""
 
     def __init__(self, scores: Mapping[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores))
+        #: Scores of all ends of pieces, -inf for those that are no piece: a text that is not in here ends no piece.
+        self.ends = {piece[k:]: -math.inf for piece in scores for k in range(1, len(piece))}
+        self.ends.update(scores)
         self.clear()
 
     def clear(self) -> None:
@@ -57,20 +59,21 @@ class Trie:
 
         Every single byte has to be a piece, so that each word can be segmented.
         """
-        child, best, pieces, scores = self.child, self.best, self.pieces, self.scores
+        child, best, pieces, end = self.child, self.best, self.pieces, self.ends.get
         path = [0]
         for i, letter in enumerate(word):
             key = (path[-1], letter)
             node = child.get(key)
             if node is None:
                 top, fewest = -math.inf, 0
-                for start in range(max(0, i + 1 - self.longest), i + 1):
-                    score = scores.get(word[start : i + 1])
-                    if score is not None:
-                        before = path[start]
-                        score += best[before]
-                        if score > top or (score == top and pieces[before] + 1 < fewest):
-                            top, fewest = score, pieces[before] + 1
+                for start in range(i, -1, -1):
+                    score = end(word[start : i + 1])
+                    if score is None:  # what is longer ends no piece either
+                        break
+                    before = path[start]
+                    score += best[before]
+                    if score > top or (score == top and pieces[before] + 1 < fewest):
+                        top, fewest = score, pieces[before] + 1
                 node = child[key] = len(best)
                 best.append(top)
                 pieces.append(fewest)
@@ -98,7 +101,7 @@ class Counter:
             parts = [self.split(t) if t else [] for t in texts[start:end]]
             if len(self.known) > CACHE_ENTRIES:
                 self.known.clear()
-            self.learn({w for part in parts for w in part})
+            self.learn(set(chain.from_iterable(parts)))
             for part in parts:
                 yield len(part), sum(map(self.known.__getitem__, part))
 

@@ -188,3 +188,35 @@ def test_tilt_prefers_marked_rows(spark):
     part = got[got.source == "a"]
     assert part[part.doc_id % 2 == 0].taken.sum() > 1.5 * part[part.doc_id % 2 == 1].taken.sum()
     assert abs(part.taken.sum() - part.target.iloc[0]) <= 3
+
+
+def test_trie_looks_no_further_than_pieces_reach():
+    """Of a word's parts only those are looked up that end some piece, and counts are those of all segmentations."""
+    import random
+
+    from loadlens.llm.token_counts import Trie
+
+    draw = random.Random(8)
+    scores = {c: -5.0 - i for i, c in enumerate("abcd")} | {"ab": -4.0, "abc": -9.0, "bcd": -9.0, "d" * 40: -3.0, "ca": -10.0}
+
+    def best(word):
+        found = [(0.0, 0)]
+        for i in range(1, len(word) + 1):
+            ways = [(found[j][0] + scores[word[j:i]], found[j][1] - 1) for j in range(i) if word[j:i] in scores]
+            found.append(max(ways))
+        return -found[-1][1]
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, key):
+            Counted.looked += 1
+            return dict.get(self, key)
+
+    trie = Trie(scores)
+    words = ["".join(draw.choice("abcd") for _ in range(draw.randrange(1, 60))) for _ in range(200)] + ["d" * 90]
+    assert [trie.count(w) for w in words] == [best(w) for w in words]
+    trie = Trie(scores)
+    trie.ends = Counted(trie.ends)
+    trie.count("abc" * 100)
+    assert Counted.looked <= 300 * 4
