@@ -103,6 +103,9 @@ def query_list(spark, sf_dir):
     )
 
 
+NODES_PER_TASK = 250
+
+
 @query(
     "node_logs",
     with_views(
@@ -123,8 +126,11 @@ def node_logs(spark, sf_dir):
     busy = F.broadcast(sizes.select("node", F.ceil(F.col("rows") / limit).alias("writers")))
     writer = F.pmod(F.xxhash64("line"), F.coalesce("writers", F.lit(1))).alias("writer")
     spread = lines.join(busy, "node", "left").select("node", "line", writer)
-    spread.repartition("node", "writer").drop("writer").write.partitionBy("node").text(folder)
-    logs = files.read_node_logs(spark, f"{folder}/*/*.txt")
+    # Writing a folder costs much more than its lines, so tasks are dealt by the number of nodes.
+    nodes = lines.agg(F.count_distinct("node")).first()[0]
+    tasks = max(1, -(-nodes // NODES_PER_TASK))
+    spread.repartition(tasks, "node", "writer").drop("writer").write.partitionBy("node").text(folder)
+    logs = files.read_node_logs(spark, folder, "*.txt")
     return logs.groupBy("node").agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("line").rlike(READY)).alias("ready_lines"),

@@ -136,10 +136,15 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return placed.select("file", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line_no"), "line")
 
 
-def read_node_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines of all node folders: the folder names the node."""
+def read_node_logs(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
+    """Log lines of all node folders: the folder names the node.
+
+    ``path`` is a pattern of files, whose folders the driver lists one by one, or, with ``names``, the folder above
+    all node folders: these are then listed by tasks, and files that fit ``names`` are read.
+    """
     file = F.col("_metadata.file_path")
-    return spark.read.text(path).select(
+    form = {} if names is None else {"recursiveFileLookup": True, "pathGlobFilter": names}
+    return spark.read.options(**form).text(path).select(
         F.regexp_extract(file, r"([^/]+)/[^/]+$", 1).alias("node"),
         F.regexp_extract(file, r"([^/]+)$", 1).alias("file"),
         F.col("value").alias("line"),

@@ -229,6 +229,8 @@ def test_node_logs(spark, tmp_path):
         (tmp_path / node / "stdout").write_text("out\n")
     got = files.read_node_logs(spark, str(tmp_path / "*" / "stderr")).collect()
     assert sorted(map(tuple, got)) == [("n1", "stderr", "up"), ("n2", "stderr", "down")]
+    # Folders listed by tasks, not by the driver through a pattern: the same rows.
+    assert sorted(files.read_node_logs(spark, str(tmp_path), "stderr").collect()) == sorted(got)
 
 
 @pytest.mark.parametrize("message", ['plain, "quoted"', "two\nlines", "", None])
