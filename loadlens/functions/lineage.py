@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +43,24 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/loadlens/{name}-{uuid.uuid4().hex}"
 
 
+SPLIT_SETTING, SPLIT_BYTES = "spark.sql.files.maxPartitionBytes", 16 << 20
+
+
+@contextmanager
+def small_splits(spark: SparkSession) -> Iterator[None]:
+    """While a job runs whose rows are many times its input: tasks read at most ``SPLIT_BYTES`` of files each.
+
+    What a task holds before it writes a shuffle of many partitions follows from what it reads.
+    """
+    before = spark.conf.get(SPLIT_SETTING)
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", before.strip().lower()).groups()
+    spark.conf.set(SPLIT_SETTING, str(min(int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit], SPLIT_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(SPLIT_SETTING, before)
+
+
 def stored_rows(df: DataFrame, name: str) -> DataFrame:
     """Like ``cut`` for a table of any size: written as Parquet, read back column by column."""
     folder = scratch_folder(df.sparkSession, name)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadlens.functions.joins import BROADCAST_BYTES, checked_join
-from loadlens.functions.lineage import cut, stored_rows
+from loadlens.functions.lineage import cut, small_splits, stored_rows
 from loadlens.functions.ordered import row_bytes
 from loadlens.operators.relational import top_k
 from loadlens.operators.search import PART_ROWS, PLACES, TASK_HITS, idf
@@ -58,10 +58,12 @@ def store_blocks(
     folder = F.floor(F.col("place") / each)
     names = [F.floor(folder / parts).cast("int").alias("bucket"), F.pmod(folder, F.lit(parts)).cast("int").alias("part")]
     placed = blocks.select("term", "segment", "n", "most", "postings", *names).sortWithinPartitions("bucket", "part", "term", "segment")
-    placed.write.mode("overwrite").partitionBy("bucket", "part").parquet(f"{path}/blocks")
+    with small_splits(spark):
+        placed.write.mode("overwrite").partitionBy("bucket", "part").parquet(f"{path}/blocks")
     heads = spark.read.schema(_BLOCKS + ", bucket int, part int").parquet(f"{path}/blocks").select("term", "segment", "n", "most", "bucket")
     # The files read are in folders of terms already, so nothing moves.
-    heads.sortWithinPartitions("bucket", "term", "segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/heads")
+    with small_splits(spark):
+        heads.sortWithinPartitions("bucket", "term", "segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/heads")
     kind = index.schema["doc_id"].dataType.simpleString()
     sizes = spark.createDataFrame([(docs, buckets, parts, kind)], "docs long, buckets int, parts int, kind string")
     sizes.coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")

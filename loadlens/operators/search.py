@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loadlens.functions.joins import BROADCAST_BYTES, checked_join
-from loadlens.functions.lineage import cut, stored_rows
+from loadlens.functions.lineage import cut, small_splits, stored_rows
 from loadlens.functions.ordered import row_bytes, running
 from loadlens.functions.text import HREF, WORD, is_redirect, links_of, shard_of, tokens_of
 from loadlens.operators.relational import top_k
@@ -120,7 +120,8 @@ def store_index(index: DataFrame, path: str, shards: int, parts: int | None = No
     place = F.col(BUCKET) * each + F.pmod(F.xxhash64("doc_id"), F.lit(each)).cast("int")
     part = F.floor(place * F.lit(parts).cast("bigint") / (BUCKETS * each)).cast("int")
     dealt = placed.repartitionById(parts, part).sortWithinPartitions(BUCKET, "term", "doc_id")
-    dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/terms")
+    with small_splits(spark):
+        dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/terms")
     stored = spark.read.schema(placed.schema).parquet(f"{path}/terms")
     stored.groupBy("shard").agg(_documents().alias("docs")).write.mode("overwrite").parquet(f"{path}/sizes")
     stored.groupBy("term").agg(*_term_totals()).write.mode("overwrite").parquet(f"{path}/totals")

@@ -203,3 +203,20 @@ def test_columns_of_a_document_can_be_kept(spark, index, docs):
     kept = search.build_index(texts, keep=["place"])
     assert kept.columns == [*index.columns, "place"] and kept.where("place <> doc_id % 7").count() == 0
     assert kept.drop("place").exceptAll(index).count() == 0
+
+
+@pytest.mark.parametrize("setting, within", [(None, 16 << 20), ("1m", 1 << 20), ("3000b", 3000), ("2g", 16 << 20)])
+def test_index_builds_read_little_per_task(spark, setting, within):
+    """A smaller setting stays, a larger one is lowered and comes back."""
+    from loadlens.functions.lineage import SPLIT_SETTING, small_splits
+
+    if setting is not None:
+        spark.conf.set(SPLIT_SETTING, setting)
+    try:
+        before = spark.conf.get(SPLIT_SETTING)
+        with pytest.raises(KeyError), small_splits(spark):
+            assert spark.conf.get(SPLIT_SETTING) == str(within)
+            raise KeyError
+        assert spark.conf.get(SPLIT_SETTING) == before
+    finally:
+        spark.conf.unset(SPLIT_SETTING)
