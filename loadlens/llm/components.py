@@ -28,22 +28,23 @@ def components(links: DataFrame) -> DataFrame:
     labels = stored(
         edges.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels"
     )
+    own = labels.schema["root"].dataType
     while True:
         grand = _follow(labels)
-        across = edges.join(grand.withColumnRenamed("node", "b"), "b").select("a", "root")
+        across = edges.join(grand.select(F.col("node").alias("b"), "root"), "b").select("a", "root")
         lowest = across.groupBy("a").agg(F.min("root").alias("root")).withColumnRenamed("a", "node")
         # What a node hears is also told to the node that its label names.
         told = labels.withColumnRenamed("root", "parent").join(lowest, "node")
-        heard = lowest.union(told.groupBy("parent").agg(F.min("root").alias("root"))).union(grand)
-        best = stored(heard.groupBy("node").agg(F.min("root").alias("root")), "labels")
-        new = best.withColumnRenamed("root", "now").join(labels, "node")
-        changed = new.where("now != root").limit(1).count()
-        labels = best
-        if not changed:
+        heard = lowest.union(told.groupBy("parent").agg(F.min("root").alias("root"))).withColumn("was", F.lit(None).cast(own))
+        # Every node has its old label next to the new one.
+        heard = heard.union(grand.select("node", "root", "was"))
+        best = stored(heard.groupBy("node").agg(F.min("root").alias("root"), F.max("was").alias("was")), "labels")
+        labels = best.select("node", "root")
+        if best.where("root != was").isEmpty():
             return labels
 
 
 def _follow(labels: DataFrame) -> DataFrame:
-    """Each node with the label of its label."""
-    to = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    return labels.join(to, "root").select("node", F.col("next").alias("root"))
+    """Each node with the label of its label, and its own as ``was``."""
+    to = labels.select(F.col("node").alias("was"), F.col("root").alias("next"))
+    return labels.withColumnRenamed("root", "was").join(to, "was").select("node", F.col("next").alias("root"), "was")

@@ -11,15 +11,18 @@ No source is sorted as a whole.  Ranks are mapped to 0..1 and words are summed p
 source and cell of ranks with map-side combine; three rounds, each 4096 times finer,
 find the cell in which a source reaches its size, and only that cell is ordered.
 Whether a row is taken then follows from its own rank and its source's cut.
+
+What a plan costs the driver grows with its joins, so sources are counted once, a round
+joins one table (a row per source with all it has to know), and sums of one row go on as numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-from loadlens.functions.ordered import running
+from loadlens.functions.ordered import group_bytes, row_bytes, running
 from loadlens.llm.common import WORD, spare, stored
 
 #: Rows of the table of sources that may be broadcast (a name and seven numbers each).
@@ -33,7 +36,16 @@ def size_in_words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def _counted(sizes: DataFrame) -> Row:
+    """Rows, characters and bytes of the names, and words of all sources."""
+    names = F.coalesce(F.sum(F.length("source")), F.lit(0)).alias("chars")
+    size = F.coalesce(F.sum(row_bytes(sizes)), F.lit(0)).alias("bytes")
+    return sizes.agg(F.count(F.lit(1)).alias("n"), names, size, F.sum("source_size").alias("words")).first()
+
+
+def targets(
+    sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, counted: Row | None = None
+) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
     Sources by code point, NULL last, weigh ``weights``, repeated.  Targets add up
@@ -42,30 +54,31 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     unit of weight, is the largest of the levels that leave out the 0, 1, 2, ...
     sources which reach their stop first.
     """
+    counted = counted or _counted(sizes)
+    # More columns follow; a table near the limit is measured again.
+    measure = counted.n if 8 * counted.bytes <= group_bytes(sizes.sparkSession) else None
     weight = F.array(*[F.lit(float(w)) for w in weights])
     named = sizes.withColumn("_rank", F.col("source").isNull())
-    ranked = running(named, [], ["_rank", "source"], sums={"_at": F.lit(1)}, before=True)
+    ranked = running(named, [], ["_rank", "source"], sums={"_at": F.lit(1)}, before=True, measure=measure)
     weighed = ranked.withColumn("_weight", F.element_at(weight, (F.col("_at") % len(weights) + 1).cast("int")))
     weighed = weighed.withColumn("_stop", F.lit(float(most)) * F.col("source_size"))
     weighed = stored(weighed.withColumn("_first", F.col("_stop") / F.col("_weight")), "weights")
     filled = running(
-        weighed, [], ["_first", "_at"], sums={"_stops": F.col("_stop"), "_weights": F.col("_weight")}, before=True
+        weighed, [], ["_first", "_at"], sums={"_stops": F.col("_stop"), "_weights": F.col("_weight")}, before=True, measure=measure
     )
-    all_of = weighed.agg(F.sum("source_size").alias("_all"), F.sum("_weight").alias("_w"))
-    level = (F.lit(float(share)) * F.col("_all") - F.col("_stops")) / (F.col("_w") - F.col("_weights"))
-    # One row of sums.
-    level = filled.crossJoin(F.broadcast(all_of)).agg(F.max(level).alias("_level"))
-    target = F.least("_stop", F.col("_level") * F.col("_weight"))
-    return weighed.crossJoin(F.broadcast(level)).select("source", "source_size", target.alias("target"))
+    rounds, rest = divmod(counted.n, len(weights))
+    all_weights = rounds * float(sum(weights)) + float(sum(weights[:rest]))
+    level = (F.lit(float(share)) * F.lit(counted.words) - F.col("_stops")) / (F.lit(all_weights) - F.col("_weights"))
+    level = filled.agg(F.max(level)).first()[0]
+    target = F.least("_stop", F.lit(level).cast("double") * F.col("_weight"))
+    return weighed.select("source", "source_size", target.alias("target"))
 
 
-def _by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Left join on the source, NULL equal to NULL; broadcast while the sources are few."""
+def _by_source(rows: DataFrame, sources: DataFrame, few: bool, how: str = "left") -> DataFrame:
+    """Join on the source, NULL equal to NULL; ``few`` sources are broadcast."""
     other = sources.withColumnRenamed("source", "_source")
-    n, chars = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("source")), F.lit(0))).first()
-    small = n <= BROADCAST_SOURCES and chars <= BROADCAST_NAME_CHARS
     return rows.join(
-        F.broadcast(other) if small else other, rows["source"].eqNullSafe(other["_source"]), "left"
+        F.broadcast(other) if few else other, rows["source"].eqNullSafe(other["_source"]), how
     ).drop("_source")
 
 
@@ -79,7 +92,7 @@ def with_rank(rows: DataFrame, tilt: Column | None = None, seed: int = 7) -> Dat
     return rows.withColumn("_key", key).withColumn("_v", rank / (1 + rank))
 
 
-def cuts(sized: DataFrame, plan: DataFrame, tilt: Column | None = None, seed: int = 7) -> DataFrame:
+def cuts(sized: DataFrame, plan: DataFrame, few: bool, tilt: Column | None = None, seed: int = 7) -> DataFrame:
     """One row per source: whole copies, and the rank (``_cut_v``, ``_cut_key``) up to which rows are taken once more."""
     plan = stored(
         plan.withColumn("_ratio", F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0)))
@@ -88,22 +101,31 @@ def cuts(sized: DataFrame, plan: DataFrame, tilt: Column | None = None, seed: in
         .withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")),
         "plan",
     )
-    ranked = with_rank(_by_source(sized.where("size > 0"), plan.select("source", "_p", "_rest")).where("_p > 0"), tilt, seed)
-    ranked = ranked.withColumn("_before", F.lit(0))
+
+    def cell(bits: int) -> Column:
+        return F.floor(F.col("_v") * float(1 << bits)).cast("long")
+
+    def inside(at: DataFrame, bits: int) -> DataFrame:
+        """The rows in the cell that ``at`` names for their source; all rows of its sources before the first round."""
+        ranked = with_rank(_by_source(sized.where("size > 0"), at, few, "inner"), tilt, seed)
+        return ranked.where(cell(bits) == F.col("_cell")) if bits else ranked
+
+    # A cell lies within that of the round before: the last one is enough.
+    at, known = plan.where("_p > 0").select("source", "_p", "_rest", F.lit(0).cast("long").alias("_start")), 0
     for bits in _ROUNDS:
-        cell = F.floor(F.col("_v") * float(1 << bits)).cast("long")
-        counted = ranked.groupBy("source", cell.alias("_cell")).agg(
-            F.sum("size").alias("_words"), F.first("_before").alias("_base"), F.first("_rest").alias("_rest")
+        counted = inside(at, known).groupBy("source", cell(bits).alias("_in")).agg(
+            F.sum("size").alias("_words"), *[F.first(c).alias(c) for c in ("_p", "_rest", "_start")]
         )
         # At most 4096 cells a source and round.
-        upto = F.sum("_words").over(Window.partitionBy("source").orderBy("_cell")) + F.col("_base")
+        upto = F.sum("_words").over(Window.partitionBy("source").orderBy("_in")) + F.col("_start")
         crossing = counted.withColumn("_upto", upto).where("_upto >= _rest and _upto - _words < _rest")
-        crossing = stored(crossing.select("source", "_cell", (F.col("_upto") - F.col("_words")).alias("_start")), "cells")
-        inside = _by_source(ranked, crossing).where(cell == F.col("_cell"))
-        ranked = inside.drop("_before", "_cell").withColumnRenamed("_start", "_before")
-    draws = ranked.groupBy("source", "_v", "_key").agg(
-        F.sum("size").alias("_words"), F.first("_before").alias("_before"), F.first("_rest").alias("_rest")
+        start = (F.col("_upto") - F.col("_words")).alias("_start")
+        at, known = stored(crossing.select("source", "_p", "_rest", start, F.col("_in").alias("_cell")), "cells"), bits
+    draws = inside(at, known).groupBy("source", "_v", "_key").agg(
+        F.sum("size").alias("_words"), F.first("_start").alias("_before"), F.first("_rest").alias("_rest")
     )
+    # Measured and then ordered.
+    draws = stored(draws, "draws")
     ordered = running(draws, ["source"], ["_v", "_key"], sums={"_upto": F.col("_words")})
     after = F.col("_before") + F.col("_upto")
     # A draw across the limit is taken if that comes nearer to it.
@@ -112,7 +134,7 @@ def cuts(sized: DataFrame, plan: DataFrame, tilt: Column | None = None, seed: in
     # Nothing of the cell taken: the cut lies just before its first draw.
     none = F.struct(F.min("_v").alias("_v"), F.lit(None).cast("string").alias("_key"))
     cut = ordered.groupBy("source").agg(F.coalesce(last, none).alias("_cut"))
-    return _by_source(plan, cut.select("source", F.col("_cut._v").alias("_cut_v"), F.col("_cut._key").alias("_cut_key")))
+    return _by_source(plan, cut.select("source", F.col("_cut._v").alias("_cut_v"), F.col("_cut._key").alias("_cut_key")), few)
 
 
 def mix(
@@ -132,12 +154,14 @@ def mix(
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_in_words(text).alias("size"))
     sized = stored(narrow, "sizes")
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    cut = stored(cuts(sized, targets(sizes, weights, share, most), tilt, seed), "cuts")
+    sizes = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    counted = _counted(sizes)
+    few = counted.n <= BROADCAST_SOURCES and counted.chars <= BROADCAST_NAME_CHARS
+    cut = stored(cuts(sized, targets(sizes, weights, share, most, counted), few, tilt, seed), "cuts")
     state = F.struct(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_in_words(text).alias("size"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(whole.alias("_row"), state.alias("_state")).select("_row", "_state.*")
-    ranked = with_rank(_by_source(rows, cut), tilt, seed)
+    ranked = with_rank(_by_source(rows, cut, few), tilt, seed)
     once_more = (F.col("_v") < F.col("_cut_v")) | ((F.col("_v") == F.col("_cut_v")) & (F.col("_key") <= F.col("_cut_key")))
     copies = (F.col("_whole") + F.coalesce(once_more, F.lit(False)).cast("int")).alias("copies")
     mixed = ranked.select("_row", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
