@@ -112,7 +112,9 @@ def linked_fingerprints(prints: DataFrame) -> DataFrame:
         *[F.when(reduce(lambda x, y: x & y, [same[p] for p in c]), F.lit(k)) for k, c in enumerate(choices)]
     )
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= MOST_BITS) & (shared >= LEAST_SHARED)
-    return left.join(right, ["list", "bytes"]).where(near & (F.col("list") == first)).select("a", "b")
+    # Spark takes the 28 postings of a fingerprint for one row and would broadcast the whole index.
+    met = left.join(right.hint("merge"), ["list", "bytes"])
+    return met.where(near & (F.col("list") == first)).select("a", "b")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:

@@ -1,8 +1,8 @@
-"""What an operator costs the driver: jobs, which do not grow with the rows."""
+"""What an operator costs the driver: jobs, which do not grow with the rows, and no broadcast of tables that do."""
 
 import uuid
 
-from loadlens.llm import components, mixing
+from loadlens.llm import components, mixing, simhash
 
 
 def jobs(spark, run) -> int:
@@ -27,3 +27,13 @@ def test_components_compare_labels_without_a_join(spark):
     got = {}
     assert jobs(spark, lambda: got.update({r.node: r.root for r in components.components(links).collect()})) <= 70
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_postings_of_fingerprints_are_not_broadcast(spark, plan):
+    prints = spark.range(2000).selectExpr("xxhash64(id div 2) ^ (id % 2) fp")
+    found = simhash.linked_fingerprints(prints)
+    assert found.count() >= 1000
+    found.collect()
+    # Before and after the sizes of shuffles are known: 56,000 postings are few enough for Spark by themselves.
+    for shown in (plan(simhash.linked_fingerprints(prints)), plan(found)):
+        assert "SortMergeJoin" in shown and "Broadcast" not in shown
