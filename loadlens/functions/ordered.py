@@ -20,6 +20,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import DataType, StructType
 
 from loadlens.functions.lineage import cut
 
@@ -43,9 +44,14 @@ def group_bytes(spark: SparkSession) -> int:
     return int(spark.conf.get(BYTES_SETTING, str(GROUP_BYTES)))
 
 
+def _fixed(kind: DataType) -> int:
+    """Bytes of a value besides its contents: eight, and those of a struct's fields."""
+    return 8 + (sum(_fixed(f.dataType) for f in kind) if isinstance(kind, StructType) else 0)
+
+
 def row_bytes(df: DataFrame) -> Column:
-    """About the bytes of a row: eight a column, and the contents of texts and lists of fixed-size values."""
-    total = F.lit(8 * len(df.columns))
+    """About the bytes of a row: eight a column or field, and the contents of texts and lists of fixed-size values."""
+    total = F.lit(sum(_fixed(f.dataType) for f in df.schema))
     for name, kind in df.dtypes:
         column = F.col(f"`{name}`")
         if kind in ("string", "binary"):

@@ -161,7 +161,9 @@ def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
     equal = checked_join(rows, many.select("fp", "head", "of"), ["fp"], many.select("fp", "rows")).where("key != head")
     equal = equal.where(_near_size("n", "of")).select(F.col("head").alias("a"), F.col("key").alias("b"))
     sides = [heads.select(F.col("fp").alias(x), F.col("head").alias(f"{x}_"), F.col("of").alias(f"n{x}")) for x in "ab"]
-    linked = linked_fingerprints(heads).join(sides[0], "a").join(sides[1], "b").where(_near_size("na", "nb"))
+    # Tables of a row for each text or entry are not broadcast: stored columns that repeat make Spark size them too low.
+    linked = linked_fingerprints(heads).join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b")
+    linked = linked.where(_near_size("na", "nb"))
     return equal.union(linked.select(F.col("a_").alias("a"), F.col("b_").alias("b")))
 
 
@@ -251,7 +253,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     # One text of each class that meets another one.
     ends = near.select(F.explode(F.array("a", "b")).alias("key")).union(met.select("key"))
     wanted = ends.distinct().join(classes, "key").select("key", "hash")
-    texts = stored(rows.select("hash", "text").join(wanted, "hash"), "texts")
+    # Build the hash tables on the keys; Spark counts 20 bytes for a text and would broadcast those of a smaller table.
+    texts = stored(rows.select("hash", "text").join(wanted.hint("shuffle_hash"), "hash"), "texts")
     texts = texts.groupBy("key").agg(F.min("text").alias("text"))
     with small_batches(spark):
         sets = stored(texts.select("key", _shingles(F.col("text")).alias("shingles")), "shingles")
@@ -270,16 +273,16 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     for star in (True, False):
         placed = _two_sided(_placed(lists, roots))
         # Only what is left in open lists gets its parities.
-        placed = stored(placed.join(classes.select("key", *_P), "key"), "entries")
+        placed = stored(placed.join(classes.select("key", *_P).hint("merge"), "key"), "entries")
         entry = placed.select(*by, "upper", F.struct("key", "n", "rest", "root", *_P).alias("b"))
         right = entry.where("low = high or upper").drop("upper")
         left = entry.where("not upper").drop("upper").withColumnRenamed("b", "a")
         if star:
             left = stored(left.groupBy(*by).agg(F.min("a").alias("a")), "heads")
             sizes = right.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
-            offered = checked_join(right, left, by, sizes)
+            offered = checked_join(right, left, by, sizes, merge=True)
         else:
-            offered = left.join(right, by).where("low < high or a.key < b.key")
+            offered = left.join(right.hint("merge"), by).where("low < high or a.key < b.key")
         offered = offered.where("a.root != b.root").where(_can_share("a", "b"))
         pairs = offered.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"))
         found = _verified(stored(pairs.distinct(), "pairs"), sets)
@@ -288,8 +291,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     named = _placed(classes.select("key", "least"), roots)
     least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    members = stored(named.join(least, "root").select("key", "root", "component_id"), "members")
-    return sketched.select("doc_id", "hash", "key").join(members, "key").drop("key")
+    members = stored(named.join(least.hint("merge"), "root").select("key", "root", "component_id"), "members")
+    return sketched.select("doc_id", "hash", "key").join(members.hint("merge"), "key").drop("key")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

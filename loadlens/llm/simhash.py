@@ -138,8 +138,9 @@ def _grouped(rows: DataFrame) -> DataFrame:
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stored(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = stored(named.join(least, "root").select("fp", "component_id", "root"), "members")
-    return rows.join(found, "fp")
+    # Tables of a row for each fingerprint are not broadcast.
+    found = stored(named.join(least.hint("merge"), "root").select("fp", "component_id", "root"), "members")
+    return rows.join(found.hint("merge"), "fp")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:

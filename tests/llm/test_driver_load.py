@@ -2,7 +2,11 @@
 
 import uuid
 
-from loadlens.llm import components, mixing, simhash
+import pytest
+from pyspark.sql import functions as F
+
+from loadlens.functions import joins, ordered
+from loadlens.llm import components, mixing, near_copies, simhash
 
 
 def jobs(spark, run) -> int:
@@ -37,3 +41,36 @@ def test_postings_of_fingerprints_are_not_broadcast(spark, plan):
     # Before and after the sizes of shuffles are known: 56,000 postings are few enough for Spark by themselves.
     for shown in (plan(simhash.linked_fingerprints(prints)), plan(found)):
         assert "SortMergeJoin" in shown and "Broadcast" not in shown
+
+
+def test_near_copies_broadcast_no_texts_and_entries(spark, plan, monkeypatch):
+    plans, store = {}, near_copies.stored
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(plan(df))
+        return store(df, name)
+
+    monkeypatch.setattr(near_copies, "stored", seen)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([f"x{i}" if k == 3 * i else w for k, w in enumerate(words)])) for i in range(9)]
+    found = near_copies.groups(spark.createDataFrame([*rows, (9, "other words")], "doc_id long, text string"))
+    assert "Broadcast" not in plan(found) and {r.doc_id: r.component_id for r in found.collect()} == {i: i // 9 * 9 for i in range(10)}
+    # Texts meet a hash table on their keys, entries and pairs of entries are sorted, and so are the ends of linked fingerprints.
+    assert "ShuffledHashJoin" in plans["texts"][0]
+    assert len(plans["entries"]) == 2 and not any("Broadcast" in p for p in [*plans["entries"], plans["pairs"][-1]])
+    assert plans["pairs"][0].count("SortMergeJoin") >= 3 and "SortMergeJoin" in plans["members"][0]
+
+
+def test_checked_join_sorts_what_spark_takes_for_small(spark, both_ways, plan, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    rows = spark.range(40).selectExpr("id % 5 k", "id v")
+    other = spark.range(6).selectExpr("id k", "id + 1 w")
+    got = joins.checked_join(rows, other, ["k"], rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows")), merge=True)
+    assert "SortMergeJoin" in plan(got)
+    assert sorted(map(tuple, got.collect())) == sorted((i % 5, i, i % 5 + 1) for i in range(40))
+
+
+@pytest.mark.parametrize(("column", "size"), [("'abc' t", 19), ("struct(id, id b) s", 32), ("struct(id, struct(id b) c) s", 40)])
+def test_fields_of_a_struct_count(spark, column, size):
+    df = spark.range(1).selectExpr("id", column)
+    assert df.select(ordered.row_bytes(df)).first()[0] == size
